@@ -11,6 +11,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -60,7 +61,7 @@ def quantile(p: float, df: float) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [two_sided_p(a, b) if pd.notna(a) and pd.notna(b) else None
@@ -69,7 +70,7 @@ def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [quantile(a, b) if pd.notna(b) else None for a, b in zip(p, df)],
