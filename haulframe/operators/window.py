@@ -17,14 +17,28 @@ from haulframe.operators.joins import null_safe_join, attach
 from haulframe.operators.ordered import quantiles
 
 
+def group_shares(
+    df: DataFrame, within: Sequence[str], names: dict[str, str]
+) -> DataFrame:
+    """Shares of the group totals for several columns at once.
+
+    ``df`` is read twice; hand in a written table when it is costly.
+    """
+    totals = df.groupBy(*within).agg(
+        *[F.sum(n).alias(f"__total_{n}") for n in names]
+    )
+    return (
+        attach(df, totals, within)
+        .withColumns({p: safe_ratio(n, f"__total_{n}") for n, p in names.items()})
+        .drop(*[f"__total_{n}" for n in names])
+    )
+
+
 def group_share(
     df: DataFrame, within: Sequence[str], n: str = "n", name: str = "prop"
 ) -> DataFrame:
     """Each row's share of its group total."""
-    totals = df.groupBy(*within).agg(F.sum(n).alias("__total"))
-    return attach(df, totals, within).withColumn(
-        name, safe_ratio(n, "__total")
-    ).drop("__total")
+    return group_shares(df, within, {n: name})
 
 
 def zscore(

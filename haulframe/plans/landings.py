@@ -18,7 +18,7 @@ from haulframe.operators.joins import attach, lookup, restrict
 from haulframe.operators.ranking import fixed_rank
 from haulframe.operators.reshape import pivot_wider
 from haulframe.operators.rows import rename_all
-from haulframe.operators.window import group_share
+from haulframe.operators.window import group_share, group_shares
 from haulframe.plans.codes import (
     LANDED_SPECIES,
     MIXED_POT,
@@ -28,6 +28,7 @@ from haulframe.plans.codes import (
     UNKNOWN_POT,
     UNUSED_GEARS,
 )
+from haulframe.sources.scratch import materialize
 
 MODIFIER = "gear_modifier_description"
 SOURCE = "catch_report_source_pk"
@@ -110,7 +111,7 @@ def share_by_gear(
 ) -> DataFrame:
     """Catch and its share per gear within the groups."""
     sums = landings.groupBy(*by, gear).agg(F.sum("weight_posted").alias("catch"))
-    return group_share(sums, list(by), "catch", "prop")
+    return group_share(materialize(sums), list(by), "catch", "prop")
 
 
 def known_vessel_gear(
@@ -139,7 +140,8 @@ def attribute_gear(
 
     One left join; landings that carry a modifier keep their own class.
     """
-    known = known_vessel_gear(landings, years, pots_only)
+    # one row per vessel and class, read twice
+    known = materialize(known_vessel_gear(landings, years, pots_only))
     per_vessel = known.groupBy("vessel_id").agg(F.count(F.lit(1)).alias("__n"))
     observed = (
         known.join(per_vessel, "vessel_id")
@@ -180,8 +182,14 @@ def landings_summary(
             distinct_with_null(SOURCE).cast("long").alias("number_of_landings"),
         )
     )
-    shared = group_share(sums, by, "catch_mt", "proportion_catch")
-    return group_share(shared, by, "number_of_landings", "proportion_landings")
+    return group_shares(
+        materialize(sums),
+        by,
+        {
+            "catch_mt": "proportion_catch",
+            "number_of_landings": "proportion_landings",
+        },
+    )
 
 
 def vessel_gear_matrix(

@@ -68,6 +68,7 @@ from haulframe.plans.codes import (
     STRATA,
     GearCodes,
 )
+from haulframe.sources.scratch import materialize
 
 UNIT = ["station", "haul", "skate"]
 ALL_SETS = "All_sets_combined"
@@ -434,7 +435,7 @@ def species_composition(
         .groupBy(*by, "species")
         .agg(F.sum("catch").alias("n"))
     )
-    shares = group_share(counts, list(by))
+    shares = materialize(group_share(materialize(counts), list(by)))
     ranks = rank_by_median(shares, "species", "prop", "species_rank").drop("median")
     return attach(shares, ranks, ["species"])
 
@@ -476,7 +477,8 @@ def length_rows_with_stats(
 
 def sex_ratio(lengths: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count and share of each sex within the groups."""
-    return group_share(group_counts(lengths, [*by, "sex"]), list(by), "n", "sex_ratio")
+    counts = materialize(group_counts(lengths, [*by, "sex"]))
+    return group_share(counts, list(by), "n", "sex_ratio")
 
 
 def sex_length_table(

@@ -47,7 +47,7 @@ def _header_names(header: str) -> list[str]:
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
-    schema: T.StructType,
+    schema: str | T.StructType,
     pattern: str = "*.csv",
     aliases: dict[str, str] | None = None,
     same_header: bool = False,
@@ -62,6 +62,8 @@ def read_csv(
     is skipped.
     """
     aliases = aliases or {}
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     if same_header:
         paths = [path] if isinstance(path, str) else list(path)
         groups = {",".join(schema.names): paths}
@@ -100,7 +102,7 @@ def read_csv(
 def read_tagged(
     spark: SparkSession,
     paths: dict,
-    schema: T.StructType,
+    schema: str | T.StructType,
     tag: str = "year",
     **options,
 ) -> DataFrame:
