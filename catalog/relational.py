@@ -375,14 +375,13 @@ def global_totals(t):
 
 @register(QUERIES, """
     WITH n AS (SELECT l_suppkey, l_quantity, count(*) AS c,
-                 min(struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey,
-                                 d := l_extendedprice)) AS f
+                 min(l_orderkey * 2097152 + l_partkey) AS f
                FROM lineitem GROUP BY ALL)
     SELECT l_suppkey, arg_min(l_quantity, struct_pack(a := -c, b := f)) AS mode
     FROM n GROUP BY ALL
 """)
 def first_seen_modes(t):
-    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    seq = F.col("l_orderkey") * 2097152 + F.col("l_partkey")
     return first_seen_mode(t.lineitem, ["l_suppkey"], "l_quantity", seq)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from haulframe.functions.nulls import recode
 from haulframe.plans import survey as S
 from haulframe.plans.codes import EventRule, GearCodes
+from haulframe.sources.scratch import materialize
 
 NAMES = {
     1: "Baited Hook",
@@ -50,8 +51,7 @@ CATCH_SQL = f"""
             CAST(l_quantity AS INTEGER) AS species_code,
             CASE WHEN l_discount >= 0.08 THEN 1 ELSE 0 END AS depredation,
             CASE WHEN l_tax < 0.06 THEN 0 ELSE 300 + l_partkey % 500 END AS depth,
-            struct_pack(a := l_orderkey, b := l_partkey, c := l_suppkey, d := l_extendedprice)
-              AS row_seq
+            l_orderkey * 4194304 + l_suppkey AS row_seq
           FROM lineitem),
   caught AS (SELECT raw.*, species FROM raw LEFT JOIN codes USING (species_code)),
   counted AS (SELECT gear, station, haul, skate, species, depredation, count(*) AS n
@@ -187,7 +187,7 @@ def catch(t) -> DataFrame:
         F.col("l_quantity").cast("int").alias("species_code"),
         (F.col("l_discount") >= 0.08).cast("int").alias("depredation"),
         F.when(F.col("l_tax") < 0.06, 0).otherwise(300 + F.col("l_partkey") % 500).alias("depth"),
-        F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").alias("row_seq"),
+        (F.col("l_orderkey") * 4194304 + F.col("l_suppkey")).alias("row_seq"),
     )
     return S.decode(rows, species_codes(t), "species_code")
 
@@ -280,6 +280,6 @@ def extract(t) -> DataFrame:
 def attributed(t) -> DataFrame:
     from haulframe.plans.landings import attribute_gear
 
-    return attribute_gear(extract(t), years=(1998,))
+    return attribute_gear(materialize(extract(t)), years=(1998,))
 
 

@@ -15,7 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.functions.nulls import same_keys
-from haulframe.sources.scratch import fits_broadcast, materialize
+from haulframe.sources.scratch import (
+    broadcast_limit,
+    materialize,
+    materialize_measured,
+)
 
 # A key is hot when it holds at least 1/HOT_SHARE of all rows, so there are
 # never more than HOT_SHARE hot keys and their table is always small.
@@ -99,8 +103,8 @@ def attach(
     """
     if not keys:
         return null_safe_join(rows, table, keys, how)
-    table = materialize(table)
-    if fits_broadcast(table):
+    table, size = materialize_measured(table)
+    if size <= broadcast_limit(rows.sparkSession):
         return null_safe_join(rows, F.broadcast(table), keys, how)
     hot = hot_keys(rows, keys)
     near = null_safe_join(rows, F.broadcast(hot), keys, "left_semi")

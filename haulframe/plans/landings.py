@@ -139,6 +139,7 @@ def attribute_gear(
     """Give unreported pot landings the vessel's only known class, or mixed.
 
     One left join; landings that carry a modifier keep their own class.
+    ``landings`` is read twice, so a costly extract should be written first.
     """
     # one row per vessel and class, read twice
     known = materialize(known_vessel_gear(landings, years, pots_only))

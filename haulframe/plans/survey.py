@@ -435,7 +435,7 @@ def species_composition(
         .groupBy(*by, "species")
         .agg(F.sum("catch").alias("n"))
     )
-    shares = materialize(group_share(materialize(counts), list(by)))
+    shares = group_share(materialize(counts), list(by))
     ranks = rank_by_median(shares, "species", "prop", "species_rank").drop("median")
     return attach(shares, ranks, ["species"])
 

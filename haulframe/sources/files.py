@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,8 @@ from haulframe.functions.text import blank_to_null
 from haulframe.operators.joins import tagged_union, union_all
 
 ROW_SEQ = "row_seq"
+# room for the line numbers of one file; leaves room for a million files
+FILE_SPAN = 1 << 43
 
 
 def header_groups(
@@ -56,8 +58,8 @@ def read_csv(
 
     Files may order or omit columns differently; an omitted column is NULL,
     unreadable numbers are NULL, and ``""`` and ``NA`` are NULL.  ``aliases``
-    maps a file's column name to the schema's.  ``row_seq`` keeps the order of
-    lines: file, block within the file, line within the block.  With
+    maps a file's column name to the schema's.  ``row_seq`` is a number that
+    keeps the order of lines, file by file in path order.  With
     ``same_header`` the schema's column order is trusted and the header pass
     is skipped.
     """
@@ -65,38 +67,51 @@ def read_csv(
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if same_header:
-        paths = [path] if isinstance(path, str) else list(path)
-        groups = {",".join(schema.names): paths}
+        listing = spark.read.option("pathGlobFilter", pattern).text(path)
+        groups = {",".join(schema.names): sorted(listing.inputFiles())}
     else:
         groups = header_groups(spark, path, pattern)
-    if not groups:
+    files_in_order = sorted(f for files in groups.values() for f in files)
+    if not files_in_order:
         raise FileNotFoundError(f"no file matches {pattern} in {path}")
+    ranks = spark.createDataFrame(
+        [(f, i) for i, f in enumerate(files_in_order)], "__file string, __rank long"
+    )
     parts = []
     for header, files in groups.items():
         names = [aliases.get(n, n) for n in _header_names(header)]
         text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = (
-            spark.read.schema(text)
-            .option("header", True)
-            .option("pathGlobFilter", pattern)
-            .csv(files)
-        )
+        raw = spark.read.schema(text).option("header", True).csv(files)
+        columns = [
+            blank_to_null(f.name).try_cast(f.dataType).alias(f.name)
+            if f.name in names
+            else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
         parts.append(
             raw.select(
-                *[
-                    blank_to_null(f.name).try_cast(f.dataType).alias(f.name)
-                    if f.name in names
-                    else F.lit(None).cast(f.dataType).alias(f.name)
-                    for f in schema.fields
-                ],
-                F.struct(
-                    F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("line"),
-                ).alias(ROW_SEQ),
+                *columns,
+                F.col("_metadata.file_path").alias("__file"),
+                _line_order().alias("__line"),
             )
         )
-    return union_all(*parts)
+    # one row per file
+    ranked = union_all(*parts).join(F.broadcast(ranks), "__file", "left")
+    return ranked.select(
+        *schema.names,
+        (F.col("__rank") * F.lit(FILE_SPAN) + F.col("__line")).alias(ROW_SEQ),
+    )
+
+
+def _line_order() -> Column:
+    """A number that grows line by line within one file.
+
+    A block of a file starts at a byte offset, and a task reads fewer lines
+    before the end of a block than the block has bytes; offset plus line
+    number in the task therefore never overlaps with the next block.
+    """
+    line_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") + line_in_task
 
 
 def read_tagged(

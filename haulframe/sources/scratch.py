@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,30 +38,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _new_path(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    return f"{scratch_dir(spark)}/haulframe/{app}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{scratch_dir(spark)}/haulframe/{app}/{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def measured_bytes(table: DataFrame) -> int:
-    """Size in memory of a written table, counting the text it really holds."""
+def _row_bytes(schema: T.StructType) -> Column:
+    """Size of a row in memory, counting the text it really holds."""
     widths = [
-        F.coalesce(F.octet_length(f.name), F.lit(0))
-        for f in table.schema.fields
+        F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        for f in schema.fields
         if isinstance(f.dataType, (T.StringType, T.BinaryType))
     ]
-    per_row = F.lit(16 + 16 * len(table.columns))
-    total = reduce(lambda a, b: a + b, widths, per_row)
-    return table.agg(F.sum(total.cast("long")).alias("b")).first()["b"] or 0
+    fixed = F.lit(16 + 16 * len(schema.fields)).cast("long")
+    return reduce(lambda a, b: a + b, widths, fixed)
+
+
+def materialize_measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write ``df`` once; also return its size, observed during the write."""
+    seen = Observation()
+    size = F.sum(_row_bytes(df.schema)).alias("bytes")
+    table = materialize(df.observe(seen, size))
+    return table, seen.get["bytes"] or 0
 
 
-def fits_broadcast(table: DataFrame) -> bool:
-    """Whether a written table is small enough to copy to every executor."""
-    limit = int(
-        table.sparkSession.conf.get(BROADCAST_BYTES_KEY, str(BROADCAST_BYTES))
-    )
-    return measured_bytes(table) <= limit
+def broadcast_limit(spark: SparkSession) -> int:
+    """Largest table, in bytes, that is copied to every executor."""
+    return int(spark.conf.get(BROADCAST_BYTES_KEY, str(BROADCAST_BYTES)))
