@@ -133,10 +133,7 @@ def detailed_rates(t):
     FROM depths
 """)
 def unit_depths(t):
-    return S.unit_depths(V.catch(t)).withColumns(
-        {"recorded_depth": F.col("recorded_depth").cast("double"),
-         "interp_depth": r("interp_depth")}
-    )
+    return S.unit_depths(V.catch(t)).withColumn("interp_depth", r("interp_depth"))
 
 
 @register(QUERIES, f"""

@@ -205,7 +205,7 @@ def rates(t) -> DataFrame:
 
 
 def deep(t) -> DataFrame:
-    return S.assign_depth(rates(t), S.unit_depths(catch(t)))
+    return S.rates_with_depth(catch(t), CODES)
 
 
 def fish(t) -> DataFrame:

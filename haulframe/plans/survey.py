@@ -210,52 +210,77 @@ def omitted_units(tally: DataFrame, codes: GearCodes) -> DataFrame:
     )
 
 
-def catch_rates(
-    catch: DataFrame, codes: GearCodes, omitted: DataFrame | None = None
-) -> DataFrame:
-    """Target count per unit; units without a target stay, with zero.
+def unit_facts(catch: DataFrame, codes: GearCodes) -> DataFrame:
+    """Everything the rates and depths need of each unit, in one pass.
 
-    Units holding an omitting event and rows that are no effort are decided in
-    the same aggregate, so the events are shuffled once, as partial counts.
-    ``omitted`` lists further units to leave out.
+    The events are shuffled once, as one partial row per unit and task.
     """
     pots = F.col("gear") == codes.pots
     source = {r.label: r.source for r in codes.rules}
     omitting = [source[label] for label in codes.omitting]
     no_effort = [source[label] for label in codes.dropped]
-    if no_effort:
-        catch = catch.filter(~(pots & is_member("species", no_effort)))
     large = (
         pots & (F.col("species") == codes.large_marker)
         if codes.large_marker
         else F.lit(False)
     )
-    rates = (
-        catch.groupBy("gear", *UNIT)
-        .agg(
-            count_where(F.col("species") == codes.target).alias("n_target"),
-            F.max(F.coalesce(large, F.lit(False))).alias("__large"),
-            F.max(pots & is_member("species", omitting)).alias("__omit"),
-        )
-        .filter(~F.coalesce(F.col("__omit"), F.lit(False)))
+    aggs = [
+        count_where(~(pots & is_member("species", no_effort))).alias("n_effort"),
+        count_where(F.col("species") == codes.target).alias("n_target"),
+        F.max(F.coalesce(large, F.lit(False))).alias("is_large"),
+        F.max(pots & is_member("species", omitting)).alias("is_omitted"),
+    ]
+    if "depth" in catch.columns:
+        deep = F.when(F.col("depth") > 0, F.col("depth").cast("double"))
+        aggs += [
+            F.max(deep).alias("recorded_depth"),
+            F.min("row_seq").alias("first_seen"),
+        ]
+    return catch.groupBy("gear", *UNIT).agg(*aggs)
+
+
+def rates_of(
+    facts: DataFrame, codes: GearCodes, omitted: DataFrame | None = None
+) -> DataFrame:
+    """Target count per unit of the units that count as effort."""
+    rates = facts.filter(
+        (F.col("n_effort") > 0) & ~F.coalesce(F.col("is_omitted"), F.lit(False))
     )
     if omitted is not None:
         rates = exclude(rates, omitted, UNIT)
     size = F.when(
-        pots, F.when(F.col("__large"), F.lit("Large")).otherwise(F.lit("Small"))
+        F.col("gear") == codes.pots,
+        F.when(F.col("is_large"), F.lit("Large")).otherwise(F.lit("Small")),
     )
-    return (
-        rates.withColumns({"skate_id": unit_id(), "pot_size": size})
-        .withColumn(
-            "detailed_gear",
-            F.when(F.col("pot_size").isNull(), F.lit("Hook-and-line")).otherwise(
-                F.concat("pot_size", F.lit(" pots"))
-            ),
-        )
-        .drop("__large", "__omit")
+    return rates.select(
+        "gear", *UNIT, "n_target", unit_id().alias("skate_id"), size.alias("pot_size")
+    ).withColumn(
+        "detailed_gear",
+        F.when(F.col("pot_size").isNull(), F.lit("Hook-and-line")).otherwise(
+            F.concat("pot_size", F.lit(" pots"))
+        ),
     )
 
 
+def catch_rates(
+    catch: DataFrame, codes: GearCodes, omitted: DataFrame | None = None
+) -> DataFrame:
+    """Target count per unit; units without a target stay, with zero.
+
+    Units holding an omitting event and rows that are no effort are decided in
+    the same aggregate.  ``omitted`` lists further units to leave out.
+    """
+    return rates_of(unit_facts(catch, codes), codes, omitted)
+
+
+def rates_with_depth(
+    catch: DataFrame, codes: GearCodes, step: float = 25
+) -> DataFrame:
+    """Rates with binned depth; the events are read once."""
+    facts = materialize(unit_facts(catch, codes))
+    return assign_depth(rates_of(facts, codes), depths_of(facts), step)
+
+
 def rate_summary(
     rates: DataFrame,
     value: str = "n_target",
@@ -291,21 +316,32 @@ def ineffective_units(
 # -- depth -----------------------------------------------------------------
 
 
+def _fill_depths(units: DataFrame) -> DataFrame:
+    return interpolate(
+        units, ["station", "haul"], ["first_seen"], "recorded_depth", "interp_depth"
+    ).drop("first_seen")
+
+
+def depths_of(facts: DataFrame) -> DataFrame:
+    """Depth of each unit from the unit facts, gaps filled along its haul."""
+    units = facts.groupBy(*UNIT).agg(
+        F.max("recorded_depth").alias("recorded_depth"),
+        F.min("first_seen").alias("first_seen"),
+    )
+    return _fill_depths(units)
+
+
 def unit_depths(catch: DataFrame, fanout: bool = False) -> DataFrame:
     """Depth of each unit, gaps filled along its haul in order of recording.
 
     A unit's depth is its deepest record.  ``fanout`` keeps one row per
     recorded depth instead, which repeats units in later joins.
     """
-    deep = F.when(F.col("depth") > 0, F.col("depth"))
-    keys = [*UNIT, "depth"] if fanout else UNIT
-    units = catch.groupBy(*keys).agg(
-        F.min("row_seq").alias("row_seq"), F.max(deep).alias("__depth")
+    deep = F.when(F.col("depth") > 0, F.col("depth").cast("double"))
+    units = catch.groupBy(*UNIT, *(["depth"] if fanout else [])).agg(
+        F.max(deep).alias("recorded_depth"), F.min("row_seq").alias("first_seen")
     )
-    units = units.drop("depth").withColumnRenamed("__depth", "recorded_depth")
-    return interpolate(
-        units, ["station", "haul"], ["row_seq"], "recorded_depth", "interp_depth"
-    ).drop("row_seq")
+    return _fill_depths(units.drop("depth"))
 
 
 def assign_depth(

@@ -1,4 +1,8 @@
-"""Compare every query with its SQL: run_oracle.py FOLDER [NAME ...]."""
+"""Compare every query with its SQL: run_oracle.py [--stress] FOLDER [NAME ...].
+
+``--stress`` forces the paths meant for large data: nothing is small enough
+to broadcast, and ordered groups are cut into many pieces.
+"""
 
 import os
 import sys
@@ -11,7 +15,8 @@ from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from tests.oracle import compare, connect  # noqa: E402
 
 if __name__ == "__main__":
-    folder, names = sys.argv[1], sys.argv[2:]
+    stress = "--stress" in sys.argv
+    folder, *names = [a for a in sys.argv[1:] if a != "--stress"]
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -22,6 +27,10 @@ if __name__ == "__main__":
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
+    if stress:
+        spark.conf.set("haulframe.broadcast.bytes", "0")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     db, sql, bad = connect(folder), oracle_sql(), 0
     for name, run in queries().items():
         if names and name not in names:
