@@ -68,10 +68,14 @@ def safe_corr(x: str | Column, y: str | Column) -> Column:
     )
 
 
-def distinct_with_null(c: str | Column) -> Column:
-    """Exact distinct count in which NULL counts as one more value."""
+def distinct_with_null(c: str | Column, approx: bool = False) -> Column:
+    """Distinct count in which NULL counts as one more value.
+
+    Exact by default; ``approx`` swaps in the mergeable sketch.
+    """
     c = as_col(c)
-    return F.count_distinct(c) + F.max(c.isNull().cast("int"))
+    counted = F.approx_count_distinct(c) if approx else F.count_distinct(c)
+    return counted + F.max(c.isNull().cast("int"))
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

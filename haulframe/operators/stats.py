@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.functions.nulls import safe_corr, safe_ratio
+from haulframe.functions.smirnov import EXACT_BELOW, smirnov_exact_p
 from haulframe.functions.student_t import t_quantile, t_two_sided_p
 from haulframe.operators.joins import attach, null_safe_join
 from haulframe.operators.ordered import (
@@ -101,11 +102,14 @@ def kolmogorov_tail(scaled: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))
 
 
-def ks_test(df: DataFrame, group: str, value: str, x, y) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov test: D and asymptotic p, one row.
+def ks_test(
+    df: DataFrame, group: str, value: str, x, y, exact: bool = False
+) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov test: D and p, one row.
 
     Both samples are reduced to counts per distinct value; an empty sample
-    gives NULL.
+    gives NULL.  p is asymptotic; with ``exact`` it is exact for small samples
+    without ties.
     """
     g = F.col(group)
     counts = (
@@ -128,15 +132,17 @@ def ks_test(df: DataFrame, group: str, value: str, x, y) -> DataFrame:
         F.max(gap).alias("D"),
         F.max("n_x").alias("n_x"),
         F.max("n_y").alias("n_y"),
+        F.max(F.col("in_x") + F.col("in_y")).alias("most_ties"),
     )
     n_x, n_y = F.col("n_x").cast("double"), F.col("n_y").cast("double")
     scaled = F.col("D") * F.sqrt(F.try_divide(n_x * n_y, n_x + n_y))
-    return found.select(
-        "D",
-        F.when(F.col("D").isNotNull(), kolmogorov_tail(scaled)).alias("p_value"),
-        "n_x",
-        "n_y",
-    )
+    p_value = F.when(F.col("D").isNotNull(), kolmogorov_tail(scaled))
+    if exact:
+        # one row, written first: the Python tail function sees that row only
+        found = materialize(found)
+        small = (F.col("most_ties") == 1) & (n_x * n_y < EXACT_BELOW)
+        p_value = F.when(small, smirnov_exact_p("D", "n_x", "n_y")).otherwise(p_value)
+    return found.select("D", p_value.alias("p_value"), "n_x", "n_y")
 
 
 def bandwidths(

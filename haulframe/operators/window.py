@@ -89,10 +89,11 @@ def attach_group_stats(
 
 
 def group_max_rows(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows holding their group's maximum; ties are all kept."""
-    top = df.groupBy(*keys).agg(F.max(value).alias("__top"))
-    return (
-        attach(df, top, keys)
-        .filter(F.col(value) == F.col("__top"))
-        .drop("__top")
+    """Rows holding their group's maximum; ties are all kept.
+
+    The value is part of the join key, so a big group spreads over its values.
+    """
+    top = df.groupBy(*keys).agg(F.max(value).alias(value))
+    return attach(
+        df, top.filter(F.col(value).isNotNull()), [*keys, value], "left_semi"
     )
