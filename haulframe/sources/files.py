@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,12 +77,17 @@ def read_csv(
         raise FileNotFoundError(f"no file matches {pattern} in {path}")
     ranks = spark.createDataFrame(
         [(f, i) for i, f in enumerate(files_in_order)], "__file string, __rank long"
-    )
+    ).withColumn("__file", _one_slash(F.col("__file")))
     parts = []
     for header, files in groups.items():
         names = [aliases.get(n, n) for n in _header_names(header)]
         text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.schema(text).option("header", True).csv(files)
+        # file names come back percent-encoded from the listing
+        raw = (
+            spark.read.schema(text)
+            .option("header", True)
+            .csv([unquote(f) for f in files])
+        )
         columns = [
             blank_to_null(f.name).try_cast(f.dataType).alias(f.name)
             if f.name in names
@@ -91,7 +97,7 @@ def read_csv(
         parts.append(
             raw.select(
                 *columns,
-                F.col("_metadata.file_path").alias("__file"),
+                _one_slash(F.col("_metadata.file_path")).alias("__file"),
                 _line_order().alias("__line"),
             )
         )
@@ -103,6 +109,11 @@ def read_csv(
     )
 
 
+def _one_slash(path: Column) -> Column:
+    """File listings and rows write the slashes after the scheme differently."""
+    return F.regexp_replace(path, r"^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
 def _line_order() -> Column:
     """A number that grows line by line within one file.
 
