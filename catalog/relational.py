@@ -426,13 +426,13 @@ def brand_totals(t):
 
 @register(QUERIES, f"""
     WITH b AS ({BRAND_TOTALS})
-    SELECT p_type, p_brand, round(revenue, 2) AS revenue,
+    SELECT p_type, p_brand, round(revenue, 4) AS revenue,
            round(revenue / sum(revenue) OVER (PARTITION BY p_type), 8) AS prop
     FROM b
 """)
 def brand_share(t):
     shares = group_share(materialize(brand_totals(t)), ["p_type"], "revenue")
-    return shares.withColumns({"revenue": r("revenue", 2), "prop": r("prop", 8)})
+    return shares.withColumns({"revenue": r("revenue", 4), "prop": r("prop", 8)})
 
 
 @register(QUERIES, f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -18,13 +19,18 @@ FILE_SPAN = 1 << 43
 
 
 def header_groups(
-    spark: SparkSession, path: str | Sequence[str], pattern: str
+    spark: SparkSession,
+    path: str | Sequence[str],
+    pattern: str,
+    expected: Sequence[str],
 ) -> dict[str, list[str]]:
     """Files per distinct header line.
 
-    One text pass that keeps the first line of each file; the driver receives
-    file names only.
+    A header names at least one ``expected`` column, so nearly all data lines
+    are dropped while the text is scanned; the first line left in a file is
+    its header.  The driver receives file names only.
     """
+    named = "|".join(re.escape(n) for n in expected)
     lines = (
         spark.read.option("pathGlobFilter", pattern)
         .text(path)
@@ -32,9 +38,10 @@ def header_groups(
             "value",
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("at"),
         )
         .filter("block = 0")
-        .withColumn("at", F.monotonically_increasing_id())
+        .filter(F.col("value").rlike(f'(^|,)[\\s\ufeff"]*({named})[\\s"]*(,|$)'))
     )
     first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
     groups: dict[str, list[str]] = {}
@@ -71,7 +78,8 @@ def read_csv(
         listing = spark.read.option("pathGlobFilter", pattern).text(path)
         groups = {",".join(schema.names): sorted(listing.inputFiles())}
     else:
-        groups = header_groups(spark, path, pattern)
+        expected = [*schema.names, *aliases]
+        groups = header_groups(spark, path, pattern, expected)
     files_in_order = sorted(f for files in groups.values() for f in files)
     if not files_in_order:
         raise FileNotFoundError(f"no file matches {pattern} in {path}")

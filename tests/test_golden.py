@@ -2,7 +2,8 @@
 
 HAULFRAME_GOLDEN names a JSON object with the folders and file patterns of the
 first survey year: {"folder": ..., "catch": ..., "lengths": ...,
-"catch_codes": ..., "length_codes": ...}.  Without it these tests skip.
+"catch_codes": ..., "length_codes": ..., "later": {"2022": ..., "2023": ...}},
+the last one giving the folders of later years.  Without it these tests skip.
 """
 
 import json
@@ -189,3 +190,27 @@ def test_quantiles_match_builtin(lengths):
     spark_own = {tuple(r) for r in lengths.filter("length is not null").groupBy("species")
                  .agg(F.median("length")).collect()}
     assert ours == spark_own
+
+
+LATER = {
+    "2022": {(201, "POT"): ("1,334", "0.40", "61.5 (0.19)"),
+             (203, "POT"): ("1,414", "0.43", "60.7 (0.20)")},
+    "2023": {(201, "POT"): ("1,003", "0.41", "60.3 (0.19)"),
+             (202, "HAL"): ("1,288", "0.38", "60.4 (0.19)"),
+             (202, "POT"): ("1,166", "0.41", "60.6 (0.16)"),
+             (203, "POT"): ("1,040", "0.46", "60.7 (0.18)")},
+}
+
+
+@pytest.mark.parametrize("year", LATER)
+def test_later_years(spark, year):
+    s = json.loads(SETTINGS)
+    folder = s.get("later", {}).get(year)
+    if not folder:
+        pytest.skip("folder not given")
+    alias = {"species_code2": "species_code"}
+    codes = read_csv(spark, folder, CODES, s["length_codes"], aliases=alias).drop("row_seq")
+    rows = read_csv(spark, folder, LENGTHS, s["lengths"], aliases=alias)
+    fish = S.parse_lengths(S.decode(rows, codes, "species_code"))
+    table = S.sex_length_table(fish.filter("species = 'Sablefish'"))
+    assert {(r["station"], r["gear"]): tuple(r)[2:] for r in table.collect()} == LATER[year]
