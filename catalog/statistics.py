@@ -91,10 +91,10 @@ GAPS_SQL = """
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                       b AS (PARTITION BY key ORDER BY pos
                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT event_id, key, v, round(CASE
+    SELECT event_id, key, v, CASE
         WHEN v IS NOT NULL OR n_known < 2 THEN v
         WHEN p0 IS NOT NULL AND p1 IS NOT NULL THEN v0 + (v1 - v0) / (p1 - p0) * (pos - p0)
-        ELSE coalesce(v0, v1) END, 6) AS filled
+        ELSE coalesce(v0, v1) END AS filled
     FROM k
 """
 
@@ -103,9 +103,7 @@ def _gaps(t, key, known):
     rows = t.events.select(
         "event_id", F.expr(key).alias("key"), F.expr(f"CASE WHEN {known} THEN value END").alias("v")
     )
-    return interpolate(rows, ["key"], ["event_id"], "v", "filled").withColumn(
-        "filled", r("filled")
-    )
+    return interpolate(rows, ["key"], ["event_id"], "v", "filled")
 
 
 @register(QUERIES, GAPS_SQL.format(

@@ -129,11 +129,11 @@ def detailed_rates(t):
 
 @register(QUERIES, f"""
     WITH {V.CATCH_SQL}
-    SELECT station, haul, skate, recorded_depth, round(interp_depth, 6) AS interp_depth
+    SELECT station, haul, skate, recorded_depth, interp_depth
     FROM depths
 """)
 def unit_depths(t):
-    return S.unit_depths(V.catch(t)).withColumn("interp_depth", r("interp_depth"))
+    return S.unit_depths(V.catch(t))
 
 
 @register(QUERIES, f"""
@@ -426,14 +426,14 @@ def standard_lengths(t):
       s AS (SELECT sized.* REPLACE (CASE WHEN pot_size <> 'Hooks'
               THEN replace(pot_size, ' pots', '') END AS pot_size) FROM sized)
     SELECT CAST(2021 AS INTEGER) AS year, date, gear, station, haul, skate AS skate_or_pot,
-      round(interp_depth, 6) AS depth, species, catch, depredation, pot_size,
+      interp_depth AS depth, species, catch, depredation, pot_size,
       {RING_SQL} AS escape_ring, escape_ring AS escape_ring_notes
     FROM s LEFT JOIN depths USING (station, haul, skate) LEFT JOIN dates USING (station)
 """)
 def standard_catch(t):
     return S.standard_catch(
         V.sized(t), S.unit_depths(V.catch(t)), station_dates(t), 2021, V.CODES
-    ).withColumn("depth", r("depth"))
+    )
 
 
 # -- several years ---------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from haulframe.functions.nulls import same_keys
@@ -24,6 +24,9 @@ from haulframe.sources.scratch import (
 # A key is hot when it holds at least 1/HOT_SHARE of all rows, so there are
 # never more than HOT_SHARE hot keys and their table is always small.
 HOT_SHARE = 500
+# A key with fewer rows than this is never hot.
+HOT_FLOOR_KEY = "haulframe.hot.floor"
+HOT_FLOOR = 100_000
 
 
 class DuplicateKeys(ValueError):
@@ -116,11 +119,22 @@ def attach(
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys holding at least 1/HOT_SHARE of the rows, as a written table."""
-    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
+    """Keys holding at least 1/HOT_SHARE of the rows, as a written table.
+
+    One counting pass; keys below a floor that no task minds are dropped on
+    the way out, and the total is observed before they are.
+    """
+    floor = int(rows.sparkSession.conf.get(HOT_FLOOR_KEY, str(HOT_FLOOR)))
+    seen = Observation()
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    big = materialize(
+        counts.observe(seen, F.sum("__n").alias("total")).filter(
+            F.col("__n") >= F.lit(floor)
+        )
+    )
+    total = seen.get["total"] or 0
     return materialize(
-        counts.filter(F.col("__n") * HOT_SHARE >= F.lit(total)).select(*keys)
+        big.filter(F.col("__n") * HOT_SHARE >= F.lit(total)).select(*keys)
     )
 
 

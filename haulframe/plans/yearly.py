@@ -1,13 +1,14 @@
 """The three ways the analyses are run end to end.
 
-Each returns named DataFrames that are not yet computed; ``write_all`` turns
-every one into a folder.
+Each returns its tables by name as functions that build them, so that a
+caller pays for the tables it asks for; ``write_all`` writes every one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from haulframe.plans.codes import GearCodes
 from haulframe.sources.scratch import materialize
 from haulframe.sources.sinks import write_csv
 
+Tables = dict[str, Callable[[], DataFrame]]
+
 
 def survey_year(
     catch: DataFrame,
@@ -36,7 +39,7 @@ def survey_year(
     codes: GearCodes,
     fish_group: str = "gear",
     fish_levels: tuple[str, str] | None = None,
-) -> dict[str, DataFrame]:
+) -> Tables:
     """All tables of one survey year.
 
     ``catch`` and ``lengths`` are decoded rows, ``stations`` has one row per
@@ -61,42 +64,42 @@ def survey_year(
     x, y = fish_levels or (codes.pots, codes.hooks)
     dates = stations.groupBy("station").agg(F.min("date").alias("date"))
     out = {
-        "station_table": S.station_table(stations, catch),
-        "units_omitted": S.omitted_units(tally, codes),
-        "detailed_rates": rates,
-        "rate_summary": S.rate_summary(rates),
-        "rate_boxes": boxplot(rates, ["station", "detailed_gear"], "n_target"),
-        "rate_ecdf": ecdf(rates, ["detailed_gear"], "n_target"),
-        "rates_by_depth": deep,
-        "depth_totals": S.depth_totals(deep, codes),
-        "depth_correlation_by_station": S.depth_correlation(deep, tuple(gears)),
-        "depth_correlation": S.depth_correlation(deep, tuple(gears), by=[]),
-        "mixed_split": split,
-        "sample_sizes": S.sample_sizes(fish, sized, parts, gears),
-        "species_composition": S.species_composition(sized, parts, codes.not_fish),
-        "length_summary": S.length_summary(target, ["gear", "station", "sex"]),
-        "length_ks": ks_test(target, fish_group, "length", x, y),
-        "length_welch": welch_test(target, fish_group, "length", x, y),
-        "length_density": kernel_density(
+        "station_table": lambda: S.station_table(stations, catch),
+        "units_omitted": lambda: S.omitted_units(tally, codes),
+        "detailed_rates": lambda: rates,
+        "rate_summary": lambda: S.rate_summary(rates),
+        "rate_boxes": lambda: boxplot(rates, ["station", "detailed_gear"], "n_target"),
+        "rate_ecdf": lambda: ecdf(rates, ["detailed_gear"], "n_target"),
+        "rates_by_depth": lambda: deep,
+        "depth_totals": lambda: S.depth_totals(deep, codes),
+        "depth_correlation_by_station": lambda: S.depth_correlation(deep, tuple(gears)),
+        "depth_correlation": lambda: S.depth_correlation(deep, tuple(gears), by=[]),
+        "mixed_split": lambda: split,
+        "sample_sizes": lambda: S.sample_sizes(fish, sized, parts, gears),
+        "species_composition": lambda: S.species_composition(sized, parts, codes.not_fish),
+        "length_summary": lambda: S.length_summary(target, ["gear", "station", "sex"]),
+        "length_ks": lambda: ks_test(target, fish_group, "length", x, y),
+        "length_welch": lambda: welch_test(target, fish_group, "length", x, y),
+        "length_density": lambda: kernel_density(
             target, ["station", "gear"], "length", 1.5, panel=["station"]
         ),
-        "length_ecdf": ecdf(target, ["station", "sex", "gear"], "length"),
-        "length_histogram": histogram(
+        "length_ecdf": lambda: ecdf(target, ["station", "sex", "gear"], "length"),
+        "length_histogram": lambda: histogram(
             target, ["station", "sex", "gear"], "length", panel=["station", "sex"],
             mirrored=F.col("gear") == codes.pots,
         ),
-        "sex_ratio": S.sex_ratio(target, ["station", "gear"]),
-        "sex_length_table": S.sex_length_table(target),
-        "equivalence": S.equivalence_labels(
+        "sex_ratio": lambda: S.sex_ratio(target, ["station", "gear"]),
+        "sex_length_table": lambda: S.sex_length_table(target),
+        "equivalence": lambda: S.equivalence_labels(
             S.equivalence_spacing(rates, codes.hooks, codes.pots)
         ),
-        "clean_lengths": S.standard_lengths(fish, dates, year, codes),
-        "clean_catch": S.standard_catch(sized, depths, dates, year, codes),
+        "clean_lengths": lambda: S.standard_lengths(fish, dates, year, codes),
+        "clean_catch": lambda: S.standard_catch(sized, depths, dates, year, codes),
     }
     if codes.large_marker:
-        out["pot_counts"] = S.pot_counts(sized, codes)
-        out["totals_by_size"] = S.totals_by_size(fish, sized, codes.target)
-        out["size_welch_rates"] = welch_test(
+        out["pot_counts"] = lambda: S.pot_counts(sized, codes)
+        out["totals_by_size"] = lambda: S.totals_by_size(fish, sized, codes.target)
+        out["size_welch_rates"] = lambda: welch_test(
             rates, "pot_size", "n_target", "Small", "Large"
         )
     return out
@@ -109,7 +112,7 @@ def synthesis(
     stations: dict[str, int],
     target: str,
     pair: tuple[str, str],
-) -> dict[str, DataFrame]:
+) -> Tables:
     """Comparisons over the years, from each year's rates and clean lengths."""
     all_rates = materialize(Y.harmonise(Y.union_years(rates), gears, stations))
     fish = materialize(
@@ -126,18 +129,18 @@ def synthesis(
         ["gear", "stratum", "station"],
         ["gear", "station", "sex"],
     ]
-    out = {}
+    out: Tables = {}
     for by in facets:
         name = "_".join(by)
-        out[f"median_length_{name}"] = Y.medians_by(fish, by)
-        out[f"density_length_{name}"] = Y.densities_by(fish, by)
+        out[f"median_length_{name}"] = partial(Y.medians_by, fish, by)
+        out[f"density_length_{name}"] = partial(Y.densities_by, fish, by)
     for by in (["gear"], ["station", "gear"], ["station", "gear", "year"]):
-        out["sex_ratio_" + "_".join(by)] = Y.sex_ratio(fish, by)
+        out["sex_ratio_" + "_".join(by)] = partial(Y.sex_ratio, fish, by)
     for by in (["gear", "station"], ["gear", "year", "station"]):
-        out["rate_boxes_" + "_".join(by)] = Y.boxes_by(all_rates, by)
+        out["rate_boxes_" + "_".join(by)] = partial(Y.boxes_by, all_rates, by)
     for by in (["year", "station"], ["year"], []):
         name = "_".join(["depth_correlation", *by])
-        out[name] = Y.depth_correlation(all_rates, pair, by)
+        out[name] = partial(Y.depth_correlation, all_rates, pair, by)
     return out
 
 
@@ -149,7 +152,7 @@ def landings_report(
     since: date = date(2021, 9, 25),
     gears: Sequence[str] = ("HAL", "POT_HARD", "POT_UNKN"),
     kinds: Sequence[str] | None = None,
-) -> dict[str, DataFrame]:
+) -> Tables:
     """All landings tables.  The extract is written once, never collected."""
     extract = materialize(
         L.landings_extract(landings, tickets, years=years, kinds=kinds)
@@ -157,20 +160,20 @@ def landings_report(
     known = L.known_vessel_gear(extract, known_years)
     attributed = materialize(L.attribute_gear(extract, known_years))
     return {
-        "extract": extract,
-        "too_few": L.confidentiality_screen(extract),
-        "share_by_gear": L.share_by_gear(extract),
-        "weekly_catch": L.weekly_catch(extract, max(known_years) - 1),
-        "ambiguous_vessels": L.vessel_gear_matrix(
+        "extract": lambda: extract,
+        "too_few": lambda: L.confidentiality_screen(extract),
+        "share_by_gear": lambda: L.share_by_gear(extract),
+        "weekly_catch": lambda: L.weekly_catch(extract, max(known_years) - 1),
+        "ambiguous_vessels": lambda: L.vessel_gear_matrix(
             extract, L.several_gears(known), since, gears
         ),
-        "unresolved": L.unresolved(attributed),
-        "summary": L.landings_summary(attributed),
-        "unidentified_vessels": L.unidentified_vessels(attributed),
+        "unresolved": lambda: L.unresolved(attributed),
+        "summary": lambda: L.landings_summary(attributed),
+        "unidentified_vessels": lambda: L.unidentified_vessels(attributed),
     }
 
 
-def write_all(tables: dict[str, DataFrame], folder: str) -> None:
+def write_all(tables: Tables, folder: str) -> None:
     """Write every table as CSV into its own sub-folder."""
-    for name, table in tables.items():
-        write_csv(table, f"{folder}/{name}")
+    for name, build in tables.items():
+        write_csv(build(), f"{folder}/{name}")

@@ -14,8 +14,10 @@ from haulframe.operators.window import (
 def nothing_is_small(spark):
     """Force the path for tables too large to broadcast."""
     spark.conf.set("haulframe.broadcast.bytes", "0")
+    spark.conf.set("haulframe.hot.floor", "1")
     yield
     spark.conf.unset("haulframe.broadcast.bytes")
+    spark.conf.unset("haulframe.hot.floor")
 
 
 @pytest.fixture(scope="module")
@@ -49,9 +51,43 @@ def test_attach_both_ways_agree(spark, uneven, nothing_is_small):
     assert far.filter("key is null and n is null").count() == 0
 
 
-def test_hot_keys_are_few_and_found(uneven):
+def test_hot_keys_are_few_and_found(uneven, nothing_is_small):
     hot = {r["key"] for r in J.hot_keys(uneven, ["key"]).collect()}
-    assert "hot" in hot and len(hot) <= J.HOT_SHARE
+    assert "hot" in hot and None in hot and len(hot) <= J.HOT_SHARE
+
+
+def test_no_key_is_hot_below_the_floor(uneven):
+    assert J.hot_keys(uneven, ["key"]).count() == 0
+
+
+def test_a_hot_partition_of_a_file_join_is_split(spark, tmp_path):
+    """Adaptive execution splits the hot key of an unhinted join."""
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    )
+    rows.repartition(16).write.parquet(str(tmp_path / "rows"))
+    spark.range(200_000).select(F.col("id").alias("k"), F.col("id").alias("v")).write.parquet(
+        str(tmp_path / "table"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        joined = J.lookup(
+            spark.read.parquet(str(tmp_path / "rows")),
+            spark.read.parquet(str(tmp_path / "table")), ["k"])
+        assert len(joined.collect()) == 200_000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("how", ["left_semi", "left_anti", "inner"])
