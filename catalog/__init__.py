@@ -1,8 +1,9 @@
 """Every operator as a query on the shared tables, with equivalent SQL."""
 
-from catalog import landings_views, relational, statistics, survey_views
+from catalog import files, landings_views, relational, statistics, survey_views
 
 ALL = {
+    **files.QUERIES,
     **relational.QUERIES,
     **statistics.QUERIES,
     **survey_views.QUERIES,

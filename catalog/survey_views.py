@@ -136,6 +136,21 @@ def unit_depths(t):
     return S.unit_depths(V.catch(t))
 
 
+@register(QUERIES, f"""
+    WITH {V.CATCH_SQL},
+      seen AS (SELECT DISTINCT station, haul, skate, CAST(depth AS DOUBLE) AS depth FROM caught)
+    SELECT rates.station, rates.haul, rates.skate, n_target, nullif(depth, 0) AS recorded_depth
+    FROM rates LEFT JOIN seen USING (station, haul, skate)
+""")
+def rates_per_recorded_depth(t):
+    """The join that repeats a unit for each of its recorded depths."""
+    from haulframe.operators.joins import lookup
+
+    depths = S.unit_depths(V.catch(t), fanout=True).drop("interp_depth")
+    joined = lookup(V.rates(t), depths, S.UNIT)
+    return joined.select(*S.UNIT, "n_target", "recorded_depth")
+
+
 @register(QUERIES, f"""
     WITH {V.CATCH_SQL}
     SELECT gear, station, depth,

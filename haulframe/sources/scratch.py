@@ -38,14 +38,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def _new_path(spark: SparkSession) -> str:
+def new_path(spark: SparkSession) -> str:
+    """A fresh folder name under the shared folder."""
     app = spark.sparkContext.applicationId
     return f"{scratch_dir(spark)}/haulframe/{app}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
-    path = _new_path(df.sparkSession)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
