@@ -12,13 +12,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from haulframe.operators.joins import null_safe_join
+from haulframe.operators.joins import any_of, attach, null_safe_join
 from haulframe.sources.scratch import materialize
 
 PIECE = "__piece"
+# Equal-width bins used to locate quantiles among many distinct values.
+BINS = 4096
+RANK_ALL_KEY = "haulframe.quantile.rank_all"
+RANK_ALL = 5_000_000
 
 
 def in_pieces(
@@ -144,13 +148,74 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles per group, exact by default (linear between order statistics).
 
-    ``approx`` swaps in the mergeable sketch: one pass, bounded memory.
+    With few distinct values all of them are ranked.  With many, the wanted
+    ranks are first located in equal-width bins, and only the values of those
+    bins are ranked; both ways are exact.  ``approx`` swaps in the mergeable
+    sketch: one pass, bounded memory.
     """
     if approx:
         return df.groupBy(*keys).agg(
             *[F.percentile_approx(value, p).alias(n) for n, p in probs.items()]
         )
-    return quantiles_of_ranked(ranked_counts(df, keys, value), keys, value, probs)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    v = F.col(value).cast("double")
+    seen = Observation()
+    limits = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_group"),
+        F.min(v).alias("__lo"),
+        ((F.max(v) - F.min(v)) / BINS).alias("__width"),
+        F.approx_count_distinct(value).alias("__distinct"),
+    )
+    limits = materialize(limits.observe(seen, F.sum("__distinct").alias("distinct")))
+    if (seen.get["distinct"] or 0) <= rank_all_limit(df):
+        return quantiles_of_ranked(ranked_counts(rows, keys, value), keys, value, probs)
+    located = _locate(rows, limits.drop("__distinct"), keys, value, probs)
+    return quantiles_of_ranked(located, keys, value, probs)
+
+
+def rank_all_limit(df: DataFrame) -> int:
+    """Number of distinct values up to which quantiles rank all of them."""
+    return int(df.sparkSession.conf.get(RANK_ALL_KEY, str(RANK_ALL)))
+
+
+def _locate(
+    rows: DataFrame,
+    limits: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+) -> DataFrame:
+    """Ranked counts of the values around the wanted ranks only."""
+    width = F.col("__width")
+    at = F.floor((F.col(value).cast("double") - F.col("__lo")) / width)
+    usable = (width > 0) & (width < F.lit(float("inf")))
+    placed = attach(rows, limits, keys).withColumn(
+        "__bin", F.when(usable, F.least(at, F.lit(BINS - 1))).otherwise(F.lit(0))
+    )
+    counts = placed.groupBy(*keys, "n_group", "__bin").agg(
+        F.count(F.lit(1)).alias("__in_bin")
+    )
+    # at most BINS rows per group
+    upto = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("__bin").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    ranked_bins = counts.withColumn("__upto", F.sum("__in_bin").over(upto)).withColumn(
+        "__before", F.col("__upto") - F.col("__in_bin")
+    )
+    ranks = [(F.col("n_group") - 1) * F.lit(float(p)) for p in probs.values()]
+    wanted = [
+        (F.col("__before") <= F.ceil(x)) & (F.floor(x) < F.col("__upto")) for x in ranks
+    ]
+    chosen = ranked_bins.filter(any_of(wanted)).select(*keys, "__bin", "__before")
+    inside = attach(
+        placed.select(*keys, "__bin", "n_group", value), chosen, [*keys, "__bin"], "inner"
+    )
+    values = inside.groupBy(*keys, "__bin", "__before", "n_group", value).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return running_totals(
+        values, [*keys, "__bin"], [value], {"n_upto": F.col("n")}
+    ).withColumn("n_upto", F.col("n_upto") + F.col("__before"))
 
 
 def quantiles_of_ranked(

@@ -15,12 +15,7 @@ from haulframe.functions.nulls import safe_corr, safe_ratio
 from haulframe.functions.smirnov import EXACT_BELOW, smirnov_exact_p
 from haulframe.functions.student_t import t_quantile, t_two_sided_p
 from haulframe.operators.joins import attach, null_safe_join
-from haulframe.operators.ordered import (
-    quantiles_of_ranked,
-    ranked_counts,
-    running_totals,
-    value_counts,
-)
+from haulframe.operators.ordered import quantiles, running_totals, value_counts
 from haulframe.operators.reshape import pivot_wider
 from haulframe.operators.window import zscore
 from haulframe.sources.scratch import materialize
@@ -146,11 +141,7 @@ def ks_test(
 
 
 def bandwidths(
-    df: DataFrame,
-    ranked: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    adjust: float = 1.0,
+    df: DataFrame, keys: Sequence[str], value: str, adjust: float = 1.0
 ) -> DataFrame:
     """Rule-of-thumb bandwidth, size and range per group."""
     v = F.col(value).cast("double")
@@ -164,7 +155,7 @@ def bandwidths(
             F.max(v).alias("most"),
         )
     )
-    box = quantiles_of_ranked(ranked, keys, value, {"q1": 0.25, "q3": 0.75})
+    box = quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
     iqr = (F.col("q3") - F.col("q1")) / 1.34
     spread = F.least("sd", iqr)
     size = F.greatest(F.abs("least"), F.abs("most"))
@@ -205,41 +196,41 @@ def kernel_density(
     group of any size reaches the kernel sum as at most ``points`` weights.
     ``panel`` (a subset of ``keys``) names the groups that share one range.
     """
-    ranked = ranked_counts(df, keys, value)
-    widths = materialize(bandwidths(df, ranked, keys, value, adjust))
+    widths = materialize(bandwidths(df, keys, value, adjust))
     setup = _panel_limits(widths, panel).filter("n_group >= 2")
-    ranked = ranked.select(*keys, value, "n")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
     last = points - 1
     lo = F.col("x_min") - 4 * F.col("bw")
     step = (F.col("x_max") - F.col("x_min") + 8 * F.col("bw")) / last
     placed = (
-        attach(ranked, setup, keys, "inner")
+        attach(rows, setup, keys, "inner")
         .withColumns({"lo": lo, "step": step})
         .withColumn("__at", (F.col(value).cast("double") - F.col("lo")) / F.col("step"))
         .withColumn("__node", F.floor("__at"))
         .withColumn("__part", F.col("__at") - F.col("__node"))
     )
-    weight = F.col("n") / F.col("n_group")
-    nodes = placed.select(
-        *keys, "x_min", "x_max", "bw", "lo", "step",
+    frame = [*keys, "x_min", "x_max", "bw", "lo", "step", "n_group"]
+    counted = placed.groupBy(*frame, "__node").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("__part").alias("parts")
+    )
+    # each node passes part of its rows on to the next one
+    cells = counted.select(
+        *frame,
         F.explode(
             F.array(
                 F.struct(
                     F.col("__node").alias("node"),
-                    (weight * (1 - F.col("__part"))).alias("w"),
-                ),
-                F.struct(
-                    (F.col("__node") + 1).alias("node"),
-                    (weight * F.col("__part")).alias("w"),
+                    (F.col("rows") - F.col("parts")).alias("w"),
                 ),
+                F.struct((F.col("__node") + 1).alias("node"), F.col("parts").alias("w")),
             )
         ).alias("cell"),
     )
-    binned = nodes.groupBy(
-        *keys, "x_min", "x_max", "bw", "lo", "step", F.col("cell.node").alias("node")
-    ).agg(F.sum("cell.w").alias("w"))
+    binned = cells.groupBy(*frame, F.col("cell.node").alias("node")).agg(
+        (F.sum("cell.w") / F.col("n_group")).alias("w")
+    )
     # at most `points` weights per group
-    packed = binned.groupBy(*keys, "x_min", "x_max", "bw", "lo", "step").agg(
+    packed = binned.groupBy(*frame).agg(
         F.sort_array(F.collect_list(F.struct("node", "w"))).alias("cells")
     )
     grid = packed.withColumn(
@@ -307,32 +298,34 @@ def histogram(
     )
 
 
+def _with_fences(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows with their group's quartiles and whether they lie within 1.5 IQR."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    box = quantiles(rows, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    within = F.col(value).cast("double").between(F.col("q1") - reach, F.col("q3") + reach)
+    return attach(rows, box, keys).withColumn("__within", within)
+
+
 def boxplot(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR, outlier count."""
-    ranked = ranked_counts(df, keys, value)
-    box = quantiles_of_ranked(
-        ranked, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    ).withColumn("__reach", 1.5 * (F.col("q3") - F.col("q1")))
-    v = F.col(value).cast("double")
-    inside = v.between(F.col("q1") - F.col("__reach"), F.col("q3") + F.col("__reach"))
-    return attach(ranked, box, keys).groupBy(*keys, "q1", "median", "q3").agg(
-        F.min(F.when(inside, v)).alias("lower"),
-        F.max(F.when(inside, v)).alias("upper"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"),
-        F.sum("n").alias("n"),
+    inside = F.when(F.col("__within"), F.col(value).cast("double"))
+    return (
+        _with_fences(df, keys, value)
+        .groupBy(*keys, "q1", "median", "q3")
+        .agg(
+            F.min(inside).alias("lower"),
+            F.max(inside).alias("upper"),
+            F.count_if(~F.col("__within")).alias("n_outliers"),
+            F.count(F.lit(1)).alias("n"),
+        )
     )
 
 
 def outliers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values beyond the whiskers with their counts."""
-    ranked = ranked_counts(df, keys, value)
-    box = quantiles_of_ranked(ranked, keys, value, {"q1": 0.25, "q3": 0.75})
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col(value).cast("double")
-    return (
-        attach(ranked, box, keys)
-        .filter((v < F.col("q1") - reach) | (v > F.col("q3") + reach))
-        .select(*keys, value, "n")
+    return value_counts(
+        _with_fences(df, keys, value).filter(~F.col("__within")), keys, value
     )
 
 

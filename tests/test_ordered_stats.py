@@ -56,8 +56,10 @@ def test_running_totals(sample):
     assert {r["seq"]: (r["s"], r["all"]) for r in got} == want
 
 
-def test_quantiles_and_ecdf(sample):
+@pytest.mark.parametrize("rank_all", ["0", "5000000"])
+def test_quantiles_and_ecdf(spark, sample, rank_all):
     df, rows = sample
+    spark.conf.set("haulframe.quantile.rank_all", rank_all)
     got = {r["g"]: r for r in O.quantiles(df, ["g"], "x", {"m": 0.5, "q": 0.25}).collect()}
     for g, items in by_group(rows).items():
         xs = sorted(x for _, x in items)
@@ -65,6 +67,7 @@ def test_quantiles_and_ecdf(sample):
         lo = math.floor(at)
         assert got[g]["m"] == pytest.approx(statistics.median(xs))
         assert got[g]["q"] == pytest.approx(xs[lo] + (xs[math.ceil(at)] - xs[lo]) * (at - lo))
+    spark.conf.unset("haulframe.quantile.rank_all")
     e = O.ecdf(df, ["g"], "x").filter("g = 'hot'").collect()
     xs = [x for _, x in by_group(rows)["hot"]]
     for r in e:
@@ -73,6 +76,17 @@ def test_quantiles_and_ecdf(sample):
     assert approx["m"] == pytest.approx(got["hot"]["m"], abs=0.5)
 
 
+def test_located_quantiles_survive_far_outliers_and_constants(spark):
+    xs = [1.0, 1.25, 1.5, 2.0, 1e12]
+    df = spark.createDataFrame(
+        [("far", x) for x in xs] + [("flat", 3.0)] * 4 + [("gap", None)], "g string, x double")
+    spark.conf.set("haulframe.quantile.rank_all", "0")
+    got = {r["g"]: r for r in O.quantiles(df, ["g"], "x", {"m": 0.5, "q": 0.1, "top": 1.0}).collect()}
+    spark.conf.unset("haulframe.quantile.rank_all")
+    assert (got["far"]["m"], got["far"]["q"], got["far"]["top"]) == (1.5, 1.1, 1e12)
+    assert got["flat"]["m"] == 3.0 and "gap" not in got
+
+
 def interpolated(values, hold=True):
     known = [(i, v) for i, v in enumerate(values) if v is not None]
     if len(known) < 2:
