@@ -239,7 +239,7 @@ def mixed_split_rows(t):
     GROUP BY ALL
 """)
 def sample_sizes(t):
-    fish, tally = V.fish(t), V.tally(t)
+    fish, tally = V.fish(t), materialize(V.tally(t))
     split = S.split_rows(S.split_mixed(fish, tally))
     return S.sample_sizes(fish, tally, split, ["HAL", "POT"])
 

@@ -148,16 +148,19 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles per group, exact by default (linear between order statistics).
 
-    With few distinct values all of them are ranked.  With many, the wanted
-    ranks are first located in equal-width bins, and only the values of those
-    bins are ranked; both ways are exact.  ``approx`` swaps in the mergeable
-    sketch: one pass, bounded memory.
+    With few rows or few distinct values all values are ranked.  With many,
+    the wanted ranks are first located in equal-width bins, and only the
+    values of those bins are ranked; both ways are exact.  ``approx`` swaps in
+    the mergeable sketch: one pass, bounded memory.
     """
     if approx:
         return df.groupBy(*keys).agg(
             *[F.percentile_approx(value, p).alias(n) for n, p in probs.items()]
         )
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    few = rank_all_limit(df)
+    if rows.count() <= few:
+        return quantiles_of_ranked(ranked_counts(rows, keys, value), keys, value, probs)
     v = F.col(value).cast("double")
     seen = Observation()
     limits = rows.groupBy(*keys).agg(
@@ -167,7 +170,7 @@ def quantiles(
         F.approx_count_distinct(value).alias("__distinct"),
     )
     limits = materialize(limits.observe(seen, F.sum("__distinct").alias("distinct")))
-    if (seen.get["distinct"] or 0) <= rank_all_limit(df):
+    if (seen.get["distinct"] or 0) <= few:
         return quantiles_of_ranked(ranked_counts(rows, keys, value), keys, value, probs)
     located = _locate(rows, limits.drop("__distinct"), keys, value, probs)
     return quantiles_of_ranked(located, keys, value, probs)

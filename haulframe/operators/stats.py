@@ -267,10 +267,14 @@ def histogram(
     and bins are closed on the right.  Where ``mirrored`` holds the density
     gets a minus sign.
     """
-    counts = materialize(value_counts(df, keys, value))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
     v = F.col(value).cast("double")
-    sizes = counts.groupBy(*keys).agg(
-        F.sum("n").alias("n_group"), F.min(v).alias("least"), F.max(v).alias("most")
+    sizes = materialize(
+        rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_group"),
+            F.min(v).alias("least"),
+            F.max(v).alias("most"),
+        )
     )
     spread = F.col("x_max") - F.col("x_min")
     setup = _panel_limits(sizes, panel).withColumn(
@@ -280,10 +284,10 @@ def histogram(
     # a value on a bin edge belongs to the bin it closes, despite rounding
     at = F.greatest(F.ceil((v - left) / F.col("width") - 1e-8), F.lit(1))
     binned = (
-        attach(counts, setup, keys)
+        attach(rows, setup, keys)
         .withColumn("bin", at.cast("int"))
         .groupBy(*keys, "bin", "x_min", "width", "n_group")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     density = F.col("n") / (F.col("n_group") * F.col("width"))
     if mirrored is not None:

@@ -421,7 +421,7 @@ def sample_sizes(
         .agg(F.sum("catch").alias("n_catch")),
         keys,
     ).filter(not_member("species", not_catch))
-    both = both.fillna(0, subset=["n_lengths", "n_catch"])
+    both = materialize(both.fillna(0, subset=["n_lengths", "n_catch"]))
     label = F.concat(big_int("n_lengths"), F.lit(" / "), big_int("n_catch"))
     wide = pivot_wider(
         both.withColumn("n", label), ["station", "species"], "gear", "n", gears,
