@@ -19,8 +19,10 @@ from haulframe.operators.joins import any_of, attach, null_safe_join
 from haulframe.sources.scratch import materialize
 
 PIECE = "__piece"
-# Equal-width bins used to locate quantiles among many distinct values.
-BINS = 4096
+# Equal-width bins used to locate quantiles among many distinct values: one per
+# ROWS_PER_BIN rows of the group, and never more than MOST_BINS.
+ROWS_PER_BIN = 256
+MOST_BINS = 4096
 RANK_ALL_KEY = "haulframe.quantile.rank_all"
 RANK_ALL = 5_000_000
 
@@ -163,10 +165,12 @@ def quantiles(
         return quantiles_of_ranked(ranked_counts(rows, keys, value), keys, value, probs)
     v = F.col(value).cast("double")
     seen = Observation()
+    bins = F.ceil(F.count(F.lit(1)) / ROWS_PER_BIN)
     limits = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_group"),
         F.min(v).alias("__lo"),
-        ((F.max(v) - F.min(v)) / BINS).alias("__width"),
+        F.max(v).alias("__hi"),
+        F.least(bins, F.lit(MOST_BINS)).alias("__bins"),
         F.approx_count_distinct(value).alias("__distinct"),
     )
     limits = materialize(limits.observe(seen, F.sum("__distinct").alias("distinct")))
@@ -189,16 +193,16 @@ def _locate(
     probs: dict[str, float],
 ) -> DataFrame:
     """Ranked counts of the values around the wanted ranks only."""
-    width = F.col("__width")
+    width = (F.col("__hi") - F.col("__lo")) / F.col("__bins")
     at = F.floor((F.col(value).cast("double") - F.col("__lo")) / width)
     usable = (width > 0) & (width < F.lit(float("inf")))
     placed = attach(rows, limits, keys).withColumn(
-        "__bin", F.when(usable, F.least(at, F.lit(BINS - 1))).otherwise(F.lit(0))
+        "__bin", F.when(usable, F.least(at, F.col("__bins") - 1)).otherwise(F.lit(0))
     )
     counts = placed.groupBy(*keys, "n_group", "__bin").agg(
         F.count(F.lit(1)).alias("__in_bin")
     )
-    # at most BINS rows per group
+    # at most MOST_BINS rows per group
     upto = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("__bin").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -44,6 +44,15 @@ def new_path(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/haulframe/{app}/{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete the scratch tables of this application, and nothing else."""
+    jvm = spark.sparkContext._jvm
+    app = spark.sparkContext.applicationId
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/haulframe/{app}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
     path = new_path(df.sparkSession)

@@ -4,7 +4,7 @@ from haulframe.operators.rows import matching_columns, preview, rename_all
 from haulframe.sources.database import connection_options, scan_options
 from haulframe.sources.files import literal_table, read_csv, read_tagged
 from haulframe.sources.sinks import write_csv, write_report, write_table
-from haulframe.sources.scratch import materialize_measured, scratch_dir
+from haulframe.sources.scratch import drop_scratch, materialize, materialize_measured, scratch_dir
 
 SCHEMA = "gear string, skate int, length string, pot_size string"
 
@@ -121,3 +121,14 @@ def test_no_local_folder_on_a_cluster():
 def test_size_is_observed_while_writing(spark):
     table, size = materialize_measured(spark.range(10).selectExpr("id", "'abc' AS s"))
     assert table.count() == 10 and size == 10 * (16 + 32 + 3)
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    import haulframe.sources.scratch as scratch
+
+    monkeypatch.setattr(scratch, "scratch_dir", lambda _: str(tmp_path))
+    (tmp_path / "haulframe" / "another").mkdir(parents=True)
+    assert materialize(spark.range(3)).count() == 3
+    assert len(list((tmp_path / "haulframe").iterdir())) == 2
+    assert drop_scratch(spark)
+    assert [p.name for p in (tmp_path / "haulframe").iterdir()] == ["another"]
