@@ -5,15 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import bpe
+from haulframe.llm import bpe, linededup, ownership
 from haulframe.llm.common import table
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.line_report(table(spark, folder, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return ownership.secret_report(table(spark, folder, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.token_digests(table(spark, folder, "documents"), path)
 
 
 QUERIES = {
+    "op3_line_dedup": (op3_line_dedup, linededup.SQL),
+    "op8_secret_scan": (op8_secret_scan, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
 }
