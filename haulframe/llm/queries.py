@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import bpe, linededup, ownership
+from haulframe.llm import bpe, linededup, ownership, warc
 from haulframe.llm.common import table
 
 
+def op2_warc_chain(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_report(spark, folder)
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.line_report(table(spark, folder, "documents"))
 
@@ -23,6 +27,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_chain": (op2_warc_chain, warc.SQL),
     "op3_line_dedup": (op3_line_dedup, linededup.SQL),
     "op8_secret_scan": (op8_secret_scan, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
