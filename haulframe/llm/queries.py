@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import bpe, linededup, ownership, warc
+from haulframe.llm import bpe, linededup, ownership, posindex, warc
 from haulframe.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return ownership.secret_report(table(spark, folder, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return posindex.contamination_report(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.token_digests(table(spark, folder, "documents"), path)
@@ -30,5 +35,6 @@ QUERIES = {
     "op2_warc_chain": (op2_warc_chain, warc.SQL),
     "op3_line_dedup": (op3_line_dedup, linededup.SQL),
     "op8_secret_scan": (op8_secret_scan, None),
+    "op9_decontamination": (op9_decontamination, posindex.SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
 }
