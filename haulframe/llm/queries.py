@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import bpe, linededup, ownership, posindex, warc
+from haulframe.llm import bpe, fingerprint, linededup, ownership, posindex, warc
 from haulframe.llm.common import table
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.version_fingerprints(table(spark, folder, "documents"))
+
+
 def op2_warc_chain(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_report(spark, folder)
 
@@ -32,6 +36,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": (op1_fingerprints, None),
     "op2_warc_chain": (op2_warc_chain, warc.SQL),
     "op3_line_dedup": (op3_line_dedup, linededup.SQL),
     "op8_secret_scan": (op8_secret_scan, None),
