@@ -35,8 +35,8 @@ from haulframe.sources.scratch import materialize
 #: Cells of each of the three tables of a stored sketch; a retry takes four times as many.
 CELLS = 8
 TABLES, GROWTH = 3, 4
-#: Mean words of a part.
-PART_WORDS = 4
+#: Mean words of a part, and most of them, counted from its first word.
+PART_WORDS, MOST_WORDS = 4, 8
 #: Bytes of text in one partition of the ordered pass, by which its number is chosen.
 PARTITION_BYTES = 24 << 20
 
@@ -67,6 +67,9 @@ def parts(data: np.ndarray, offsets: np.ndarray, mean: int = PART_WORDS):
     last[:-1] = (owner[1:] != owner[:-1]) | (lines[begins[1:]] != lines[ends[:-1]])
     last |= seeded(word, 1) % np.uint64(mean) == 0
     head = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+    since = np.arange(len(begins)) - np.repeat(head, np.diff(np.append(head, len(begins))))
+    last |= since % MOST_WORDS == MOST_WORDS - 1
+    head = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
     digest = spans(begins[head], ends[np.flatnonzero(last)])
     owner = owner[head]
     # the n-th occurrence in a text gets a digest of its own
