@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haulframe.llm.common import ascii_lower, row_key
-from haulframe.sources.scratch import broadcast_limit, materialize, materialize_measured
+from haulframe.llm.common import ascii_lower, bounded, row_key
+from haulframe.sources.scratch import materialize
 
 #: Consecutive words of an item that make a match.
 WINDOW = 10
@@ -43,12 +43,6 @@ def hashed(word: Column) -> Column:
     return F.xxhash64(word)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """Write a table and mark it for copying if its measured size allows."""
-    written, size = materialize_measured(df)
-    return F.broadcast(written) if size <= broadcast_limit(df.sparkSession) else written
-
-
 def item_words(items: DataFrame, id: str, text: str) -> DataFrame:
     """(item, row, size, place, term): a row per word of each item."""
     numbered = items.select(F.col(id).alias("item"), words(F.col(text)).alias("w"),

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haulframe.llm.common import table
+from haulframe.llm.common import bounded, table
 from haulframe.sources.scratch import (
     broadcast_limit,
     materialize,
@@ -59,8 +59,9 @@ def with_record_type(pages: DataFrame) -> DataFrame:
     copied = (large.groupBy("payload_digest")
               .agg(F.max("page_id").alias("first_id"), F.count("page_id").alias("copies"))
               .where("copies > 1").select("payload_digest", "first_id"))
-    # one row a digest on the right: a digest of many pages splits on the left
-    joined = pages.join(copied, "payload_digest", "left")
+    # copied to all tasks if its measured size allows, so that no payload is shuffled; beyond
+    # that one row a digest on the right, and a digest of many pages splits on the left
+    joined = pages.join(bounded(copied), "payload_digest", "left")
     revisit = ((F.col("payload_bytes") >= LEAST_REVISITED)
                & (F.col("page_id") < F.col("first_id")))
     return joined.select(
