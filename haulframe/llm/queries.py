@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import bpe, fingerprint, linededup, neardup, ownership, posindex, warc
+from haulframe.llm import bpe, fingerprint, linededup, neardup, ownership, posindex, quality, warc
 from haulframe.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.line_report(table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(
+        table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op1_fingerprints": (op1_fingerprints, None),
     "op2_warc_chain": (op2_warc_chain, warc.SQL),
     "op3_line_dedup": (op3_line_dedup, linededup.SQL),
+    "op5_quality": (op5_quality, None),
     "op7_near_duplicates": (op7_near_duplicates, None),
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_decontamination": (op9_decontamination, posindex.SQL),
