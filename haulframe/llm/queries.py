@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import bpe, fingerprint, linededup, neardup, ownership, posindex, quality, warc
+from haulframe.llm import bpe, extract, fingerprint, linededup, neardup, ownership, posindex, quality, warc
 from haulframe.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.line_report(table(spark, folder, "documents"))
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.page_report(table(spark, folder, "pages"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(
         table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_fingerprints": (op1_fingerprints, None),
     "op2_warc_chain": (op2_warc_chain, warc.SQL),
     "op3_line_dedup": (op3_line_dedup, linededup.SQL),
+    "op4_main_text": (op4_main_text, None),
     "op5_quality": (op5_quality, None),
     "op7_near_duplicates": (op7_near_duplicates, None),
     "op8_secret_scan": (op8_secret_scan, None),
