@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import bpe, extract, fingerprint, linededup, neardup, ownership, posindex, quality, warc
+from haulframe.llm import bpe, extract, fingerprint, linededup, neardup, ownership, posindex, quality, suffixes, warc
 from haulframe.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeat_report(table(spark, folder, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_line_dedup": (op3_line_dedup, linededup.SQL),
     "op4_main_text": (op4_main_text, None),
     "op5_quality": (op5_quality, None),
+    "op6_repeated_strings": (op6_repeated_strings, None),
     "op7_near_duplicates": (op7_near_duplicates, None),
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_decontamination": (op9_decontamination, posindex.SQL),
