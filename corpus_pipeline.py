@@ -1,24 +1,64 @@
 """From raw documents to token ids: quality, line dedup, near-dedup, decontamination, encoding.
 
 ``STAGES`` lists the stages in order.  Each takes the documents that its predecessor
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``, with ``n_chars`` counted
+anew where a stage changes texts.  An empty table passes through as an empty table.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haulframe.llm import bpe
+from haulframe.llm import bpe, linededup, neardup, posindex, quality
+from haulframe.llm.common import bounded, table
 from haulframe.sources.scratch import materialize
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble predicts good."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that ten documents or more share."""
+    done = linededup.drop_shared_lines(docs)
+    changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return done.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that with the smallest id.
+
+    Rows without an id stay.  Repeated rows of an id that stays give one row.
+    """
+    classes = materialize(neardup.near_duplicates(docs))
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(bounded(gone), "doc_id", "left_anti")
+    twice = bounded(classes.groupBy("doc_id").agg(F.count("*").alias("n"))
+                    .where("n > 1 and doc_id is not null").select("doc_id"))
+    once = kept.join(twice, "doc_id", "left_anti")
+    rest = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(rest).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word of a benchmark passage."""
+    marked = posindex.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return marked.where(~F.col("contaminated")).select(*docs.columns)
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of token ids and digests of the ids and of the decoded text."""
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
+    ("quality", quality_filter),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
     ("byte_bpe", encoding),
 ]
 #: The classifier and the tokenizer have no SQL form; the tests hold the rows against brute force.
@@ -27,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each over all that its predecessor kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
