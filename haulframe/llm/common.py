@@ -41,6 +41,18 @@ def row_key(*columns: Column) -> list[Column]:
     ]
 
 
+def by_row(rows: DataFrame, id: str, text: str, found: DataFrame, how: str) -> DataFrame:
+    """Join results per row key (k1, k2) to the rows; their columns start with two lines.
+
+    No column of the rows can clash with a name of the results.
+    """
+    k1, k2 = row_key(F.col(id), F.col(text))
+    keys = {"k1": "__row_k1", "k2": "__row_k2"}
+    keyed = rows.withColumns({"__row_k1": k1, "__row_k2": k2})
+    joined = keyed.join(found.withColumnsRenamed(keys), list(keys.values()), how)
+    return joined.drop(*keys.values())
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """Write a table and mark it for copying if its measured size allows."""
     written, size = materialize_measured(df)

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import ascii_lower, row_key
+from haulframe.llm.common import ascii_lower, by_row, row_key
 from haulframe.sources.scratch import materialize, new_path
 
 # White space that does not count at the ends of a line.
@@ -114,11 +114,8 @@ def drop_shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     dropped = doomed.groupBy("k1", "k2").agg(F.collect_set("pos").alias("__dropped"))
     added = {"kept_text", "n_lines", "n_dropped"}
     kept = [c for c in docs.columns if c.lower() not in added]
-    k1, k2 = row_key(F.col(id), F.col(text))
-    wide = (docs.withColumns({"__k1": k1, "__k2": k2})
-            .join(dropped.hint("shuffle_hash"),
-                  (F.col("__k1") == dropped.k1) & (F.col("__k2") == dropped.k2), "left")
-            .withColumn("__lines", split_lines(F.col(text))))
+    wide = by_row(docs, id, text, dropped.hint("shuffle_hash"), "left").withColumn(
+        "__lines", split_lines(F.col(text)))
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
     left = F.transform(F.array_except(every, F.col("__dropped")),
                        lambda i: F.element_at("__lines", i + 1))

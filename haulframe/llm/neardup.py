@@ -19,8 +19,7 @@ Null, empty and blank texts have no shingles: they are alike only if the texts a
 equal (null and empty are).  Texts of fewer than five words are one shingle.  A text of
 any length is read whole.  The class id is the smallest id of the class; rows without
 an id are classed, but lend none.  Repeated rows each get their row.  An empty table
-gives an empty table.  Further columns are kept, but for those that bear the name of an
-output column.
+gives an empty table.  Further columns are not read.
 """
 
 from __future__ import annotations

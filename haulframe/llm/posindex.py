@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haulframe.llm.common import ascii_lower, bounded, row_key
+from haulframe.llm.common import ascii_lower, bounded, by_row, row_key
 from haulframe.sources.scratch import materialize
 
 #: Consecutive words of an item that make a match.
@@ -170,22 +170,18 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     spans = runs.select("k1", "k2", "first", "last").distinct().withColumn("before", before)
     fresh = F.col("last") - F.greatest(F.col("first"), F.coalesce("before", F.lit(-1)) + 1) + 1
     hits = spans.groupBy("k1", "k2").agg(
-        F.sum(F.greatest(fresh, F.lit(0))).alias("n_hit"))
+        F.sum(F.greatest(fresh, F.lit(0))).alias("__hit"))
     ids = runs.select("k1", "k2", F.col("item").cast("string").alias("item")).distinct()
-    named = ids.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
-    found = hits.join(named, ["k1", "k2"], "left").withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
+    named = ids.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("item")).alias("__ids"))
+    found = hits.join(named, ["k1", "k2"], "left")
     added = {"n_words", "n_hit", "item_ids", "contaminated"}
     kept = [c for c in docs.columns if c.lower() not in added]
-    k1, k2 = row_key(F.col(id), F.col(text))
-    wide = docs.select(*[f"`{c}`" for c in kept], k1, k2,
-                       F.size(words(F.col(text))).cast("long").alias("n_words"))
-    joined = wide.join(found, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")),
-                       "left")
-    return joined.select(
-        *[f"`{c}`" for c in kept], "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    counted = docs.withColumn("__words", F.size(words(F.col(text))).cast("long"))
+    return by_row(counted, id, text, found, "left").select(
+        *[f"`{c}`" for c in kept], F.col("__words").alias("n_words"),
+        F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("__ids", F.array().cast("array<string>")).alias("item_ids"),
+        (F.coalesce("__hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ A null or empty text has statistics of zero and gets a score from them like any
 text of any length is read whole.  Rows with the same id and text get the same score.  A
 null id counts as held out.  Several labels of one id count as the largest; labels that
 are null are left out.  Without labels of both kinds the score is the share of label 1 (0.5
-without any).  An empty table gives an empty table.  Further columns are kept by
-``with_score``, but for those that bear the name of an output column.
+without any).  An empty table gives an empty table.  ``keep_good``
+keeps all columns, the others read no further ones.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import bounded, row_key
+from haulframe.llm.common import bounded, by_row, row_key
 from haulframe.sources.scratch import materialize
 
 #: Labelled rows to learn from, at most; those with the smallest hash of the id.
@@ -254,10 +254,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     stats = text_statistics(docs, id, text)
     model = train(stats, labels, id, label)
     bad = stats.where(~(model.score() >= good)).select("k1", "k2").distinct()
-    keys = dict(zip(("__k1", "__k2"), row_key(F.col(id), F.col(text))))
-    rows = docs.withColumns(keys)
-    match = (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))
-    return rows.join(bounded(bad), match, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    kept = by_row(docs, id, text, bounded(bad), "left_anti")
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import SpanHash, bounded, row_key, seeded, slices, utf8
+from haulframe.llm.common import SpanHash, bounded, by_row, row_key, seeded, slices, utf8
 from haulframe.sources.scratch import materialize
 
 #: Bytes of a repeated string, and of the gram that is hashed at each place.
@@ -310,7 +310,7 @@ def across_buckets(edges: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int) -> DataFrame:
-    """(k1, k2, spans): the byte ranges of each document that repeated strings cover."""
+    """(k1, k2, __spans): the byte ranges of each document that repeated strings cover."""
     each = anchor_table(docs, id, text, length, gram)
     grams = (each.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("a"),
                                    F.max("c").alias("b"))
@@ -335,7 +335,7 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int)
     spans = again.join(known, ["g", "c"]).select(
         "k1", "k2", F.struct((F.col("pos") - F.col("high")).alias("start"),
                              (F.col("pos") - F.col("low") + length).alias("end")).alias("span"))
-    return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+    return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("__spans"))
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,18 +355,15 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text",
     spans = bounded(repeated_spans(docs, id, text, length, gram))
     added = ["kept", "n_bytes", "n_removed", "n_spans"]
     kept = [f for f in docs.schema.fields if f.name.lower() not in added]
-    k1, k2 = row_key(F.col(id), F.col(text))
-    rows = docs.select(*[f"`{f.name}`" for f in kept], F.col(text).cast("binary").alias("__text"),
-                       k1.alias("__k1"), k2.alias("__k2"))
-    joined = rows.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")),
-                       "left").drop("__k1", "__k2", "k1", "k2")
+    joined = by_row(docs, id, text, spans, "left").select(
+        *[f"`{f.name}`" for f in kept], F.col(text).cast("binary").alias("__text"), "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, _BATCH):
                 part = batch.slice(low, _BATCH)
                 raw, sizes, gone, runs = [], [], [], []
-                for text, spans in zip(part.column("__text"), part.column("spans")):
+                for text, spans in zip(part.column("__text"), part.column("__spans")):
                     whole = text.as_py() or b""
                     cut = merged_spans([(s["start"], s["end"]) for s in spans.as_py() or []])
                     at, left = 0, []
