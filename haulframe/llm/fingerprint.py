@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haulframe.llm.common import SLICE_BYTES, SpanHash, seeded, slices, utf8, words
-from haulframe.sources.scratch import materialize
+from haulframe.sources.scratch import new_path
 
 #: Cells of each of the three tables of a stored sketch; a retry takes four times as many.
 CELLS = 8
@@ -280,8 +280,12 @@ def version_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text"
     pieces = max(1, -(-size // PARTITION_BYTES))
     ordered = (source.repartitionByRange(pieces, F.col("doc_id").desc_nulls_last())
                .sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text"))
-    done = materialize(ordered.mapInArrow(
-        _in_order, f"doc_id long, {_COLUMNS}, part int, edge int, text string"))
+    compared = ordered.mapInArrow(
+        _in_order, f"doc_id long, {_COLUMNS}, part int, edge int, text string")
+    place = new_path(docs.sparkSession)
+    # the cells are hashes in base 64, which only an entropy code makes smaller
+    compared.write.option("compression", "zstd").parquet(place)
+    done = docs.sparkSession.read.schema(compared.schema).parquet(place)
     inside = done.where("edge is null").drop("part", "edge", "text")
     # two rows per partition: the last text meets the first of the next partition
     edges = done.where("edge is not null").select("doc_id", "part", "edge", "text")
