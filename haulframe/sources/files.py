@@ -2,56 +2,121 @@
 
 from __future__ import annotations
 
-import re
+import csv
 from collections.abc import Sequence
-from urllib.parse import unquote
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulframe.functions.text import blank_to_null
-from haulframe.operators.joins import tagged_union, union_all
+from haulframe.operators.joins import attach, tagged_union, union_all
 
 ROW_SEQ = "row_seq"
-# room for the line numbers of one file; leaves room for a million files
-FILE_SPAN = 1 << 43
+# Longest header line, files opened at a time, and what a block of a packed
+# file can be at most larger than the file it is a copy of.
+HEADER_BYTES = 1 << 20
+OPEN_FILES = 16
+MOST_PACKED = 1 << 12
+# Lines that one task can number (the low bits of Spark's row numbers).
+LINES_OF_TASK = 1 << 33
+
+
+class UnknownHeader(ValueError):
+    """A file whose first line names none of the expected columns, or names one twice."""
+
+
+def listed_files(
+    spark: SparkSession, path: str | Sequence[str], pattern: str
+) -> list[tuple[str, str, int]]:
+    """(path, path as rows carry it, bytes) of the matching files, in path order.
+
+    Only the listing is read.  Spark's own reader holds the same names on the driver.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    rows = files.select("path", F.col("_metadata.file_path").alias("file"), "length")
+    return sorted((r["path"], r["file"], r["length"]) for r in rows.collect())
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, or None if it is empty; no more of it is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        line = jvm.org.apache.hadoop.io.Text()
+        size = jvm.org.apache.hadoop.util.LineReader(plain).readLine(line, HEADER_BYTES)
+        return line.toString() if size else None
+    finally:
+        stream.close()
+
+
+def header_names(line: str) -> list[str]:
+    """Column names of a header line, quoted or not."""
+    return next(csv.reader([line.rstrip("\r")]))
+
+
+def _plain(name: str) -> str:
+    return name.lstrip("\ufeff").strip().casefold()
 
 
 def header_groups(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    pattern: str,
-    expected: Sequence[str],
-) -> dict[str, list[str]]:
-    """Files per distinct header line.
-
-    A header names at least one ``expected`` column, so nearly all data lines
-    are dropped while the text is scanned; the first line left in a file is
-    its header.  The driver receives file names only.
+    spark: SparkSession, files: Sequence[str], expected: Sequence[str]
+) -> dict[tuple[str, ...], list[str]]:
+    """Files per header, from the first line of each.
+
+    A header that names no expected column, or one of them twice, is an error that
+    names the file; an empty file has no rows and no group.
     """
-    named = "|".join(re.escape(n) for n in expected)
-    lines = (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(path)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("at"),
-        )
-        .filter("block = 0")
-        .filter(F.col("value").rlike(f'(^|,)[\\s\ufeff"]*({named})[\\s"]*(,|$)'))
-    )
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    groups: dict[str, list[str]] = {}
-    for row in first.orderBy("file").collect():
-        groups.setdefault(row["header"], []).append(row["file"])
+    known = {_plain(n) for n in expected}
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        lines = list(pool.map(lambda f: first_line(spark, f), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, line in zip(files, lines):
+        if line is None:
+            continue
+        names = tuple(header_names(line))
+        wanted = [n for n in map(_plain, names) if n in known]
+        if not wanted or len(set(wanted)) < len(wanted):
+            raise UnknownHeader(f"{file}: header {line[:200]!r}, expected some of {expected}")
+        groups.setdefault(names, []).append(file)
     return groups
 
 
-def _header_names(header: str) -> list[str]:
-    return [h.strip().strip('"') for h in header.lstrip("\ufeff").split(",")]
+def _rows_of(
+    spark: SparkSession,
+    names: Sequence[str],
+    load: Sequence[str] | str,
+    schema: T.StructType,
+    aliases: dict[str, str],
+    pattern: str | None = None,
+) -> DataFrame:
+    """Rows of files that share a header, by the columns of ``schema``."""
+    # every column is text; Spark compares these names with the header of each file
+    checked = all(n.strip() for n in names) and len({_plain(n) for n in names}) == len(names)
+    raw_names = names if checked else [f"_c{i}" for i in range(len(names))]
+    reader = (
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in raw_names]))
+        .option("header", True)
+        .option("enforceSchema", not checked)
+    )
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
+    raw = reader.csv(load)
+    renamed = {_plain(k): _plain(v) for k, v in aliases.items()}
+    place = {renamed.get(_plain(n), _plain(n)): raw_names[i] for i, n in enumerate(names)}
+    columns = []
+    for f in schema.fields:
+        at = place.get(_plain(f.name))
+        value = F.lit(None) if at is None else blank_to_null(F.col(f"`{at}`"))
+        cast = value.cast(f.dataType) if at is None else value.try_cast(f.dataType)
+        columns.append(cast.alias(f.name))
+    return raw.select(
+        *columns, F.col("_metadata.file_path").alias("__file"), _line_order().alias("__line")
+    )
 
 
 def read_csv(
@@ -64,62 +129,41 @@ def read_csv(
 ) -> DataFrame:
     """Read all matching files by column *name* into one schema.
 
-    Files may order or omit columns differently; an omitted column is NULL,
-    unreadable numbers are NULL, and ``""`` and ``NA`` are NULL.  ``aliases``
-    maps a file's column name to the schema's.  ``row_seq`` is a number that
-    keeps the order of lines, file by file in path order.  With
-    ``same_header`` the schema's column order is trusted and the header pass
-    is skipped.
+    Files may order or omit columns differently and write names in another case;
+    an omitted column is NULL, unreadable numbers are NULL, and ``""`` and ``NA``
+    are NULL.  ``aliases`` maps a file's column name to the schema's.  ``row_seq``
+    is a number that keeps the order of lines, file by file in path order.  The
+    first line of each file is read for its names; a file that names no column of
+    the schema is an error.  With ``same_header`` all files have the schema's
+    columns in its order; no first line is read, and Spark raises an error at a
+    file that has not.
     """
     aliases = aliases or {}
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
+    files = listed_files(spark, path, pattern)
+    if not files:
+        raise FileNotFoundError(f"no file matches {pattern} in {path}")
     if same_header:
-        listing = spark.read.option("pathGlobFilter", pattern).text(path)
-        groups = {",".join(schema.names): sorted(listing.inputFiles())}
+        parts = [_rows_of(spark, schema.names, path, schema, {}, pattern)]
     else:
-        expected = [*schema.names, *aliases]
-        groups = header_groups(spark, path, pattern, expected)
-    files_in_order = sorted(f for files in groups.values() for f in files)
-    if not files_in_order:
-        raise FileNotFoundError(f"no file matches {pattern} in {path}")
-    ranks = spark.createDataFrame(
-        [(f, i) for i, f in enumerate(files_in_order)], "__file string, __rank long"
-    ).withColumn("__file", _one_slash(F.col("__file")))
-    parts = []
-    for header, files in groups.items():
-        names = [aliases.get(n, n) for n in _header_names(header)]
-        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        # file names come back percent-encoded from the listing
-        raw = (
-            spark.read.schema(text)
-            .option("header", True)
-            .csv([unquote(f) for f in files])
-        )
-        columns = [
-            blank_to_null(f.name).try_cast(f.dataType).alias(f.name)
-            if f.name in names
-            else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in schema.fields
+        groups = header_groups(spark, [f for f, _, _ in files], [*schema.names, *aliases])
+        parts = [
+            _rows_of(spark, names, own, schema, aliases) for names, own in groups.items()
         ]
-        parts.append(
-            raw.select(
-                *columns,
-                _one_slash(F.col("_metadata.file_path")).alias("__file"),
-                _line_order().alias("__line"),
-            )
+    if not parts:
+        return spark.createDataFrame([], T.StructType(schema.fields)).withColumn(
+            ROW_SEQ, F.lit(None).cast("long")
         )
-    # one row per file
-    ranked = union_all(*parts).join(F.broadcast(ranks), "__file", "left")
-    return ranked.select(
-        *schema.names,
-        (F.col("__rank") * F.lit(FILE_SPAN) + F.col("__line")).alias(ROW_SEQ),
+    # room for the line numbers of one file
+    packed = MOST_PACKED if any(f.endswith((".gz", ".bz2", ".zst")) for f, _, _ in files) else 1
+    span = max(size for _, _, size in files) * packed + LINES_OF_TASK
+    ranks = spark.createDataFrame(
+        [(file, i * span) for i, (_, file, _) in enumerate(files)], "__file string, __base long"
+    )
+    return attach(union_all(*parts), ranks, ["__file"]).select(
+        *schema.names, (F.col("__base") + F.col("__line")).alias(ROW_SEQ)
     )
-
-
-def _one_slash(path: Column) -> Column:
-    """File listings and rows write the slashes after the scheme differently."""
-    return F.regexp_replace(path, r"^([A-Za-z0-9+.-]+):/+", "$1:/")
 
 
 def _line_order() -> Column:
@@ -129,7 +173,7 @@ def _line_order() -> Column:
     before the end of a block than the block has bytes; offset plus line
     number in the task therefore never overlaps with the next block.
     """
-    line_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    line_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit(LINES_OF_TASK - 1))
     return F.col("_metadata.file_block_start") + line_in_task
 
 

@@ -2,7 +2,7 @@ import pytest
 
 from haulframe.operators.rows import matching_columns, preview, rename_all
 from haulframe.sources.database import connection_options, scan_options
-from haulframe.sources.files import literal_table, read_csv, read_tagged
+from haulframe.sources.files import UnknownHeader, literal_table, read_csv, read_tagged
 from haulframe.sources.sinks import write_csv, write_report, write_table
 from haulframe.sources.scratch import drop_scratch, materialize, materialize_measured, scratch_dir
 
@@ -53,6 +53,29 @@ def test_line_order_over_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_no_file_is_lost(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("gear,skate\nPOT,1\nskate,2\n")
+    (tmp_path / "b.csv").write_text("Gear, Skate \nHAL,3\n")
+    (tmp_path / "c.csv").write_text('"gear, type",skate,"Gear"\n"x, y",4,HAL\n')
+    (tmp_path / "d.csv").write_text("")
+    rows = read_csv(spark, str(tmp_path), "gear string, skate int").orderBy("row_seq").collect()
+    assert [(r["gear"], r["skate"]) for r in rows] == [
+        ("POT", 1), ("skate", 2), ("HAL", 3), ("HAL", 4)]
+    (tmp_path / "e.csv").write_text("other,names\n1,2\n")
+    with pytest.raises(UnknownHeader, match="e.csv"):
+        read_csv(spark, str(tmp_path), "gear string, skate int")
+    (tmp_path / "e.csv").write_text("gear,skate,GEAR\n1,2,3\n")
+    with pytest.raises(UnknownHeader, match="e.csv"):
+        read_csv(spark, str(tmp_path), "gear string, skate int")
+
+
+def test_same_header_is_checked(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("gear,skate\nPOT,1\n")
+    (tmp_path / "b.csv").write_text("skate,gear\n2,HAL\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(tmp_path), "gear string, skate int", same_header=True).collect()
+
+
 def test_tagged_years(spark, folder):
     both = read_tagged(spark, {2021: folder, 2022: folder}, SCHEMA, pattern="part *.csv")
     assert {r["year"]: r["count"] for r in both.groupBy("year").count().collect()} == {
@@ -75,9 +98,9 @@ def test_sinks(spark, tmp_path):
 def test_database_options(spark):
     spark.conf.set("haulframe.jdbc.catch.url", "jdbc:x://host/db")
     spark.conf.set("haulframe.jdbc.catch.user", "reader")
-    options = scan_options(spark, "catch", "council.landings", ("year", "2015", "2022", 8))
+    options = scan_options(spark, "catch", "shared.landings", ("year", "2015", "2022", 8))
     assert options["url"] == "jdbc:x://host/db" and options["user"] == "reader"
-    assert options["dbtable"] == "council.landings"
+    assert options["dbtable"] == "shared.landings"
     assert (options["partitionColumn"], options["numPartitions"]) == ("year", "8")
     assert "password" not in options
     with pytest.raises(KeyError):
