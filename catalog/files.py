@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.tables import register
-from haulframe.operators.rows import matching_columns, pick, rename_all
+from haulframe.operators.rows import matching_columns, pick, preview, rename_all
 from haulframe.sources.files import read_csv, read_tagged
 from haulframe.sources.scratch import new_path
-from haulframe.sources.sinks import write_csv, write_table
+from haulframe.sources.sinks import write_csv, write_report, write_table
 
 QUERIES: dict = {}
 
@@ -42,20 +42,17 @@ def csv_files_by_name(t):
 
 @register(QUERIES, """
     SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_orderkey, l_linenumber, l_extendedprice
-    FROM lineitem WHERE year(l_shipdate) IN (1996, 1997)
+    FROM lineitem
 """)
 def csv_folder_per_year(t):
     """One folder per year, the year taken from the folder."""
     folder = new_path(t.spark)
     columns = ["l_orderkey", "l_linenumber", "l_extendedprice"]
-    paths = {}
-    for year in (1996, 1997):
-        paths[year] = f"{folder}/{year}"
-        rows = t.lineitem.filter(
-            (F.col("l_shipdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz"))
-            & (F.col("l_shipdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz"))
-        )
-        write_csv(rows.select(*columns), paths[year])
+    year = F.year("l_shipdate")
+    years = [r[0] for r in t.lineitem.select(year).distinct().orderBy(year).collect()]
+    paths = {y: f"{folder}/year={y}" for y in years}
+    rows = t.lineitem.select(*columns, year.alias("year"))
+    rows.write.partitionBy("year").option("header", True).csv(folder)
     schema = "l_orderkey long, l_linenumber int, l_extendedprice double"
     return read_tagged(t.spark, paths, schema).drop("row_seq")
 
@@ -79,3 +76,55 @@ def columns_by_pattern(t):
     shouted = rename_all(t.orders, str.upper)
     lowered = rename_all(shouted)
     return lowered.select(*matching_columns(lowered, "orderkey|custkey"))
+
+
+@register(QUERIES, """
+    SELECT o_orderkey AS id, o_totalprice AS price, o_orderpriority AS priority FROM orders
+""")
+def csv_three_headers(t):
+    """Three files' headers: quoted names with commas, another case, another order."""
+    folder = new_path(t.spark)
+    part = F.pmod("o_orderkey", F.lit(3))
+    names = [
+        {"o_orderkey": "id", "o_totalprice": "price, total", "o_orderpriority": "priority"},
+        {"o_orderpriority": "PRIORITY", "o_orderkey": "Id", "o_totalprice": "Price"},
+        {"o_totalprice": "price", "o_orderpriority": "Priority", "o_orderkey": "ID"},
+    ]
+    for i, named in enumerate(names):
+        rows = t.orders.filter(part == i).select(
+            *[F.col(c).alias(n) for c, n in named.items()])
+        write_csv(rows, f"{folder}/{i}")
+    return read_csv(
+        t.spark, [f"{folder}/{i}" for i in range(3)],
+        "id long, price double, priority string", aliases={"price, total": "price"},
+    ).drop("row_seq")
+
+
+@register(QUERIES, """
+    SELECT count(*) FILTER (l_returnflag = 'R') AS n_r, count(*) FILTER (l_returnflag = 'A') AS n_a,
+      round(avg(l_quantity) FILTER (l_returnflag = 'R'), 6) AS mean_r,
+      round(avg(l_quantity) FILTER (l_returnflag = 'A'), 6) AS mean_a
+    FROM lineitem
+""")
+def report_read_back(t):
+    """A one-row report written as a file and read again."""
+    folder = new_path(t.spark)
+    group = {f: F.when(F.col("l_returnflag") == f, F.col("l_quantity")) for f in "RA"}
+    report = t.lineitem.agg(
+        *[F.count(c).alias(f"n_{f.lower()}") for f, c in group.items()],
+        *[F.round(F.avg(c), 6).alias(f"mean_{f.lower()}") for f, c in group.items()],
+    )
+    write_report(report, folder)
+    schema = "n_r long, n_a long, mean_r double, mean_a double"
+    return read_csv(t.spark, folder, schema).drop("row_seq")
+
+
+@register(QUERIES, """
+    SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6
+""")
+def previewed_rows(t):
+    """The first rows in a stated order."""
+    return preview(
+        t.orders.select("o_orderkey", "o_totalprice"),
+        [F.desc("o_totalprice"), F.col("o_orderkey")],
+    )

@@ -14,7 +14,7 @@ QUERIES: dict = {}
 
 COLUMNS = (
     "catch_report_source_pk, vessel_id, ves_akr_name, ves_akr_length, year, week_end_date, "
-    "fmp_gear, fmp_subarea, management_program_code, weight_posted, akfin_species_code, "
+    "fmp_gear, fmp_subarea, management_program_code, weight_posted, species_code, "
     "gear_modifier_description, gear, area_rank"
 )
 

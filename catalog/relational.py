@@ -205,21 +205,21 @@ def semi_selection(t):
 
 @register(QUERIES, """
     WITH c AS (SELECT CASE WHEN c_nationkey <> 3 THEN c_nationkey END AS nation,
-                      count(*) AS customers FROM customer WHERE c_acctbal > 0 GROUP BY 1),
-         s AS (SELECT CASE WHEN s_nationkey <> 3 THEN s_nationkey END AS nation,
-                      count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+                      count(*) AS customers FROM customer GROUP BY 1),
+         s AS (SELECT CASE WHEN s_nationkey <> 3 THEN s_nationkey + 1 END AS nation,
+                      count(*) AS suppliers FROM supplier GROUP BY 1)
     SELECT coalesce(c.nation, s.nation) AS nation,
            coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers
     FROM c FULL JOIN s ON c.nation IS NOT DISTINCT FROM s.nation
 """)
 def full_outer_counts(t):
-    def counts(table, nation, keep, name):
-        masked = F.when(F.col(nation) != 3, F.col(nation)).alias("nation")
-        return group_counts(table.filter(keep).select(masked), ["nation"], name)
+    def counts(table, nation, moved, name):
+        masked = F.when(F.col(nation) != 3, F.col(nation) + moved).alias("nation")
+        return group_counts(table.select(masked), ["nation"], name)
 
     both = full_outer(
-        counts(t.customer, "c_nationkey", "c_acctbal > 0", "customers"),
-        counts(t.supplier, "s_nationkey", "s_acctbal > 5000", "suppliers"),
+        counts(t.customer, "c_nationkey", 0, "customers"),
+        counts(t.supplier, "s_nationkey", 1, "suppliers"),
         ["nation"],
     )
     return fill_missing(both, {"customers": 0, "suppliers": 0})
@@ -514,14 +514,12 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 @register(QUERIES, """
-    SELECT o_custkey, {} FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL
+    SELECT o_custkey, {} FROM orders GROUP BY ALL
 """.format(", ".join(
     f"count(*) FILTER (o_orderpriority = '{p}') AS \"{p}\"" for p in PRIORITIES
 )))
 def pivot_counts(t):
-    counts = group_counts(
-        t.orders.filter("o_orderstatus <> 'P'"), ["o_custkey", "o_orderpriority"]
-    )
+    counts = group_counts(t.orders, ["o_custkey", "o_orderpriority"])
     return pivot_wider(counts, ["o_custkey"], "o_orderpriority", "n", PRIORITIES, fill=0)
 
 

@@ -195,16 +195,27 @@ SPLIT_SQL = """
             GROUP BY ALL),
   mixed AS (SELECT gear, station, haul, CAST(sum(catch) AS BIGINT) AS catch FROM tally
             WHERE species = 'Rougheye/Shortraker Rockfish' GROUP BY ALL),
-  parts AS (SELECT gear, station, haul, 'Rougheye Rockfish' AS species, a AS catch FROM split
-            UNION ALL SELECT gear, station, haul, 'Shortraker Rockfish', b FROM split)
+  sides AS (SELECT gear, station, haul, coalesce(a, 0) AS a, coalesce(b, 0) AS b, catch
+           FROM split FULL JOIN mixed USING (gear, station, haul)),
+  divided AS (SELECT gear, station, haul, catch,
+      CAST(coalesce(a + b = catch, false) AS INTEGER) AS reconciles,
+      CASE WHEN catch IS NULL THEN a WHEN a + b = 0 THEN 0
+           ELSE CAST(floor(catch * a / (a + b)) AS BIGINT) END AS a,
+      CASE WHEN catch IS NULL THEN b WHEN a + b = 0 THEN 0
+           ELSE CAST(floor(catch * b / (a + b)) AS BIGINT) END AS b
+    FROM sides),
+  parts AS (SELECT gear, station, haul, 'Rougheye Rockfish' AS species, a AS catch FROM divided
+            UNION ALL SELECT gear, station, haul, 'Shortraker Rockfish', b FROM divided
+            UNION ALL SELECT gear, station, haul, 'Rougheye/Shortraker Rockfish', catch - a - b
+            FROM divided WHERE catch - a - b > 0)
 """
 
 
 @register(QUERIES, f"""
     WITH {V.CATCH_SQL}, {V.LENGTH_SQL}, {SPLIT_SQL}
     SELECT gear, station, haul, a AS "Rougheye Rockfish", b AS "Shortraker Rockfish", catch,
-      CAST(a + b = catch AS INTEGER) AS reconciles
-    FROM split LEFT JOIN mixed USING (gear, station, haul)
+      reconciles, coalesce(catch - a - b, 0) AS "Rougheye/Shortraker Rockfish"
+    FROM divided
 """)
 def mixed_split(t):
     return S.split_mixed(V.fish(t), V.tally(t))
@@ -223,8 +234,9 @@ def mixed_split_rows(t):
       l AS (SELECT gear, station, species, count(*) AS n_lengths FROM fish GROUP BY ALL),
       c AS (SELECT gear, station, species, CAST(sum(catch) AS BIGINT) AS n_catch
             FROM (SELECT gear, station, species, catch FROM tally
+                  WHERE species <> 'Rougheye/Shortraker Rockfish'
                   UNION ALL SELECT gear, station, species, catch FROM parts)
-            WHERE species <> 'Rougheye/Shortraker Rockfish' GROUP BY ALL),
+            GROUP BY ALL),
       j AS (SELECT coalesce(l.gear, c.gear) AS gear, coalesce(l.station, c.station) AS station,
               coalesce(l.species, c.species) AS species,
               format('{{:,}}', coalesce(n_lengths, 0)) || ' / '
@@ -259,8 +271,11 @@ def totals_by_size(t):
 
 
 @register(QUERIES, f"""
-    WITH {V.CATCH_SQL},
-      s AS (SELECT gear, station, species, CAST(sum(catch) AS BIGINT) AS n FROM tally
+    WITH {V.CATCH_SQL}, {V.LENGTH_SQL}, {SPLIT_SQL},
+      s AS (SELECT gear, station, species, CAST(sum(catch) AS BIGINT) AS n
+            FROM (SELECT gear, station, species, catch FROM tally
+                  WHERE species <> 'Rougheye/Shortraker Rockfish'
+                  UNION ALL SELECT gear, station, species, catch FROM parts)
             WHERE species NOT IN ('Baited Hook', 'Ineffective Hook', 'Trap door open',
                                   'Empty pot', 'Brittle Starfish') GROUP BY ALL),
       p AS (SELECT *, n / sum(n) OVER (PARTITION BY gear, station) AS prop FROM s),
@@ -270,8 +285,9 @@ def totals_by_size(t):
     FROM p JOIN k USING (species)
 """)
 def species_composition(t):
+    tally = materialize(V.tally(t))
     comp = S.species_composition(
-        V.tally(t),
+        tally, S.split_rows(S.split_mixed(V.fish(t), tally)),
         not_fish=["Baited Hook", "Ineffective Hook", "Trap door open", "Empty pot",
                   "Brittle Starfish"],
     )
@@ -348,7 +364,6 @@ def lengths_with_group_stats(t):
         || printf('%.2f', round(stddev_samp(length) / sqrt(count(*)), 2)) || ')'
         AS mean_se_length_cm
     FROM fish WHERE species = 'Sablefish' GROUP BY station, gear
-    HAVING count(*) FILTER (sex = 'F') > 0
 """)
 def sex_length_table(t):
     return S.sex_length_table(V.fish(t).filter("species = 'Sablefish'"))
@@ -451,15 +466,74 @@ def standard_catch(t):
     )
 
 
+NUMBERED = {"A": 201, "N": 202, "R": 203}
+NUMBERED_SQL = """CAST(CASE station WHEN 'A' THEN 201 WHEN 'N' THEN 202
+      WHEN 'R' THEN 203 END AS INTEGER) AS station"""
+LATE_SQL = "CASE WHEN gear = 'POT' THEN 'Small' END AS pot_size, " + (
+    "CASE WHEN gear = 'POT' THEN 'None' END AS escape_ring")
+
+
+@register(QUERIES, f"""
+    WITH {V.LENGTH_SQL}, {DATES_SQL}
+    SELECT CAST(2023 AS INTEGER) AS year, date,
+      CASE gear WHEN 'HAL' THEN 'Hooks' ELSE 'Traps' END AS gear, {NUMBERED_SQL}, haul,
+      CASE stratum WHEN 4 THEN '301-400 m' WHEN 5 THEN '401-600 m' WHEN 6 THEN '601-800 m' END
+        AS stratum, species,
+      CASE CASE WHEN species IN ('Sablefish', 'Giant Grenadier', 'Spiny Dogfish') THEN sex
+           ELSE 'U' END WHEN 'M' THEN 'Male' WHEN 'F' THEN 'Female' WHEN 'U' THEN 'Unidentified'
+        END AS sex, length, {LATE_SQL}
+    FROM fish LEFT JOIN dates USING (station)
+""")
+def standard_lengths_late(t):
+    return S.standard_lengths(
+        V.fish(t), station_dates(t), 2023, V.LATE_CODES,
+        gears={"HAL": "Hooks", "POT": "Traps"}, stations=NUMBERED,
+    )
+
+
+@register(QUERIES, f"""
+    WITH {V.CATCH_SQL}, {DATES_SQL}
+    SELECT CAST(2023 AS INTEGER) AS year, date,
+      CASE gear WHEN 'HAL' THEN 'Hooks' ELSE 'Traps' END AS gear, {NUMBERED_SQL}, haul,
+      skate AS skate_or_pot, interp_depth AS depth, species, catch, depredation, {LATE_SQL},
+      escape_ring AS escape_ring_notes
+    FROM tally LEFT JOIN depths USING (station, haul, skate) LEFT JOIN dates USING (station)
+""")
+def standard_catch_late(t):
+    sized = S.label_pot_size(S.tally_events(V.catch(t), V.LATE_CODES), V.LATE_CODES)
+    return S.standard_catch(
+        sized, S.unit_depths(V.catch(t)), station_dates(t), 2023, V.LATE_CODES,
+        gears={"HAL": "Hooks", "POT": "Traps"}, stations=NUMBERED,
+    )
+
+
+@register(QUERIES, """
+    SELECT CASE l_linestatus WHEN 'F' THEN 'POT' ELSE 'HAL' END AS gear,
+      CAST(l_quantity AS INTEGER) % 10 = 3 AS undecoded,
+      CAST(count(*) AS BIGINT) AS events
+    FROM lineitem
+    WHERE NOT (l_linestatus = 'F' AND CAST(l_quantity AS INTEGER) IN (1, 2, 11, 19))
+    GROUP BY ALL
+""")
+def undecoded_events(t):
+    """Events whose code has no name stay in the tally and in the size table."""
+    rows = V.catch(t, "species_code % 10 <> 3")
+    sized = S.label_pot_size(S.tally_events(rows, V.CODES), V.CODES)
+    # reused codes count zero on pots; the marker and the dropped code are left out
+    counted = sized.filter("not (gear = 'POT' and coalesce(species, '') in "
+                           "('Empty pot', 'Trap door open'))")
+    return counted.groupBy("gear", F.col("species").isNull().alias("undecoded")).agg(
+        F.sum("catch").alias("events"))
+
+
 # -- several years ---------------------------------------------------------
 
-YEARS = (1996, 1997, 1998)
 YEARS_SQL = """
   years AS (SELECT CASE WHEN gear = 'HAL' THEN 'Hooks' ELSE 'Traps' END AS gear,
               CAST(CASE station WHEN 'A' THEN 201 WHEN 'N' THEN 202 ELSE 203 END AS INTEGER)
                 AS station,
               sex, stratum, length, pot_size, haul, year
-            FROM fish WHERE species = 'Sablefish' AND year IN (1996, 1997, 1998))
+            FROM fish WHERE species = 'Sablefish')
 """
 
 
@@ -467,7 +541,7 @@ def years(t):
     fish = V.fish(t).filter("species = 'Sablefish'")
     per_year = {
         y: fish.filter(F.col("year") == y).drop("year", *(["pot_size"] if y == 1997 else []))
-        for y in YEARS
+        for y in (r[0] for r in fish.select("year").distinct().orderBy("year").collect())
     }
     return Y.harmonise(
         Y.union_years(per_year),

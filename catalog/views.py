@@ -6,12 +6,14 @@ equivalent queries.  All rows of the tables take part.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.functions.nulls import recode
 from haulframe.plans import survey as S
-from haulframe.plans.codes import EventRule, GearCodes
+from haulframe.plans.codes import EARLY_RINGS, LATE_RINGS, EventRule, GearCodes
 from haulframe.sources.scratch import materialize
 
 NAMES = {
@@ -35,7 +37,9 @@ CODES = GearCodes(
         EventRule("Shark egg case", "Empty gangion", drops_row=True),
     ),
     large_marker="Big Skate",
+    rings=EARLY_RINGS,
 )
+LATE_CODES = replace(CODES, large_marker=None, rings=LATE_RINGS)
 
 NAME_SQL = (
     "CASE {c} "
@@ -68,13 +72,13 @@ CATCH_SQL = f"""
                 AS escape_ring,
               CASE WHEN gear <> 'POT' THEN CAST(depredation AS INTEGER) END AS depredation
             FROM counted),
-  tally AS (SELECT * FROM named WHERE species <> 'Empty gangion'),
+  tally AS (SELECT * FROM named WHERE species IS DISTINCT FROM 'Empty gangion'),
   large AS (SELECT DISTINCT station, haul, skate FROM tally
             WHERE gear = 'POT' AND species = 'Big Skate'),
   sized AS (SELECT tally.*, CASE WHEN gear = 'HAL' THEN 'Hooks'
                    WHEN large.skate IS NOT NULL THEN 'Large pots' ELSE 'Small pots' END AS pot_size
             FROM tally LEFT JOIN large USING (station, haul, skate)
-            WHERE NOT (gear = 'POT' AND species = 'Big Skate')),
+            WHERE NOT coalesce(gear = 'POT' AND species = 'Big Skate', false)),
   rates AS (SELECT gear, station, haul, skate,
               count(*) FILTER (species = 'Sablefish') AS n_target,
               station || '_' || haul || '_' || skate AS skate_id,
@@ -140,11 +144,11 @@ LANDING_SQL = """
       CASE WHEN l_discount < 0.03 THEN 'IFQ' WHEN l_discount < 0.08 THEN 'CDQ' ELSE 'OA' END
         AS management_program_code,
       l_quantity AS weight_posted,
-      CASE WHEN l_quantity <= 40 THEN 'SABL' ELSE 'PCOD' END AS akfin_species_code,
+      CASE WHEN l_quantity <= 40 THEN 'SABL' ELSE 'PCOD' END AS species_code,
       CASE o_orderstatus WHEN 'F' THEN 'Hard Pots' WHEN 'O' THEN 'Mesh Pots' END
         AS gear_modifier_description
     FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)
-    WHERE akfin_species_code = 'SABL' AND year BETWEEN 1996 AND 2000
+    WHERE species_code = 'SABL' AND year BETWEEN 1996 AND 2000
       AND fmp_subarea <> 'XX' AND management_program_code <> 'OA'
       AND fmp_gear NOT IN ('JIG', 'TRW')),
   classed AS (SELECT *, CASE WHEN fmp_gear = 'HAL' THEN 'HAL'
@@ -178,7 +182,8 @@ def species_codes(t) -> DataFrame:
     return t.part.select(code.alias("species_code"), name.alias("species")).distinct()
 
 
-def catch(t) -> DataFrame:
+def catch(t, listed: str = "true") -> DataFrame:
+    """Events; codes that are not ``listed`` have no name."""
     rows = t.lineitem.select(
         F.when(F.col("l_linestatus") == "F", "POT").otherwise("HAL").alias("gear"),
         F.col("l_returnflag").alias("station"),
@@ -189,7 +194,7 @@ def catch(t) -> DataFrame:
         F.when(F.col("l_tax") < 0.06, 0).otherwise(300 + F.col("l_partkey") % 500).alias("depth"),
         (F.col("l_orderkey") * 4194304 + F.col("l_suppkey")).alias("row_seq"),
     )
-    return S.decode(rows, species_codes(t), "species_code")
+    return S.decode(rows, species_codes(t).filter(listed), "species_code")
 
 
 def tally(t) -> DataFrame:
@@ -260,7 +265,7 @@ def landing_tables(t) -> tuple[DataFrame, DataFrame]:
         .otherwise("OA")
         .alias("MANAGEMENT_PROGRAM_CODE"),
         F.col("l_quantity").alias("WEIGHT_POSTED"),
-        F.when(F.col("l_quantity") <= 40, "SABL").otherwise("PCOD").alias("AKFIN_SPECIES_CODE"),
+        F.when(F.col("l_quantity") <= 40, "SABL").otherwise("PCOD").alias("SPECIES_CODE"),
     )
     tickets = t.orders.select(
         F.col("o_orderkey").alias("CATCH_REPORT_SOURCE_PK"),

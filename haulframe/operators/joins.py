@@ -95,6 +95,7 @@ def attach(
     table: DataFrame,
     keys: Sequence[str],
     how: str = "left",
+    unique: bool = False,
 ) -> DataFrame:
     """Join ``table`` (one row per key) to rows whose keys may be very uneven.
 
@@ -102,11 +103,14 @@ def attach(
     the rows do not move.  Large: the few keys that hold a big share of the
     rows are still joined in place, by copying only their table rows (at most
     HOT_SHARE of them), and all remaining keys are merged by a shuffle in
-    which no key is big.  Missing keys match each other.
+    which no key is big.  Missing keys match each other.  ``unique`` raises an
+    error when the written table repeats a key.
     """
     if not keys:
         return null_safe_join(rows, table, keys, how)
     table, size = materialize_measured(table)
+    if unique:
+        require_unique(table, keys)
     if size <= broadcast_limit(rows.sparkSession):
         return null_safe_join(rows, F.broadcast(table), keys, how)
     hot = hot_keys(rows, keys)
@@ -199,9 +203,9 @@ def enrich_missing(
     column: str,
     from_column: str,
 ) -> DataFrame:
-    """Fill ``column`` where it is NULL from a keyed table, in one pass."""
+    """Fill ``column`` where it is NULL from a table with one row per key, in one pass."""
     side = known.select(*on, F.col(from_column).alias("__fill"))
-    filled = attach(rows, side, on)
+    filled = attach(rows, side, on, unique=True)
     return filled.withColumn(
         column, F.coalesce(F.col(column), F.col("__fill"))
     ).drop("__fill")

@@ -20,8 +20,14 @@ def pivot_wider(
     """One column per level of ``names``.
 
     Without ``agg`` a cell must hold at most one row; two raise an error.
-    Passing ``levels`` avoids the extra job that discovers them.
+    Passing ``levels`` avoids the extra job that discovers them; a value that is
+    not among them is an error, as its rows would be lost.
     """
+    if levels is not None:
+        known = F.col(names).isin(*levels)
+        unknown = F.concat(F.lit(f"{names} outside the levels: "),
+                           F.coalesce(F.col(names).cast("string"), F.lit("NULL")))
+        df = df.withColumn(names, F.when(known, F.col(names)).otherwise(F.raise_error(unknown)))
     one = F.when(
         F.count(F.lit(1)) > 1,
         F.raise_error(F.lit("more than one value per cell")),

@@ -29,6 +29,12 @@ class GearCodes:
     rules: tuple[EventRule, ...] = ()
     large_marker: str | None = None
     not_fish: tuple[str, ...] = field(default=())
+    # the size of all pots where no marker tells them apart
+    pot_size: str = "Small"
+    # escape rings by pot size
+    rings: dict[str, str] = field(default_factory=dict)
+    # leave out events without a species name where other codes are left out
+    drops_undecoded: bool = False
 
     @property
     def relabel(self) -> dict[str, str]:
@@ -108,14 +114,24 @@ SEX_LABELS = {"M": "Male", "F": "Female", "U": "Unidentified"}
 MIXED_LABEL = "Rougheye/Shortraker Rockfish"
 MIXED_PARTS = ("Rougheye Rockfish", "Shortraker Rockfish")
 
-# Escape rings by pot size (first year).
-RING_TEXT = {
+# Escape rings by pot size, in the first year and later.
+EARLY_RINGS = {
     "Small": "Four 3.5 inch escape rings",
     "Large": "Four modified 4 inch escape rings",
 }
+LATE_RINGS = {"Small": "None"}
 
-EARLY = GearCodes(rules=EARLY_RULES, large_marker="Big Skate", not_fish=NOT_FISH)
-LATE = GearCodes(rules=LATE_RULES, not_fish=NOT_FISH)
+# Labels of the tables.
+STUCK = "Stuck in escape ring"
+HOOKS = "Hooks"
+LARGE_POTS = "Large pots"
+SMALL_POTS = "Small pots"
+HOOK_AND_LINE = "Hook-and-line"
+
+EARLY = GearCodes(
+    rules=EARLY_RULES, large_marker="Big Skate", not_fish=NOT_FISH, rings=EARLY_RINGS
+)
+LATE = GearCodes(rules=LATE_RULES, not_fish=NOT_FISH, rings=LATE_RINGS)
 
 # Gear dimensions in inches (diameter, height).
 POT_SIZES_INCHES = {"Large": (33.0, 55.0), "Small": (27.0, 50.0)}

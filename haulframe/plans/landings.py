@@ -14,7 +14,7 @@ from haulframe.functions.nulls import (
     not_member,
 )
 from haulframe.operators.aggregate import group_counts, screen
-from haulframe.operators.joins import attach, lookup, restrict
+from haulframe.operators.joins import attach, lookup, null_safe_join, restrict
 from haulframe.operators.ranking import fixed_rank
 from haulframe.operators.reshape import pivot_wider
 from haulframe.operators.rows import rename_all
@@ -61,10 +61,14 @@ def landings_extract(
     programs: Sequence[str] = PROGRAMS,
     unused: Sequence[str] = UNUSED_GEARS,
     kinds: Sequence[str] | None = None,
+    aliases: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Selected landings with their gear modifier, class and area rank."""
-    wanted = rename_all(landings).filter(
-        F.col("akfin_species_code").isin(*species)
+    """Selected landings with their gear modifier, class and area rank.
+
+    ``aliases`` maps column names of the source (in lower case) to those used here.
+    """
+    wanted = rename_all(landings).withColumnsRenamed(aliases or {}).filter(
+        F.col("species_code").isin(*species)
         & F.col("year").between(*years)
         & F.col("fmp_subarea").isin(*areas)
         & F.col("management_program_code").isin(*programs)
@@ -145,7 +149,7 @@ def attribute_gear(
     known = materialize(known_vessel_gear(landings, years, pots_only))
     per_vessel = known.groupBy("vessel_id").agg(F.count(F.lit(1)).alias("__n"))
     observed = (
-        known.join(per_vessel, "vessel_id")
+        null_safe_join(known, per_vessel, ["vessel_id"], "inner")
         .withColumn(
             "obsgear",
             F.when(F.col("__n") > 1, F.lit(MIXED_POT)).otherwise(F.col("obsgear")),
@@ -197,9 +201,13 @@ def vessel_gear_matrix(
     landings: DataFrame,
     vessels: DataFrame,
     since: date,
-    gears: Sequence[str],
+    gears: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Catch per gear of the listed vessels, one row per vessel."""
+    """Catch per gear of the listed vessels, one row per vessel.
+
+    Without ``gears`` every gear class of these vessels gets a column; a class that a
+    given list lacks is an error.
+    """
     ids = ["vessel_id", "ves_akr_name", "ves_akr_length"]
     chosen = restrict(
         landings.filter(F.col("week_end_date") >= F.lit(since)), vessels, ["vessel_id"]

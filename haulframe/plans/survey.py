@@ -46,7 +46,6 @@ from haulframe.operators.joins import (
     exclude,
     flag_members,
     full_outer,
-    lookup,
     null_safe_join,
     union_all,
 )
@@ -56,16 +55,20 @@ from haulframe.operators.reshape import pivot_longer, pivot_wider
 from haulframe.operators.stats import bar_totals, profile_correlation
 from haulframe.operators.window import attach_group_stats, group_share
 from haulframe.plans.codes import (
+    HOOK_AND_LINE,
+    HOOKS,
+    LARGE_POTS,
     METRES_PER_FATHOM,
     METRES_PER_INCH,
     MIXED_LABEL,
     MIXED_PARTS,
     NOT_CATCH,
     POT_SIZES_INCHES,
-    RING_TEXT,
     SEX_LABELS,
     SEXED_SPECIES,
+    SMALL_POTS,
     STRATA,
+    STUCK,
     GearCodes,
 )
 from haulframe.sources.scratch import materialize
@@ -78,7 +81,8 @@ def decode(
     rows: DataFrame, species: DataFrame, code: str, stations: dict | None = None
 ) -> DataFrame:
     """Add the species name from its code table and relabel stations."""
-    out = lookup(rows, species, [code])
+    named = species.filter(F.col(code).isNotNull())
+    out = attach(rows, named, [code], unique=True)
     if stations:
         out = out.withColumn("station", recode("station", stations))
     return out
@@ -102,7 +106,8 @@ def tally_events(catch: DataFrame, codes: GearCodes) -> DataFrame:
     """Events per unit, species and flag, with reused codes read per gear.
 
     On pots the flag means a fish stuck in the escape ring, so it moves to its
-    own column there.
+    own column there.  Events without a species name stay, unless the codes
+    say otherwise.
     """
     pots = F.col("gear") == codes.pots
     tally = catch.groupBy("gear", *UNIT, "species", "depredation").agg(
@@ -121,29 +126,39 @@ def tally_events(catch: DataFrame, codes: GearCodes) -> DataFrame:
         {
             "catch": F.when(zero, F.lit(0)).otherwise(F.col("catch")).cast("long"),
             "escape_ring": F.when(
-                pots & (F.col("depredation") == 1), F.lit("Stuck in escape ring")
+                pots & (F.col("depredation") == 1), F.lit(STUCK)
             ),
         }
     ).withColumn(
         "depredation", if_else_na(pots, F.lit(None).cast("int"), F.col("depredation"))
     )
     if codes.dropped:
-        tally = tally.filter(~F.col("species").isin(codes.dropped))
+        lost = F.col("species").isin(codes.dropped)
+        unnamed = F.lit(codes.drops_undecoded)
+        tally = tally.filter(~F.coalesce(lost, unnamed))
     return tally
 
 
 def label_pot_size(tally: DataFrame, codes: GearCodes) -> DataFrame:
-    """Mark units holding the marker event as large pots; drop the marker rows."""
+    """Mark units holding the marker event as large pots; drop the marker rows.
+
+    Without a marker all pots have the size that the codes name.
+    """
+    hooks = F.col("gear") == codes.hooks
+    if not codes.large_marker:
+        return tally.withColumn(
+            "pot_size", case_na((hooks, F.lit(HOOKS)), (~hooks, F.lit(f"{codes.pot_size} pots")))
+        )
     marker = (F.col("gear") == codes.pots) & (F.col("species") == codes.large_marker)
-    flagged = flag_members(
-        tally.filter(~marker), tally.filter(marker), ["gear", *UNIT], "__large"
-    )
+    marker = F.coalesce(marker, F.lit(codes.drops_undecoded) & (F.col("gear") == codes.pots))
+    marked = tally.filter(marker & F.col("species").isNotNull())
+    flagged = flag_members(tally.filter(~marker), marked, ["gear", *UNIT], "__large")
     return flagged.withColumn(
         "pot_size",
         case_na(
-            (F.col("__large"), F.lit("Large pots")),
-            (F.col("gear") == codes.hooks, F.lit("Hooks")),
-            (F.col("gear") != codes.hooks, F.lit("Small pots")),
+            (F.col("__large"), F.lit(LARGE_POTS)),
+            (hooks, F.lit(HOOKS)),
+            (~hooks, F.lit(SMALL_POTS)),
         ),
     ).drop("__large")
 
@@ -156,7 +171,7 @@ def pot_counts(tally: DataFrame, codes: GearCodes) -> DataFrame:
         .agg(distinct_with_null("skate").cast("long").alias("npots"))
     )
     return pivot_wider(
-        counts, ["station", "gear"], "pot_size", "npots", ["Large pots", "Small pots"]
+        counts, ["station", "gear"], "pot_size", "npots", [LARGE_POTS, SMALL_POTS]
     )
 
 
@@ -256,7 +271,7 @@ def rates_of(
         "gear", *UNIT, "n_target", unit_id().alias("skate_id"), size.alias("pot_size")
     ).withColumn(
         "detailed_gear",
-        F.when(F.col("pot_size").isNull(), F.lit("Hook-and-line")).otherwise(
+        F.when(F.col("pot_size").isNull(), F.lit(HOOK_AND_LINE)).otherwise(
             F.concat("pot_size", F.lit(" pots"))
         ),
     )
@@ -380,7 +395,14 @@ def split_mixed(
     parts: Sequence[str] = MIXED_PARTS,
     mixed: str = MIXED_LABEL,
 ) -> DataFrame:
-    """Measured fish per part beside the combined count, and whether they agree."""
+    """The combined catch of each haul divided by its measured fish.
+
+    A part gets the whole number of its measured share of the catch; what is left,
+    all of it where no fish was measured, stays under the mixed label, so that parts
+    and rest add up to the catch.  ``reconciles`` is 1 where the measured fish are
+    the whole catch.  A haul with measured fish but no combined catch keeps the
+    measured numbers, with ``catch`` NULL.
+    """
     keys = ["gear", "station", "haul"]
     measured = group_counts(
         lengths.filter(F.col("species").isin(*parts)), [*keys, "species"], "nlen"
@@ -391,16 +413,28 @@ def split_mixed(
         .groupBy(*keys)
         .agg(F.sum("catch").alias("catch"))
     )
+    both = full_outer(wide, caught, keys).fillna(0, subset=list(parts))
     total = sum((F.col(f"`{p}`") for p in parts[1:]), F.col(f"`{parts[0]}`"))
-    return null_safe_join(wide, caught, keys).withColumn(
-        "reconciles", (total == F.col("catch")).cast("int")
+    share = {
+        p: F.when(F.col("catch").isNull(), F.col(f"`{p}`"))
+        .when(F.col("__total") == 0, F.lit(0).cast("long"))
+        .otherwise(F.floor(F.col("catch") * F.col(f"`{p}`") / F.col("__total")))
+        for p in parts
+    }
+    divided = both.withColumn("__total", total).select(
+        *keys, *[c.cast("long").alias(p) for p, c in share.items()], "catch",
+        F.coalesce(F.col("__total") == F.col("catch"), F.lit(False)).cast("int").alias("reconciles"),
     )
+    return divided.withColumn(mixed, F.coalesce(F.col("catch") - total, F.lit(0)))
 
 
-def split_rows(split: DataFrame, parts: Sequence[str] = MIXED_PARTS) -> DataFrame:
-    """The split as tally rows, one per part."""
-    kept = split.select("gear", "station", "haul", *[F.col(f"`{p}`") for p in parts])
-    return pivot_longer(kept, parts, "species", "catch")
+def split_rows(
+    split: DataFrame, parts: Sequence[str] = MIXED_PARTS, mixed: str = MIXED_LABEL
+) -> DataFrame:
+    """The split as tally rows, one per part, and one for a rest that is not divided."""
+    kept = split.select("gear", "station", "haul", *[F.col(f"`{p}`") for p in [*parts, mixed]])
+    rows = pivot_longer(kept, [*parts, mixed], "species", "catch")
+    return rows.filter((F.col("species") != mixed) | (F.col("catch") > 0))
 
 
 def sample_sizes(
@@ -415,8 +449,7 @@ def sample_sizes(
     keys = ["gear", "station", "species"]
     both = full_outer(
         group_counts(lengths, keys, "n_lengths"),
-        union_all(tally, split)
-        .filter(F.col("species") != mixed)
+        union_all(tally.filter(not_member("species", [mixed])), split)
         .groupBy(*keys)
         .agg(F.sum("catch").alias("n_catch")),
         keys,
@@ -448,7 +481,7 @@ def totals_by_size(
         .withColumn(
             "pot_size",
             F.when(
-                F.col("pot_size") != "Hooks",
+                F.col("pot_size") != HOOKS,
                 F.regexp_replace("pot_size", " pots$", ""),
             ),
         )
@@ -463,11 +496,21 @@ def species_composition(
     split: DataFrame | None = None,
     not_fish: Sequence[str] = (),
     by: Sequence[str] = ("gear", "station"),
+    mixed: str = MIXED_LABEL,
 ) -> DataFrame:
-    """Count, share and display rank (by median share) of each species."""
-    rows = tally if split is None else union_all(tally, split)
+    """Count, share and display rank (by median share) of each species.
+
+    With a ``split`` its rows, also an undivided rest, stand for the mixed catch.
+    """
+    rows = tally.filter(not_member("species", not_fish))
+    if split is not None:
+        fish = [s for s in not_fish if s != mixed]
+        rows = union_all(
+            rows.filter(not_member("species", [mixed])),
+            split.filter(not_member("species", fish)),
+        )
     counts = (
-        rows.filter(not_member("species", not_fish))
+        rows
         .groupBy(*by, "species")
         .agg(F.sum("catch").alias("n"))
     )
@@ -529,7 +572,6 @@ def sex_length_table(
             F.avg("length").alias("mean_length"),
             std_error("length").alias("se_length"),
         )
-        .filter("n_f > 0")
     )
     return stats.select(
         *by,
@@ -587,8 +629,17 @@ def equivalence_labels(spacing: DataFrame) -> DataFrame:
 # -- standard output -------------------------------------------------------
 
 
-def _ring(codes: GearCodes, rings: dict[str, str]) -> Column:
-    return F.when(F.col("gear") == codes.pots, recode("pot_size", rings))
+def _ring(codes: GearCodes) -> Column:
+    return F.when(F.col("gear") == codes.pots, recode("pot_size", codes.rings))
+
+
+def _relabelled(rows: DataFrame, gears: dict | None, stations: dict | None) -> DataFrame:
+    """Names shared by all years, in the order of the shared layout."""
+    if gears:
+        rows = rows.withColumn("gear", recode("gear", gears, keep_other=True))
+    if stations:
+        rows = rows.withColumn("station", recode("station", stations))
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in ("date", "station", "haul")])
 
 
 def standard_lengths(
@@ -596,25 +647,31 @@ def standard_lengths(
     dates: DataFrame,
     year: int,
     codes: GearCodes,
-    rings: dict[str, str] = RING_TEXT,
     sexed: Sequence[str] = SEXED_SPECIES,
+    gears: dict | None = None,
+    stations: dict | None = None,
 ) -> DataFrame:
-    """Lengths in the layout shared by all years.
+    """Lengths in the layout shared by all years, by date, station and haul.
 
-    ``dates`` holds one (station, date) row per station.
+    ``dates`` holds one (station, date) row per station.  Where no marker tells pots
+    apart, all have the size of the codes.  ``gears`` and ``stations`` map the
+    year's names to the shared ones.
     """
-    rows = lengths if "pot_size" in lengths.columns else lengths.withColumn(
-        "pot_size", F.lit(None).cast("string")
-    )
+    rows = lengths
+    if not codes.large_marker:
+        size = F.when(F.col("gear") == codes.pots, F.lit(codes.pot_size))
+        rows = rows.withColumn("pot_size", size)
+    elif "pot_size" not in rows.columns:
+        rows = rows.withColumn("pot_size", F.lit(None).cast("string"))
     sex = F.when(is_member("species", sexed), F.col("sex")).otherwise(F.lit("U"))
-    return (
-        lookup(rows, dates, ["station"])
+    out = (
+        attach(rows, dates, ["station"], unique=True)
         .withColumns(
             {
                 "year": F.lit(year),
                 "stratum": recode("stratum", STRATA),
                 "sex": recode(sex, SEX_LABELS),
-                "escape_ring": _ring(codes, rings),
+                "escape_ring": _ring(codes),
             }
         )
         .select(
@@ -622,6 +679,7 @@ def standard_lengths(
             "sex", "length", "pot_size", "escape_ring",
         )
     )
+    return _relabelled(out, gears, stations)
 
 
 def standard_catch(
@@ -630,21 +688,23 @@ def standard_catch(
     dates: DataFrame,
     year: int,
     codes: GearCodes,
-    rings: dict[str, str] = RING_TEXT,
+    gears: dict | None = None,
+    stations: dict | None = None,
 ) -> DataFrame:
-    """Tally with unit depth in the layout shared by all years."""
+    """Tally with unit depth in the layout shared by all years, as ``standard_lengths``."""
     deep = depths.select(*UNIT, F.col("interp_depth").alias("depth"))
     size = F.when(
-        F.col("pot_size") != "Hooks", F.regexp_replace("pot_size", " pots$", "")
+        F.col("pot_size") != HOOKS, F.regexp_replace("pot_size", " pots$", "")
     )
-    rows = lookup(null_safe_join(tally, deep, UNIT), dates, ["station"])
-    return (
+    rows = attach(null_safe_join(tally, deep, UNIT), dates, ["station"], unique=True)
+    out = (
         rows.withColumn("pot_size", size)
         .withColumn("escape_ring_notes", F.col("escape_ring"))
-        .withColumn("escape_ring", _ring(codes, rings))
+        .withColumn("escape_ring", _ring(codes))
         .select(
             F.lit(year).alias("year"), "date", "gear", "station", "haul",
             F.col("skate").alias("skate_or_pot"), "depth", "species", "catch",
             "depredation", "pot_size", "escape_ring", "escape_ring_notes",
         )
     )
+    return _relabelled(out, gears, stations)

@@ -39,19 +39,18 @@ def survey_year(
     codes: GearCodes,
     fish_group: str = "gear",
     fish_levels: tuple[str, str] | None = None,
+    gear_names: dict | None = None,
+    station_names: dict | None = None,
 ) -> Tables:
     """All tables of one survey year.
 
     ``catch`` and ``lengths`` are decoded rows, ``stations`` has one row per
     station and gear with ``date`` and times.  Intermediate tables used by
-    many results are written once.
+    many results are written once.  ``gear_names`` and ``station_names`` map the
+    year's names to those of the clean tables.
     """
     tally = S.tally_events(catch, codes)
-    sized = S.label_pot_size(tally, codes) if codes.large_marker else tally.withColumn(
-        "pot_size",
-        F.when(F.col("gear") == codes.hooks, F.lit("Hooks")).otherwise(F.lit("Small pots")),
-    )
-    sized = materialize(sized)
+    sized = materialize(S.label_pot_size(tally, codes))
     facts = materialize(S.unit_facts(catch, codes))
     rates = S.rates_of(facts, codes)
     depths = materialize(S.depths_of(facts))
@@ -93,8 +92,20 @@ def survey_year(
         "equivalence": lambda: S.equivalence_labels(
             S.equivalence_spacing(rates, codes.hooks, codes.pots)
         ),
-        "clean_lengths": lambda: S.standard_lengths(fish, dates, year, codes),
-        "clean_catch": lambda: S.standard_catch(sized, depths, dates, year, codes),
+        "clean_lengths": lambda: S.standard_lengths(
+            fish, dates, year, codes, gears=gear_names, stations=station_names
+        ),
+        "clean_catch": lambda: S.standard_catch(
+            sized, depths, dates, year, codes, gears=gear_names, stations=station_names
+        ),
+        "ineffective_units": lambda: S.ineffective_units(tally, codes),
+        "lengths_with_stats": lambda: S.length_rows_with_stats(
+            target.filter("length is not null"), ["station", "gear"]
+        ),
+        "species_density": lambda: kernel_density(
+            fish.filter("length is not null"), ["species", "gear"], "length", 1.5,
+            panel=["species"],
+        ),
     }
     if codes.large_marker:
         out["pot_counts"] = lambda: S.pot_counts(sized, codes)
@@ -102,6 +113,12 @@ def survey_year(
         out["size_welch_rates"] = lambda: welch_test(
             rates, "pot_size", "n_target", "Small", "Large"
         )
+        out["size_welch_lengths"] = lambda: welch_test(
+            target, "pot_size", "length", "Small", "Large"
+        )
+        out["size_ks_lengths"] = lambda: ks_test(
+            target, "pot_size", "length", "Small", "Large"
+        )
     return out
 
 
@@ -150,20 +167,29 @@ def landings_report(
     years: tuple[int, int] = (2015, 2022),
     known_years: Sequence[int] = (2021, 2022),
     since: date = date(2021, 9, 25),
-    gears: Sequence[str] = ("HAL", "POT_HARD", "POT_UNKN"),
+    gears: Sequence[str] | None = None,
     kinds: Sequence[str] | None = None,
+    weekly_year: int = 2021,
+    hauls: DataFrame | None = None,
 ) -> Tables:
-    """All landings tables.  The extract is written once, never collected."""
+    """All landings tables.  The extract is written once, never collected.
+
+    Without ``gears`` the vessel matrix has every gear class of the data.  ``hauls``
+    are monitored hauls, counted if given.
+    """
     extract = materialize(
         L.landings_extract(landings, tickets, years=years, kinds=kinds)
     )
     known = L.known_vessel_gear(extract, known_years)
     attributed = materialize(L.attribute_gear(extract, known_years))
-    return {
+    monitored = {} if hauls is None else {
+        "monitoring_counts": lambda: L.monitoring_counts(hauls)
+    }
+    return monitored | {
         "extract": lambda: extract,
         "too_few": lambda: L.confidentiality_screen(extract),
         "share_by_gear": lambda: L.share_by_gear(extract),
-        "weekly_catch": lambda: L.weekly_catch(extract, max(known_years) - 1),
+        "weekly_catch": lambda: L.weekly_catch(extract, weekly_year),
         "ambiguous_vessels": lambda: L.vessel_gear_matrix(
             extract, L.several_gears(known), since, gears
         ),

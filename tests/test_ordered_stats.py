@@ -163,6 +163,8 @@ def test_pivots(spark):
     assert long.count() == 4 and set(long.columns) == {"id", "k", "v"}
     with pytest.raises(Exception, match="more than one value"):
         pivot_wider(df.union(df), ["id"], "k", "v", ["a", "b"]).collect()
+    with pytest.raises(Exception, match="outside the levels"):
+        pivot_wider(df, ["id"], "k", "v", ["a"]).collect()
 
 
 def test_student_t():

@@ -1,5 +1,6 @@
 """The analyses on a hand-made survey of two stations."""
 
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -135,6 +136,48 @@ def test_composition_and_sizes(catch, lengths):
             for r in S.pot_counts(tally, EARLY).collect()} == {("A", 1, 3), ("B", 1, 3)}
 
 
+def test_mixed_catch_of_unmeasured_hauls_stays(spark):
+    mixed, parts = "Rougheye/Shortraker Rockfish", ("Rougheye Rockfish", "Shortraker Rockfish")
+    tally = spark.createDataFrame(
+        [("HAL", "A", 1, mixed, 10), ("HAL", "A", 2, mixed, 50), ("HAL", "A", 2, "Sablefish", 40),
+         ("HAL", "A", 3, None, 7)],
+        "gear string, station string, haul int, species string, catch long")
+    fish = spark.createDataFrame(
+        [("HAL", "A", 1, parts[0])] * 2 + [("HAL", "A", 1, parts[1]), ("HAL", "A", 4, parts[1])],
+        "gear string, station string, haul int, species string")
+    split = S.split_mixed(fish, tally)
+    got = {r["haul"]: tuple(r)[3:] for r in split.collect()}
+    assert got == {1: (6, 3, 10, 0, 1), 2: (0, 0, 50, 0, 50), 4: (0, 1, None, 0, 0)}
+    comp = S.species_composition(tally, S.split_rows(split), [mixed], ["gear"])
+    n = {r["species"]: r["n"] for r in comp.collect()}
+    assert n == {parts[0]: 6, parts[1]: 4, mixed: 51, "Sablefish": 40, None: 7}
+    assert sum(n.values()) == 10 + 50 + 40 + 7 + 1  # haul 4 has measured fish only
+
+
+def test_events_without_a_name_stay(spark, catch):
+    rows = catch.withColumn("species", F.when(F.col("species") != "Giant Grenadier", F.col("species")))
+    sized = S.label_pot_size(S.tally_events(rows, EARLY), EARLY)
+    assert sized.filter("species is null and gear = 'HAL'").count() == 2
+    pots = rows.withColumn("gear", F.lit("POT"))
+    kept = S.label_pot_size(S.tally_events(pots, EARLY), EARLY)
+    assert kept.filter("species is null").count() == 2
+    lossy = replace(EARLY, drops_undecoded=True)
+    assert S.label_pot_size(S.tally_events(pots, lossy), lossy).filter("species is null").count() == 0
+
+
+def test_a_late_year(spark, catch, lengths, stations):
+    tables = survey_year(catch, lengths, stations, 2023, LATE, gear_names={"HAL": "Hooks", "POT": "Traps"},
+                         station_names={"A": 201, "B": 202})
+    for name in ("clean_catch", "clean_lengths"):
+        rows = tables[name]().collect()
+        assert {(r["gear"], r["pot_size"], r["escape_ring"]) for r in rows} == {
+            ("Hooks", None, None), ("Traps", "Small", "None")}
+        assert {r["station"] for r in rows} == {201, 202}
+        dates = [(r["date"], r["station"], r["haul"]) for r in rows]
+        assert dates == sorted(dates)
+    assert "pot_counts" not in tables and tables["ineffective_units"]().count() == 0
+
+
 def test_lengths(lengths):
     fish = S.parse_lengths(lengths)
     bad = fish.filter("length is null").select("sex").collect()
@@ -227,7 +270,7 @@ def landing_tables(spark):
     ]
     names = ["YEAR", "VESSEL_ID", "VES_AKR_NAME", "VES_AKR_LENGTH", "FMP_GEAR", "FMP_SUBAREA",
              "WEEK_END_DATE", "WEIGHT_POSTED", "MANAGEMENT_PROGRAM_CODE",
-             "CATCH_REPORT_SOURCE_PK", "AKFIN_SPECIES_CODE", "modifier"]
+             "CATCH_REPORT_SOURCE_PK", "SPECIES_CODE", "modifier"]
     df = spark.createDataFrame(
         rows, "y int, v string, n string, l double, g string, a string, w date, x double, "
         "m string, pk string, s string, modifier string").toDF(*names)
