@@ -12,19 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.operators.joins import any_of, attach, null_safe_join
 from haulframe.sources.scratch import materialize
 
 PIECE = "__piece"
-# Equal-width bins used to locate quantiles among many distinct values: one per
-# ROWS_PER_BIN rows of the group, and never more than MOST_BINS.
-ROWS_PER_BIN = 256
-MOST_BINS = 4096
-RANK_ALL_KEY = "haulframe.quantile.rank_all"
-RANK_ALL = 5_000_000
+# Accuracy of the sketches that bracket quantiles: the reciprocal of the rank error.
+SKETCH_ACCURACY = 10_000
 
 
 def in_pieces(
@@ -150,92 +146,72 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles per group, exact by default (linear between order statistics).
 
-    With few rows or few distinct values all values are ranked.  With many,
-    the wanted ranks are first located in equal-width bins, and only the
-    values of those bins are ranked; both ways are exact.  ``approx`` swaps in
-    the mergeable sketch: one pass, bounded memory.
+    A mergeable sketch of each group first gives two of its values between which a
+    wanted rank must lie.  A second pass counts the values between them one by one and
+    all others in lumps, and ranks those counts, so that few values are shuffled
+    however the group is distributed.  ``approx`` stops after the first pass: values of
+    the group near the wanted ranks, not interpolated.  Groups without a value have no
+    row.
     """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
     if approx:
-        return df.groupBy(*keys).agg(
+        return rows.groupBy(*keys).agg(
             *[F.percentile_approx(value, p).alias(n) for n, p in probs.items()]
         )
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    few = rank_all_limit(df)
-    if rows.count() <= few:
-        return quantiles_of_ranked(ranked_counts(rows, keys, value), keys, value, probs)
-    v = F.col(value).cast("double")
-    seen = Observation()
-    bins = F.ceil(F.count(F.lit(1)) / ROWS_PER_BIN)
-    limits = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_group"),
-        F.min(v).alias("__lo"),
-        F.max(v).alias("__hi"),
-        F.least(bins, F.lit(MOST_BINS)).alias("__bins"),
-        F.approx_count_distinct(value).alias("__distinct"),
-    )
-    limits = materialize(limits.observe(seen, F.sum("__distinct").alias("distinct")))
-    if (seen.get["distinct"] or 0) <= few:
-        return quantiles_of_ranked(ranked_counts(rows, keys, value), keys, value, probs)
-    located = _locate(rows, limits.drop("__distinct"), keys, value, probs)
-    return quantiles_of_ranked(located, keys, value, probs)
-
-
-def rank_all_limit(df: DataFrame) -> int:
-    """Number of distinct values up to which quantiles rank all of them."""
-    return int(df.sparkSession.conf.get(RANK_ALL_KEY, str(RANK_ALL)))
+    return quantiles_of_ranked(bracketed_counts(rows, keys, value, probs), keys, value, probs)
 
 
-def _locate(
-    rows: DataFrame,
-    limits: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
+def bracketed_counts(
+    rows: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Ranked counts of the values around the wanted ranks only."""
-    width = (F.col("__hi") - F.col("__lo")) / F.col("__bins")
-    at = F.floor((F.col(value).cast("double") - F.col("__lo")) / width)
-    usable = (width > 0) & (width < F.lit(float("inf")))
-    placed = attach(rows, limits, keys).withColumn(
-        "__bin", F.when(usable, F.least(at, F.col("__bins") - 1)).otherwise(F.lit(0))
-    )
-    counts = placed.groupBy(*keys, "n_group", "__bin").agg(
-        F.count(F.lit(1)).alias("__in_bin")
-    )
-    # at most MOST_BINS rows per group
-    upto = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("__bin").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked_bins = counts.withColumn("__upto", F.sum("__in_bin").over(upto)).withColumn(
-        "__before", F.col("__upto") - F.col("__in_bin")
-    )
-    ranks = [(F.col("n_group") - 1) * F.lit(float(p)) for p in probs.values()]
-    wanted = [
-        (F.col("__before") <= F.ceil(x)) & (F.floor(x) < F.col("__upto")) for x in ranks
-    ]
-    chosen = ranked_bins.filter(any_of(wanted)).select(*keys, "__bin", "__before")
-    inside = attach(
-        placed.select(*keys, "__bin", "n_group", value), chosen, [*keys, "__bin"], "inner"
-    )
-    values = inside.groupBy(*keys, "__bin", "__before", "n_group", value).agg(
-        F.count(F.lit(1)).alias("n")
+    """Ranked counts of the values around the wanted ranks, and of lumps of the others.
+
+    A lump bears its largest value, and its smallest as ``least``; of one value it is none.
+    """
+    slack = 2.0 / SKETCH_ACCURACY
+    wanted = sorted(set(probs.values()))
+    ends = [F.lit(max(0.0, p - slack)) for p in wanted]
+    ends += [F.lit(min(1.0, p + slack)) for p in wanted]
+    v = F.col(value).cast("double")
+    sketch = F.percentile_approx(v, F.array(*ends), SKETCH_ACCURACY)
+    brackets = rows.groupBy(*keys).agg(sketch.alias("__ends"))
+    placed = attach(rows, brackets, keys).withColumn("__v", v)
+    low = [F.col("__ends")[i] for i in range(len(wanted))]
+    high = [F.col("__ends")[i + len(wanted)] for i in range(len(wanted))]
+    near = any_of([F.col("__v").between(a, b) for a, b in zip(low, high)])
+    # how many brackets lie below: tells the lumps apart
+    above = sum((F.col("__v") > b).cast("int") for b in high)
+    counts = placed.groupBy(
+        *keys, above.alias("__above"), F.when(near, F.col("__v")).alias("__near")
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"), F.max("__v").alias(value))
+    ranked = running_totals(
+        counts.drop("__above"), keys, [value], {"n_upto": F.col("n")}, {"n_upto": "n_group"}
     )
-    return running_totals(
-        values, [*keys, "__bin"], [value], {"n_upto": F.col("n")}
-    ).withColumn("n_upto", F.col("n_upto") + F.col("__before"))
+    return ranked.drop("__near")
 
 
 def quantiles_of_ranked(
     ranked: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Quantiles from the output of :func:`ranked_counts`."""
+    """Quantiles from ranked counts; a wanted rank deep inside a lump is an error."""
     v = F.col(value).cast("double")
     upto, before = F.col("n_upto"), F.col("n_upto") - F.col("n")
+
+    def at_rank(rank: Column) -> Column:
+        here = v
+        if "least" in ranked.columns:
+            least = F.col("least")
+            here = (
+                F.when((least == v) | (rank == upto - 1), v)
+                .when(rank == before, least)
+                .otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
+            )
+        return F.max(F.when((before <= rank) & (rank < upto), here))
+
     aggs = []
     for name, p in probs.items():
         at = (F.col("n_group") - 1) * F.lit(float(p))
-        lo = F.max(F.when((before <= F.floor(at)) & (F.floor(at) < upto), v))
-        hi = F.max(F.when((before <= F.ceil(at)) & (F.ceil(at) < upto), v))
+        lo, hi = at_rank(F.floor(at)), at_rank(F.ceil(at))
         part = F.max(at - F.floor(at))
         aggs.append((lo + (hi - lo) * part).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.operators.joins import attach
 from haulframe.operators.ordered import quantiles, running_totals
-from haulframe.sources.scratch import broadcast_limit, materialize_measured
+from haulframe.sources.scratch import materialize
 
 
 def order_columns(keys: Sequence[str]) -> list[Column]:
@@ -37,14 +37,7 @@ def rank_by_median(
     df: DataFrame, category: str, value: str, name: str = "rank"
 ) -> DataFrame:
     """Categories ranked by descending median; equal medians share a rank."""
-    medians, size = materialize_measured(
-        quantiles(df, [category], value, {"median": 0.5})
-    )
-    if size <= broadcast_limit(df.sparkSession):
-        # measured: all categories together fit one task
-        down = F.col("median").desc()
-        ranked = F.dense_rank().over(Window.orderBy(down)).cast("long")
-        return medians.withColumn(name, F.when(F.col("median").isNotNull(), ranked))
+    medians = materialize(quantiles(df, [category], value, {"median": 0.5}))
     steps = (
         medians.select((-F.col("median")).alias("__down"))
         .filter("__down IS NOT NULL")

@@ -56,10 +56,8 @@ def test_running_totals(sample):
     assert {r["seq"]: (r["s"], r["all"]) for r in got} == want
 
 
-@pytest.mark.parametrize("rank_all", ["0", "5000000"])
-def test_quantiles_and_ecdf(spark, sample, rank_all):
+def test_quantiles_and_ecdf(spark, sample):
     df, rows = sample
-    spark.conf.set("haulframe.quantile.rank_all", rank_all)
     got = {r["g"]: r for r in O.quantiles(df, ["g"], "x", {"m": 0.5, "q": 0.25}).collect()}
     for g, items in by_group(rows).items():
         xs = sorted(x for _, x in items)
@@ -67,7 +65,6 @@ def test_quantiles_and_ecdf(spark, sample, rank_all):
         lo = math.floor(at)
         assert got[g]["m"] == pytest.approx(statistics.median(xs))
         assert got[g]["q"] == pytest.approx(xs[lo] + (xs[math.ceil(at)] - xs[lo]) * (at - lo))
-    spark.conf.unset("haulframe.quantile.rank_all")
     e = O.ecdf(df, ["g"], "x").filter("g = 'hot'").collect()
     xs = [x for _, x in by_group(rows)["hot"]]
     for r in e:
@@ -80,13 +77,32 @@ def test_located_quantiles_survive_far_outliers_and_constants(spark):
     xs = [1.0, 1.25, 1.5, 2.0, 1e12]
     df = spark.createDataFrame(
         [("far", x) for x in xs] + [("flat", 3.0)] * 4 + [("gap", None)], "g string, x double")
-    spark.conf.set("haulframe.quantile.rank_all", "0")
     got = {r["g"]: r for r in O.quantiles(df, ["g"], "x", {"m": 0.5, "q": 0.1, "top": 1.0}).collect()}
-    spark.conf.unset("haulframe.quantile.rank_all")
     assert (got["far"]["m"], got["far"]["q"], got["far"]["top"]) == (1.5, 1.1, 1e12)
     assert got["flat"]["m"] == 3.0 and "gap" not in got
 
 
+def test_quantiles_of_few_values(spark):
+    """Every group size from one up, at every rank, also ranks between brackets."""
+    rows = [(n, float(i * i)) for n in range(1, 14) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    probs = {f"p{i}": i / 20 for i in range(21)}
+    for r in O.quantiles(df, ["g"], "x", probs).collect():
+        for name, p in probs.items():
+            at = (r["g"] - 1) * p
+            lo, hi = float(math.floor(at) ** 2), float(math.ceil(at) ** 2)
+            assert r[name] == pytest.approx(lo + (hi - lo) * (at - math.floor(at)))
+
+
+def test_quantiles_of_a_heavy_tail_shuffle_few_values(spark):
+    df = spark.range(200_000).selectExpr("1 AS g", "exp(40 * pow(id / 200000, 8)) AS x")
+    got = O.quantiles(df, ["g"], "x", {"m": 0.5, "q": 0.999}).first()
+    want = df.selectExpr("percentile(x, 0.5)", "percentile(x, 0.999)").first()
+    assert (got["m"], got["q"]) == (pytest.approx(want[0]), pytest.approx(want[1]))
+    counts = O.bracketed_counts(df, ["g"], "x", {"m": 0.5})
+    assert counts.count() < 500
+
+
 def interpolated(values, hold=True):
     known = [(i, v) for i, v in enumerate(values) if v is not None]
     if len(known) < 2:
