@@ -264,11 +264,15 @@ def density_curves(t):
          n AS (SELECT l_linenumber AS panel, l_linestatus AS g, count(*) AS n FROM lineitem GROUP BY ALL),
          b AS (SELECT l_linenumber AS panel, l_linestatus AS g, x0, w,
                  greatest(ceil((l_quantity - (x0 - w / 2)) / w - 1e-8), 1) AS bin
-               FROM lineitem JOIN lim ON l_linenumber = panel)
+               FROM lineitem JOIN lim ON l_linenumber = panel),
+         c AS (SELECT panel, g, bin, count(*) AS k FROM b GROUP BY ALL),
+         every AS (SELECT panel, g, x0, w, n, bin
+                   FROM n JOIN lim USING (panel), range(1, 31) t(bin))
     SELECT panel AS l_linenumber, g AS l_linestatus, CAST(bin AS INTEGER) AS bin,
-      round(x0 + (bin - 1) * w, 8) AS center, round(w, 8) AS width, count(*) AS n,
-      round(CASE WHEN g = 'F' THEN -1 ELSE 1 END * count(*) / (any_value(n.n) * w), 8) AS density
-    FROM b JOIN n USING (panel, g) GROUP BY panel, g, bin, x0, w
+      round(x0 + (bin - 1) * w, 8) AS center, round(w, 8) AS width, coalesce(k, 0) AS n,
+      round(CASE WHEN g = 'F' THEN 0.0 - coalesce(k, 0) / (n * w)
+                 ELSE coalesce(k, 0) / (n * w) END, 8) AS density
+    FROM every LEFT JOIN c USING (panel, g, bin)
 """)
 def histogram_mirrored(t):
     rows = t.lineitem.select("l_linenumber", "l_linestatus", "l_quantity")

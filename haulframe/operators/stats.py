@@ -104,7 +104,7 @@ def ks_test(
 
     Both samples are reduced to counts per distinct value; an empty sample
     gives NULL.  p is asymptotic; with ``exact`` it is exact for small samples
-    without ties.
+    without ties, and the column ``method`` says which of both it is.
     """
     g = F.col(group)
     counts = (
@@ -132,12 +132,14 @@ def ks_test(
     n_x, n_y = F.col("n_x").cast("double"), F.col("n_y").cast("double")
     scaled = F.col("D") * F.sqrt(F.try_divide(n_x * n_y, n_x + n_y))
     p_value = F.when(F.col("D").isNotNull(), kolmogorov_tail(scaled))
+    method: list[Column] = []
     if exact:
         # one row, written first: the Python tail function sees that row only
         found = materialize(found)
         small = (F.col("most_ties") == 1) & (n_x * n_y < EXACT_BELOW)
         p_value = F.when(small, smirnov_exact_p("D", "n_x", "n_y")).otherwise(p_value)
-    return found.select("D", p_value.alias("p_value"), "n_x", "n_y")
+        method = [F.when(small, "exact").otherwise("asymptotic").alias("method")]
+    return found.select("D", p_value.alias("p_value"), "n_x", "n_y", *method)
 
 
 def bandwidths(
@@ -192,12 +194,14 @@ def kernel_density(
 ) -> DataFrame:
     """Gaussian density of each group on a regular grid over its panel's range.
 
+    A group of a single value has no spread to smooth by: its rows have no density
+    (NULL) rather than being left out.
     Values are first spread linearly over a grid of ``points`` nodes, so a
     group of any size reaches the kernel sum as at most ``points`` weights.
     ``panel`` (a subset of ``keys``) names the groups that share one range.
     """
     widths = materialize(bandwidths(df, keys, value, adjust))
-    setup = _panel_limits(widths, panel).filter("n_group >= 2")
+    setup = _panel_limits(widths, panel)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
     last = points - 1
     lo = F.col("x_min") - 4 * F.col("bw")
@@ -249,7 +253,7 @@ def kernel_density(
         *keys,
         "point",
         "x",
-        (total / (F.col("bw") * F.sqrt(2 * F.pi()))).alias("density"),
+        F.when(F.col("n_group") >= 2, total / (F.col("bw") * F.sqrt(2 * F.pi()))).alias("density"),
     )
 
 
@@ -261,7 +265,7 @@ def histogram(
     panel: Sequence[str] = (),
     mirrored: Column | None = None,
 ) -> DataFrame:
-    """Counts and density per bin; empty bins are left out.
+    """Counts and density per bin, also of the empty bins of each group.
 
     The first bin is centred on the panel minimum, the last on its maximum,
     and bins are closed on the right.  Where ``mirrored`` holds the density
@@ -283,15 +287,21 @@ def histogram(
     left = F.col("x_min") - F.col("width") / 2
     # a value on a bin edge belongs to the bin it closes, despite rounding
     at = F.greatest(F.ceil((v - left) / F.col("width") - 1e-8), F.lit(1))
-    binned = (
+    every = F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")
+    empty = setup.select(*keys, every, "x_min", "width", "n_group", F.lit(0).alias("n"))
+    counted = (
         attach(rows, setup, keys)
         .withColumn("bin", at.cast("int"))
         .groupBy(*keys, "bin", "x_min", "width", "n_group")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # one row per group and bin on either side
+    binned = counted.unionByName(empty).groupBy(
+        *keys, "bin", "x_min", "width", "n_group"
+    ).agg(F.sum("n").cast("long").alias("n"))
     density = F.col("n") / (F.col("n_group") * F.col("width"))
     if mirrored is not None:
-        density = F.when(mirrored, -density).otherwise(density)
+        density = F.when(mirrored, 0.0 - density).otherwise(density)
     return binned.select(
         *keys,
         "bin",

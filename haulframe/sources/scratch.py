@@ -21,12 +21,34 @@ BROADCAST_BYTES_KEY = "haulframe.broadcast.bytes"
 BROADCAST_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
+_proven: set[tuple[str, str]] = set()
+
+
+def _prove_shared(spark: SparkSession, folder: str) -> None:
+    """Raise an error if the driver does not see what executors write to ``folder``.
+
+    Only a folder of a local file system can fail this, once per session.
+    """
+    app = spark.sparkContext.applicationId
+    if (app, folder) in _proven:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+    if files.getUri().getScheme() == "file":
+        path = f"{folder}/haulframe/{app}/probe-{uuid.uuid4().hex}"
+        spark.range(0, 2, 1, 2).write.parquet(path)
+        found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part-*"))
+        if len(found or []) != 2:
+            raise RuntimeError(f"executors and driver do not share {folder}")
+    _proven.add((app, folder))
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder of this session; a temporary one on a single machine only."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
+        if not spark.sparkContext.master.startswith("local"):
+            _prove_shared(spark, shared)
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(

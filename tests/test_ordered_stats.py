@@ -209,6 +209,7 @@ def test_ks(spark):
     df = spark.createDataFrame([("x", v) for v in xs] + [("y", v) for v in ys], "g string, v double")
     gap = max(abs(sum(a <= p for a in xs) / 4 - sum(b <= p for b in ys) / 5) for p in xs + ys)
     r = ST.ks_test(df, "g", "v", "x", "y", exact=True).first()
+    assert r["method"] == "exact"
     back = ST.ks_test(df, "g", "v", "y", "x", exact=True).first()
     assert r["D"] == pytest.approx(gap) == back["D"]
     assert r["p_value"] == pytest.approx(back["p_value"])
@@ -254,9 +255,17 @@ def test_histogram(spark):
     assert sum(r["n"] for r in got if r["g"] == "a") == 30
     total = sum(r["density"] * r["width"] for r in got if r["g"] == "a")
     assert total == pytest.approx(1.0)
-    assert [r["density"] < 0 for r in got if r["g"] == "b"] == [True]
+    assert sorted(r["density"] < 0 for r in got if r["g"] == "b") == [False] * 29 + [True]
     flat = ST.histogram(df.filter("g = 'b'"), ["g"], "x").collect()
-    assert len(flat) == 1 and flat[0]["n"] == 1
+    assert sorted(r["n"] for r in flat) == [0] * 29 + [1]
+    assert sorted(r["bin"] for r in flat) == list(range(1, 31))
+
+
+def test_density_of_a_single_value_has_rows(spark):
+    df = spark.createDataFrame([("one", 3.0), ("two", 1.0), ("two", 2.0)], "g string, x double")
+    got = ST.kernel_density(df, ["g"], "x", points=16).collect()
+    assert sum(r["g"] == "one" for r in got) == 16
+    assert all((r["density"] is None) == (r["g"] == "one") for r in got)
 
 
 def test_boxplot(spark):

@@ -125,6 +125,9 @@ def test_scratch_follows_the_session(spark, tmp_path):
     class Session:
         conf = Conf()
 
+        class sparkContext:
+            master = "local[2]"
+
     assert scratch_dir(Session()) == named
     assert scratch_dir(spark) == scratch_dir(spark) != named
 
@@ -141,6 +144,16 @@ def test_no_local_folder_on_a_cluster():
         scratch_dir(Session())
 
 
+def test_a_local_folder_off_a_local_master_is_proven(spark, tmp_path):
+    import haulframe.sources.scratch as scratch
+
+    scratch._prove_shared(spark, f"file://{tmp_path}/x")  # one machine: both sides see it
+    assert len(list((tmp_path / "x").rglob("part-*"))) == 2
+    before = set((tmp_path / "x").rglob("*"))
+    scratch._prove_shared(spark, f"file://{tmp_path}/x")
+    assert set((tmp_path / "x").rglob("*")) == before
+
+
 def test_size_is_observed_while_writing(spark):
     table, size = materialize_measured(spark.range(10).selectExpr("id", "'abc' AS s"))
     assert table.count() == 10 and size == 10 * (16 + 32 + 3)
