@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.operators.joins import attach
@@ -34,9 +34,18 @@ def fixed_rank(c: str, levels: Sequence[str]) -> Column:
 
 
 def rank_by_median(
-    df: DataFrame, category: str, value: str, name: str = "rank"
+    df: DataFrame, category: str, value: str, name: str = "rank", aggregated: bool = False
 ) -> DataFrame:
-    """Categories ranked by descending median; equal medians share a rank."""
+    """Categories ranked by descending median; equal medians share a rank.
+
+    ``aggregated`` says that ``df`` holds one row per category and group of a stated,
+    short list, as a table of results does: its medians and ranks need no passes of
+    their own.
+    """
+    if aggregated:
+        few = df.groupBy(category).agg(F.percentile(value, 0.5).alias("median"))
+        ranked = F.dense_rank().over(Window.orderBy(F.col("median").desc())).cast("long")
+        return few.withColumn(name, F.when(F.col("median").isNotNull(), ranked))
     medians = materialize(quantiles(df, [category], value, {"median": 0.5}))
     steps = (
         medians.select((-F.col("median")).alias("__down"))

@@ -367,7 +367,8 @@ def standardized_profile(
 ) -> DataFrame:
     """Totals per (series, within, position), z-scored inside (series, within)."""
     totals = df.groupBy(series, *within, *position).agg(F.sum(value).alias(value))
-    return zscore(materialize(totals), [series, *within], value, "std")
+    # one row per position of a profile
+    return zscore(totals, [series, *within], value, "std", aggregated=True)
 
 
 def profile_correlation(

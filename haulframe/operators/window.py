@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.functions.nulls import safe_ratio
@@ -18,12 +18,19 @@ from haulframe.operators.ordered import quantiles
 
 
 def group_shares(
-    df: DataFrame, within: Sequence[str], names: dict[str, str]
+    df: DataFrame, within: Sequence[str], names: dict[str, str], aggregated: bool = False
 ) -> DataFrame:
     """Shares of the group totals for several columns at once.
 
-    ``df`` is read twice; hand in a written table when it is costly.
+    ``df`` is read twice; hand in a written table when it is costly.  ``aggregated``
+    says that it holds one row per category of a group, so that a group has as many rows
+    as there are categories: a window over it then needs no second pass.
     """
+    if aggregated:
+        group = Window.partitionBy(*within)
+        return df.withColumns(
+            {p: safe_ratio(F.col(n), F.sum(n).over(group)) for n, p in names.items()}
+        )
     totals = df.groupBy(*within).agg(
         *[F.sum(n).alias(f"__total_{n}") for n in names]
     )
@@ -35,16 +42,31 @@ def group_shares(
 
 
 def group_share(
-    df: DataFrame, within: Sequence[str], n: str = "n", name: str = "prop"
+    df: DataFrame,
+    within: Sequence[str],
+    n: str = "n",
+    name: str = "prop",
+    aggregated: bool = False,
 ) -> DataFrame:
-    """Each row's share of its group total."""
-    return group_shares(df, within, {n: name})
+    """Each row's share of its group total, as ``group_shares``."""
+    return group_shares(df, within, {n: name}, aggregated)
 
 
 def zscore(
-    df: DataFrame, within: Sequence[str], value: str, name: str = "std"
+    df: DataFrame,
+    within: Sequence[str],
+    value: str,
+    name: str = "std",
+    aggregated: bool = False,
 ) -> DataFrame:
-    """Distance from the group mean in standard deviations."""
+    """Distance from the group mean in standard deviations.
+
+    ``aggregated`` as in ``group_shares``.
+    """
+    if aggregated:
+        group = Window.partitionBy(*within)
+        off = F.col(value) - F.avg(value).over(group)
+        return df.withColumn(name, safe_ratio(off, F.stddev_samp(value).over(group)))
     stats = df.groupBy(*within).agg(
         F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd")
     )

@@ -115,7 +115,7 @@ def share_by_gear(
 ) -> DataFrame:
     """Catch and its share per gear within the groups."""
     sums = landings.groupBy(*by, gear).agg(F.sum("weight_posted").alias("catch"))
-    return group_share(materialize(sums), list(by), "catch", "prop")
+    return group_share(sums, list(by), "catch", "prop", aggregated=True)
 
 
 def known_vessel_gear(
@@ -188,12 +188,13 @@ def landings_summary(
         )
     )
     return group_shares(
-        materialize(sums),
+        sums,
         by,
         {
             "catch_mt": "proportion_catch",
             "number_of_landings": "proportion_landings",
         },
+        aggregated=True,
     )
 
 

@@ -514,9 +514,10 @@ def species_composition(
         .groupBy(*by, "species")
         .agg(F.sum("catch").alias("n"))
     )
-    shares = group_share(materialize(counts), list(by))
-    ranks = rank_by_median(shares, "species", "prop", "species_rank").drop("median")
-    return attach(shares, ranks, ["species"])
+    # a table of results: one row per species and group
+    shares = materialize(group_share(counts, list(by), aggregated=True))
+    ranks = rank_by_median(shares, "species", "prop", "species_rank", aggregated=True)
+    return null_safe_join(shares, ranks.drop("median"), ["species"])
 
 
 # -- lengths ---------------------------------------------------------------
@@ -556,8 +557,8 @@ def length_rows_with_stats(
 
 def sex_ratio(lengths: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count and share of each sex within the groups."""
-    counts = materialize(group_counts(lengths, [*by, "sex"]))
-    return group_share(counts, list(by), "n", "sex_ratio")
+    counts = group_counts(lengths, [*by, "sex"])
+    return group_share(counts, list(by), "n", "sex_ratio", aggregated=True)
 
 
 def sex_length_table(
