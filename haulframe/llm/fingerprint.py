@@ -37,8 +37,6 @@ CELLS = 8
 TABLES, GROWTH = 3, 4
 #: Mean words of a part, and most of them, counted from its first word.
 PART_WORDS, MOST_WORDS = 4, 8
-#: Bytes of text in one partition of the ordered pass, by which its number is chosen.
-PARTITION_BYTES = 24 << 20
 
 
 def parts(data: np.ndarray, offsets: np.ndarray, mean: int = PART_WORDS):
@@ -276,10 +274,8 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def version_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited version, and their likeness."""
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    pieces = max(1, -(-size // PARTITION_BYTES))
-    ordered = (source.repartitionByRange(pieces, F.col("doc_id").desc_nulls_last())
-               .sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text"))
+    down = F.col("doc_id").desc_nulls_last()
+    ordered = source.repartitionByRange(down).sortWithinPartitions(down, "text")
     compared = ordered.mapInArrow(
         _in_order, f"doc_id long, {_COLUMNS}, part int, edge int, text string")
     place = new_path(docs.sparkSession)

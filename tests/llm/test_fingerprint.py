@@ -17,12 +17,14 @@ def jaccard(a, b):
     return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
 
 
-@pytest.mark.parametrize("partition", [300, 24 << 20])
-def test_equals_brute_force(spark, monkeypatch, partition):
-    monkeypatch.setattr(fingerprint, "PARTITION_BYTES", partition)
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_equals_brute_force(spark, coalesce):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, coalesce)
     rows = sorted(((r[0], r[1] or "") for r in odd_rows()),
                   key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
     got = fingerprint.version_fingerprints(odd_docs(spark)).collect()
+    spark.conf.unset(key)
     want = []
     for i, (id, text) in enumerate(rows):
         after = rows[(i + 1) % len(rows)][1]
