@@ -15,8 +15,10 @@ anchor the bytes matter that a window holding its gram can reach (its context).
    their neighbours: the common bytes to the right, and likewise to the left of the
    anchors, say which windows repeat.
 4. A gram whose suffixes fall on both sides of a splitter, as those of a very frequent one
-   do, is compared across the boundary: the windows of its suffixes are counted by
-   hash, combined before the shuffle, so no bucket or group grows with it.
+   do, is compared across the boundary.  A window can only be shared with another bucket
+   if its part to the right of the anchor is no longer than what the suffix has in
+   common with the end of its bucket; such windows are counted by hash, combined before
+   the shuffle, so no bucket or group grows with the gram.
 
 A null or empty text has no bytes.  Texts shorter than ``length`` lose nothing; a text of
 any length is read whole.  Strings are judged on the input, also within one document.
@@ -41,7 +43,7 @@ from haulframe.sources.scratch import materialize
 #: Bytes of a repeated string, and of the gram that is hashed at each place.
 LENGTH, GRAM = 400, 128
 #: Bytes of suffixes in one bucket, by which the number of buckets is chosen.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Fewer strings than this are sorted at once.
 FEW = 48
 
@@ -205,7 +207,8 @@ def repeated_windows(right: list[bytes], left: list[bytes], length: int, gram: i
     """Least and greatest start before the anchor of a window that two suffixes share.
 
     A window that starts o bytes before the anchor holds the last o bytes to the left and the
-    first length - o to the right.  -1 where none is shared.
+    first length - o to the right.  -1 where none is shared.  Third, the bytes that each
+    suffix has in common with the first or the last of all in order, the larger.
     """
     n, span = len(right), length - gram
     low, high = np.full(n, -1), np.full(n, -1)
@@ -216,13 +219,18 @@ def repeated_windows(right: list[bytes], left: list[bytes], length: int, gram: i
         commons.append(neighbours_in_common(strings, order, width))
         sizes.append(np.array([len(s) for s in strings]))
     common = commons[0]
+    edge = np.empty(n, np.int64)
+    # common with the first: the least between; with the last: the same from behind
+    from_first = np.minimum.accumulate(np.append(length, common[1:]))
+    from_last = np.minimum.accumulate(np.append(length, common[:0:-1]))[::-1]
+    edge[orders[0]] = np.maximum(from_first, from_last)
     # suffixes that share their gram with a neighbour
     alone = np.maximum(common, np.append(common[1:], 0)) < gram
     live = np.ones(n, bool)
     live[orders[0][alone]] = False
     member = np.flatnonzero(live)
     if not len(member):
-        return low, high
+        return low, high, edge
     for o in range(span + 1):
         fits = member[(sizes[0][member] >= length - o) & (sizes[1][member] >= o)]
         if len(fits) < 2:
@@ -241,7 +249,7 @@ def repeated_windows(right: list[bytes], left: list[bytes], length: int, gram: i
         hit = fits[shared]
         high[hit] = o
         low[hit[low[hit] < 0]] = o
-    return low, high
+    return low, high, edge
 
 
 _RESULT = "g long, c long, low int, high int, bucket int, right binary, left binary"
@@ -255,11 +263,11 @@ def _bucket(length: int, gram: int):
         whole = pa.Table.from_batches(held)
         g, c = np.asarray(whole.column("g")), np.asarray(whole.column("c"))
         right, left = whole.column("right").to_pylist(), whole.column("left").to_pylist()
-        low, high = repeated_windows(right, left, length, gram)
+        low, high, common = repeated_windows(right, left, length, gram)
         found = np.flatnonzero(high >= 0)
         part = TaskContext.get().partitionId()
-        edges = {min(right)[:gram], max(right)[:gram]}
-        edge = [i for i, r in enumerate(right) if r[:gram] in edges]
+        # the shortest start of a window that another bucket can share, in ``low``
+        edge = np.flatnonzero(common >= gram)
 
         def batch(rows, lows, highs, rights, lefts):
             return pa.RecordBatch.from_arrays([
@@ -272,9 +280,8 @@ def _bucket(length: int, gram: int):
         yield batch(found, low[found], high[found], none, none)
         for at in range(0, len(edge), _BATCH):
             rows = edge[at:at + _BATCH]
-            none = [None] * len(rows)
-            yield batch(np.array(rows), none, none, [right[i] for i in rows],
-                        [left[i] for i in rows])
+            yield batch(rows, length - common[rows], [None] * len(rows),
+                        [right[i] for i in rows], [left[i] for i in rows])
 
     return run
 
@@ -286,23 +293,26 @@ def across_buckets(edges: DataFrame, length: int, gram: int) -> DataFrame:
     span = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, c, right, left in zip(*(batch.column(k).to_pylist()
-                                           for k in ("g", "c", "right", "left"))):
-                text = left[::-1] + right
-                data = np.frombuffer(text, np.uint8)
-                o = np.arange(max(0, length - len(right)), min(len(left), span) + 1)
-                if not len(o):
-                    continue
-                start = len(left) - o
+        for whole in batches:
+            for at in range(0, whole.num_rows, _BATCH):
+                batch = whole.slice(at, _BATCH)
+                right, left = (batch.column(k).to_pylist() for k in ("right", "left"))
+                data = np.frombuffer(b"".join(b[::-1] + a for a, b in zip(right, left)), np.uint8)
+                size_r, size_l = (np.array([len(x) for x in y]) for y in (right, left))
+                place = np.cumsum(size_r + size_l) - size_r  # of the anchors
+                first = np.maximum(np.asarray(batch.column("low")), length - size_r)
+                count = np.maximum(np.minimum(size_l, span) + 1 - first, 0)
+                row = np.repeat(np.arange(len(right)), count)
+                o = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+                start = place[row] - o
                 window = SpanHash(data)(start, start + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(o), g)), pa.array(np.full(len(o), c)),
-                    pa.array(o.astype(np.int32)), pa.array(window),
-                ], names=["g", "c", "o", "window"])
+                g, c = (np.asarray(batch.column(k))[row] for k in ("g", "c"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g), pa.array(c), pa.array(o.astype(np.int32)), pa.array(window)],
+                    names=["g", "c", "o", "window"])
 
-    windows = materialize(edges.join(split, "g").select("g", "c", "right", "left").mapInArrow(
-        run, "g long, c long, o int, window long"))
+    spread = edges.join(split, "g").select("g", "c", "low", "right", "left").repartition("g", "c")
+    windows = materialize(spread.mapInArrow(run, "g long, c long, o int, window long"))
     shared = (windows.groupBy("g", "o", "window").agg(F.count("*").alias("n"))
               .where("n > 1").select("g", "o", "window"))
     return windows.join(shared, ["g", "o", "window"]).groupBy("g", "c").agg(
