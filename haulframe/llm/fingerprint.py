@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haulframe.llm.common import SLICE_BYTES, SpanHash, seeded, slices, utf8, words
+from haulframe.llm.common import SLICE_BYTES, SpanHash, seeded, utf8, words
 from haulframe.sources.scratch import new_path
 
 #: Cells of each of the three tables of a stored sketch; a retry takes four times as many.

@@ -3,7 +3,6 @@ import random
 import pytest
 
 from haulframe.llm import warc
-from tests.oracle import compare, connect
 
 SCHEMA = "page_id long, url string, html string, payload string, block int"
 
@@ -63,10 +62,3 @@ def test_empty_table(spark, tmp_path):
     folder = str(tmp_path / "w")
     warc.write_archives(spark.createDataFrame([], SCHEMA), folder)
     assert warc.read_archives(spark, folder).collect() == []
-
-
-def test_query_equals_its_sql(spark):
-    folder = "/root/testdata/sf0.001"
-    out = compare(spark, connect(folder), folder,
-                  lambda s, d: warc.archive_report(s, d), warc.SQL)
-    assert out["problems"] == []
