@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalog import views as V
 from catalog.tables import r, register
-from haulframe.operators.joins import exclude
 from haulframe.plans import survey as S
 from haulframe.plans import synthesis as Y
 from haulframe.plans.codes import EventRule, GearCodes
