@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from haulframe.llm.common import bounded, by_row, row_key
 from haulframe.sources.scratch import materialize
 
-#: Labelled rows to learn from, at most; those with the smallest hash of the id.
+#: Labelled rows to learn from: all, or about so many, chosen by a hash of the id.
 SAMPLE = 20_000
+_HASHES = 1 << 31
 #: Score from which a document is predicted good.
 GOOD = 0.3
 #: Folds by crc32 of the id; fold 0 is held out.
@@ -221,12 +222,18 @@ def is_held_out(id: Column) -> Column:
 
 
 def train(stats: DataFrame, labels: DataFrame, id: str, label: str) -> RuleEnsemble:
-    """Fit on a bounded sample of labelled rows that are not held out."""
+    """Fit on a sample of labelled rows that are not held out.
+
+    Each label is in the sample if its id's hash falls below a share of SAMPLE over all
+    labels, so no task or driver gets more than the sample.
+    """
     marks = (labels.select(F.col(id).alias("id"), F.col(label).alias("label"))
              .where("label is not null and id is not null")
-             .groupBy("id").agg(F.max("label").alias("label")))
-    rows = (stats.where(~is_held_out(F.col("id"))).join(marks, "id")
-            .orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+             .groupBy("id").agg(F.max("label").alias("label"))
+             .where(~is_held_out(F.col("id"))))
+    share = min(1.0, SAMPLE / max(marks.count(), 1))
+    drawn = marks.where(F.pmod(F.xxhash64("id"), F.lit(_HASHES)) < int(share * _HASHES))
+    rows = (stats.join(drawn, "id").orderBy("id", "k1", "k2")
             .select(*[F.col(n).cast("double") for n in NAMES], F.col("label").cast("double"))
             .toPandas().to_numpy())
     return fit(rows[:, :-1], rows[:, -1])
