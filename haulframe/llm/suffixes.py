@@ -41,7 +41,7 @@ from haulframe.llm.common import SpanHash, bounded, by_row, row_key, seeded, sli
 from haulframe.sources.scratch import materialize
 
 #: Bytes of a repeated string, and of the gram that is hashed at each place.
-LENGTH, GRAM = 400, 128
+LENGTH, GRAM = 400, 200
 #: Bytes of suffixes in one bucket, by which the number of buckets is chosen.
 BUCKET_BYTES = 16 << 20
 #: Fewer strings than this are sorted at once.
@@ -96,10 +96,14 @@ _ANCHOR = pa.struct([("g", pa.int64()), ("c", pa.int64()), ("pos", pa.int32()),
 
 
 def anchor_table(docs: DataFrame, id: str, text: str, length: int, gram: int) -> DataFrame:
-    """(k1, k2, g, c, pos, left, right): a row per anchor of each document, written once."""
+    """(k1, k2, row, found): the anchors of each document, written once.
+
+    ``row`` numbers the documents that were written; it is shorter to shuffle than keys.
+    """
     source = docs.select(*row_key(F.col(id), F.col(text)), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for low, high in slices(offsets):
@@ -115,17 +119,21 @@ def anchor_table(docs: DataFrame, id: str, text: str, length: int, gram: int) ->
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("k1").slice(low, high - low),
-                     batch.column("k2").slice(low, high - low), lists],
-                    names=["k1", "k2", "found"])
+                     batch.column("k2").slice(low, high - low),
+                     pa.array(np.arange(first + low, first + high)), lists],
+                    names=["k1", "k2", "row", "found"])
+            first += batch.num_rows
 
     kind = "array<struct<g:bigint,c:bigint,pos:int,left:int,right:int>>"
-    rows = materialize(source.mapInArrow(run, f"k1 long, k2 long, found {kind}"))
-    return rows.select("k1", "k2", F.explode("found").alias("a")).select("k1", "k2", "a.*")
+    return materialize(source.mapInArrow(run, f"k1 long, k2 long, row long, found {kind}"))
 
 
 def context_texts(docs: DataFrame, wanted: DataFrame, id: str, text: str, length: int,
                   gram: int) -> DataFrame:
-    """(g, c, right, left): bytes right of the anchor, and left of it in reverse."""
+    """(g, c, right, left): bytes right of the anchor, and left of it in reverse.
+
+    A context of a repeated row comes as often as the row.
+    """
     by_row = wanted.groupBy("k1", "k2").agg(
         F.collect_list(F.struct("pos", "g", "c")).alias("wanted"))
     source = docs.select(*row_key(F.col(id), F.col(text)),
@@ -147,9 +155,7 @@ def context_texts(docs: DataFrame, wanted: DataFrame, id: str, text: str, length
             if out:
                 yield _context_batch(out)
 
-    # repeated rows would give a context twice
-    return rows.mapInArrow(run, "g long, c long, right binary, left binary").dropDuplicates(
-        ["g", "c"])
+    return rows.mapInArrow(run, "g long, c long, right binary, left binary")
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -261,6 +267,11 @@ def _bucket(length: int, gram: int):
         if not held:
             return
         whole = pa.Table.from_batches(held)
+        # equal contexts are in one bucket; one of each counts
+        pairs = np.stack([np.asarray(whole.column(k)) for k in ("g", "c")])
+        order = np.lexsort(pairs)
+        again = (pairs[:, order[1:]] == pairs[:, order[:-1]]).all(axis=0)
+        whole = whole.take(pa.array(np.sort(order[np.append(True, ~again)])))
         g, c = np.asarray(whole.column("g")), np.asarray(whole.column("c"))
         right, left = whole.column("right").to_pylist(), whole.column("left").to_pylist()
         low, high, common = repeated_windows(right, left, length, gram)
@@ -321,21 +332,25 @@ def across_buckets(edges: DataFrame, length: int, gram: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int) -> DataFrame:
     """(k1, k2, __spans): the byte ranges of each document that repeated strings cover."""
-    each = anchor_table(docs, id, text, length, gram)
+    found = anchor_table(docs, id, text, length, gram)
+    rows = found.select("row", "k1", "k2")
+    each = found.select("row", F.explode("found").alias("a")).select("row", "a.*")
     grams = (each.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("a"),
                                    F.max("c").alias("b"))
              .where("n > 1").select("g", (F.col("a") != F.col("b")).alias("mixed")))
     again = materialize(each.join(grams, "g"))
     contexts = materialize(again.groupBy("g", "c").agg(
         F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.max("left").alias("left"),
-        F.max("right").alias("right"), F.min(F.struct("k1", "k2", "pos")).alias("at")))
+        F.max("right").alias("right"), F.min(F.struct("row", "pos")).alias("at")))
     # all windows of a context that occurs again
     whole = contexts.where((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select(
         "g", "c", F.greatest(F.lit(0), F.lit(length) - F.col("right")).cast("int").alias("low"),
         F.col("left").alias("high"))
-    mixed = contexts.where("mixed").select("g", "c", "at.*")
-    texts = materialize(context_texts(docs, mixed, id, text, length, gram))
-    size = texts.agg(F.sum(F.octet_length("right") + F.octet_length("left"))).first()[0] or 0
+    mixed = contexts.where("mixed")
+    size = mixed.agg(F.sum(F.col("left") + F.col("right"))).first()[0] or 0
+    wanted = mixed.select("g", "c", "at.*").join(rows, "row")
+    # read twice, for the splitters and for the buckets, rather than written
+    texts = context_texts(docs, wanted, id, text, length, gram)
     buckets = texts.repartitionByRange(max(1, -(-size // BUCKET_BYTES)), "right", "left")
     sorted_out = materialize(buckets.mapInArrow(_bucket(length, gram), _RESULT))
     inside = sorted_out.where("high is not null").select("g", "c", "low", "high")
@@ -343,9 +358,11 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int)
     known = whole.union(inside).union(across).groupBy("g", "c").agg(
         F.min("low").alias("low"), F.max("high").alias("high"))
     spans = again.join(known, ["g", "c"]).select(
-        "k1", "k2", F.struct((F.col("pos") - F.col("high")).alias("start"),
+        "row", F.struct((F.col("pos") - F.col("high")).alias("start"),
                              (F.col("pos") - F.col("low") + length).alias("end")).alias("span"))
-    return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("__spans"))
+    by_row = spans.groupBy("row").agg(F.collect_set("span").alias("__spans"))
+    # repeated rows have the same spans
+    return by_row.join(rows, "row").drop("row").dropDuplicates(["k1", "k2"])
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
