@@ -82,6 +82,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _element_bytes(kind: T.ArrayType) -> int:
+    """Size of an array's element in memory, a short text where it is one."""
+    inner = kind.elementType
+    return 16 + 16 * len(inner.fields) if isinstance(inner, T.StructType) else 16
+
+
 def _row_bytes(schema: T.StructType) -> Column:
     """Size of a row in memory, counting the text it really holds."""
     widths = [
@@ -89,6 +95,11 @@ def _row_bytes(schema: T.StructType) -> Column:
         for f in schema.fields
         if isinstance(f.dataType, (T.StringType, T.BinaryType))
     ]
+    widths += [
+        F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(0)) * _element_bytes(f.dataType)
+        for f in schema.fields
+        if isinstance(f.dataType, T.ArrayType)
+    ]
     fixed = F.lit(16 + 16 * len(schema.fields)).cast("long")
     return reduce(lambda a, b: a + b, widths, fixed)
 
