@@ -52,7 +52,9 @@ STATES = 8
 
 #: Code points side by side in one block, distinct pieces a task keeps.
 BLOCK = 256
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
+#: Bytes of text, and ids, that a task works on at once.
+ENCODED_BYTES, DECODED_IDS = 1 << 20, 1 << 19
 #: Pieces above this many bytes are merged one by one with a heap.
 LONG_PIECE = 40
 
@@ -349,7 +351,7 @@ def encode(df: DataFrame, text: str, vocabulary_path: str, ids: str = "ids",
         for batch in batches:
             data, at = utf8(batch.column(read))
             rest = batch.select(kept)
-            for low, high in slices(at):
+            for low, high in slices(at, ENCODED_BYTES):
                 own = at[low:high + 1] - at[low]
                 token, place, counts = encode_slice(bpe, data[at[low]:at[high]], own)
                 part = rest.slice(low, high - low)
@@ -360,37 +362,67 @@ def encode(df: DataFrame, text: str, vocabulary_path: str, ids: str = "ids",
     return source.mapInArrow(run, schema)
 
 
+def decoded_lists(token: np.ndarray, counts: np.ndarray, vocabulary_path: str) -> pa.Array:
+    """The bytes of each list of ids, the lists laid end to end."""
+    pool, begin, length = vocabulary(vocabulary_path)
+    sizes = length[token]
+    running = np.concatenate([[0], np.cumsum(sizes)])
+    bounds = running[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
+    raw = gather(pool, begin[token], sizes)
+    out = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(counts),
+        [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw.tobytes())])
+    return out.cast(pa.binary())
+
+
 def decode(df: DataFrame, ids: str, vocabulary_path: str, decoded: str = "decoded") -> DataFrame:
     """Bytes that the token ids of column ``ids`` stand for; no ids give no bytes."""
     kept, schema = _with_columns(df, [T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, begin, length = vocabulary(vocabulary_path)
         for batch in batches:
             lists = batch.column(ids)
             counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
             flat = np.asarray(lists.flatten(), np.int64)
             at = np.concatenate([[0], np.cumsum(counts)])
-            for low, high in slices(at, 1 << 19):
-                token = flat[at[low]:at[high]]
-                sizes = length[token]
-                running = np.concatenate([[0], np.cumsum(sizes)])
-                bounds = running[at[low:high + 1] - at[low]].astype(np.int64)
-                raw = gather(pool, begin[token], sizes)
-                out = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), high - low,
-                    [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw.tobytes())])
+            for low, high in slices(at, DECODED_IDS):
+                out = decoded_lists(flat[at[low]:at[high]], counts[low:high], vocabulary_path)
                 part = batch.select(kept).slice(low, high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, out.cast(pa.binary())], names=[*kept, decoded])
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*kept, decoded])
 
     return df.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, text: str, vocabulary_path: str, ids: str = "ids",
+               decoded: str = "decoded") -> DataFrame:
+    """Token ids of column ``text`` and the bytes they decode to, by one Python worker a task."""
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)),
+             T.StructField(decoded, T.BinaryType())]
+    source = df.withColumn("__text", F.col(text)).drop(text)
+    kept = [n for n in _with_columns(source, added)[0] if n != "__text"]
+    schema = T.StructType([source.schema[k] for k in kept] + added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = merger(vocabulary_path)
+        bpe.path = vocabulary_path
+        for batch in batches:
+            data, at = utf8(batch.column("__text"))
+            rest = batch.select(kept)
+            for low, high in slices(at, ENCODED_BYTES):
+                own = at[low:high + 1] - at[low]
+                token, _, counts = encode_slice(bpe, data[at[low]:at[high]], own)
+                part = rest.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, _lists(token, counts),
+                     decoded_lists(token, counts, vocabulary_path)],
+                    names=[*kept, ids, decoded])
+
+    return source.mapInArrow(run, schema)
+
+
 def token_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Number and digest of the ids of each document, and the digest of what they decode to."""
-    coded = encode(docs.select("doc_id", "text"), "text", vocabulary_path).drop("offsets")
-    both = decode(coded, "ids", vocabulary_path)
+    both = round_trip(docs.select("doc_id", "text"), "text", vocabulary_path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -43,5 +43,11 @@ def test_round_trip_and_digests_of_odd_rows(spark, peer):
     assert want == sorted((-1 if g[0] is None else g[0], *g[1:]) for g in got)
 
 
+def test_decoding_gives_the_text_back(spark):
+    coded = bpe.encode(odd_docs(spark), "text", PATH, keep_text=True)
+    for row in bpe.decode(coded, "ids", PATH).collect():
+        assert bytes(row.decoded) == (row.text or "").encode()
+
+
 def test_empty_table(spark):
     assert bpe.token_digests(empty_docs(spark), PATH).collect() == []
