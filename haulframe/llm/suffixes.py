@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from haulframe.llm.common import SpanHash, bounded, by_row, row_key, seeded, slices, utf8
 from haulframe.sources.scratch import materialize
@@ -360,7 +361,15 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int)
     spans = again.join(known, ["g", "c"]).select(
         "row", F.struct((F.col("pos") - F.col("high")).alias("start"),
                              (F.col("pos") - F.col("low") + length).alias("end")).alias("span"))
-    by_row = spans.groupBy("row").agg(F.collect_set("span").alias("__spans"))
+    # maximal ranges of a document: a span that starts beyond all before it opens one
+    in_row = Window.partitionBy("row").orderBy("span.start", "span.end")
+    reach = F.max("span.end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("span.start") > reach, F.lit(True)).cast("int")
+    runs = spans.distinct().withColumn("opens", opens).withColumn(
+        "run", F.sum("opens").over(in_row))
+    ranges = runs.groupBy("row", "run").agg(
+        F.struct(F.min("span.start").alias("start"), F.max("span.end").alias("end")).alias("span"))
+    by_row = ranges.groupBy("row").agg(F.collect_list("span").alias("__spans"))
     # repeated rows have the same spans
     return by_row.join(rows, "row").drop("row").dropDuplicates(["k1", "k2"])
 
