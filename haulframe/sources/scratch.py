@@ -85,7 +85,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def _element_bytes(kind: T.ArrayType) -> int:
     """Size of an array's element in memory, a short text where it is one."""
     inner = kind.elementType
-    return 16 + 16 * len(inner.fields) if isinstance(inner, T.StructType) else 16
+    return 16 + 8 * len(inner.fields) if isinstance(inner, T.StructType) else 16
 
 
 def _row_bytes(schema: T.StructType) -> Column:
