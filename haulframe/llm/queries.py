@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import bpe, extract, fingerprint, linededup, neardup, ownership, posindex, quality, suffixes, warc
+from haulframe.llm import (
+    bpe,
+    extract,
+    fingerprint,
+    linededup,
+    neardup,
+    ownership,
+    posindex,
+    quality,
+    suffixes,
+    warc,
+)
 from haulframe.llm.common import table
 
 
