@@ -10,7 +10,8 @@ outweighs all their edges are settled beforehand, which leaves the cut the same
 flow small.
 
 A null or empty page has an empty text.  A page of any length is parsed whole; an unclosed
-script, style or comment reaches to its end.  A block that weighs nothing either way is
+script, style, textarea, title or comment reaches to its end, of any other element without
+text of the page (``PLAIN``, ``NESTED``) that is not closed the tag alone is left out.  A block that weighs nothing either way is
 boilerplate.  Repeated rows each get their row, an empty table gives an empty table.
 Further columns are kept, but for those that bear the name of an output column.
 """
@@ -29,8 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|textarea|svg|iframe|object|math|canvas|audio|video|title"
+# Elements whose content is never text of the page.  The first reach to their
+# end tag or the end of the page; the next hold no tags; the last may hold their like.
+WHOLE = "script|style|textarea|title"
+PLAIN = "noscript|iframe"
+NESTED = "template|svg|object|math|canvas|audio|video"
+# Elements whose end tag also ends what was left open inside.
+ENDING = "article|main|body"
 # Elements inside a line of text; all others begin and end a block.
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt "
@@ -57,10 +63,19 @@ CONTENT_WORDS = set(
     "article content post entry story text body main maincontent articlebody postcontent "
     "entrycontent storybody".split())
 
+_E = r"(?=[\s/>])"  # after the name of a tag
+_REST = r"((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)"  # a quote opens a value after = only
+_PLAIN = (rf"<(?P<plain>{PLAIN}){_E}[^>]*>(?:[^<]++|<(?!/?(?P=plain){_E}|/(?:{ENDING}){_E}))*+"
+          rf"</(?P=plain){_E}[^>]*>")
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<]+)|<",
+    rf"<!--.*?(?:-->|\Z)|<(?P<whole>{WHOLE}){_E}[^>]*>.*?(?:</(?P=whole){_E}[^>]*>|\Z)"
+    rf"|{_PLAIN}|(?P<nested></?(?:{NESTED}|{PLAIN}){_E}{_REST}>)|<[!?][^>]*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
+    r"(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<text>[^<]+)|<",
     re.S | re.I)
+_NEST = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<whole>{WHOLE}){_E}[^>]*(?<!/)>.*?</(?P=whole){_E}[^>]*>"
+    rf"|{_PLAIN}|<(?P<end>/?)(?P<tag>{NESTED}|{ENDING}){_E}{_REST}>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:\s|["'])(?:hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -118,6 +133,31 @@ def _place(tag: str, attributes: str, above: float, in_content: bool) -> tuple[f
     return own, in_content
 
 
+def closed_elements(page: str) -> dict[int, int]:
+    """Start and end in the page of each closed element of ``NESTED``."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    for token in _NEST.finditer(page):
+        if not token["tag"]:
+            continue
+        tag = token["tag"].lower()
+        if not token["end"]:
+            if tag in ("svg", "math") and token[0].endswith("/>"):
+                ends[token.start()] = token.end()  # empty
+            else:
+                opened.append((tag, token.start()))
+                count[tag] = count.get(tag, 0) + 1
+        elif count.get(tag):
+            while True:
+                name, start = opened.pop()
+                count[name] -= 1
+                if name == tag:
+                    break
+            ends[start] = token.end()
+    return ends
+
+
 def page_blocks(page: str) -> list[Block]:
     """Text blocks of a page in order; white space inside is one space."""
     blocks: list[Block] = []
@@ -142,8 +182,17 @@ def page_blocks(page: str) -> list[Block]:
         links -= sum(s[0] == "a" for s in stack[at:])
         del stack[at:]
 
-    for token in _TOKEN.finditer(page):
-        raw, end, tag, attributes, text = token.groups()
+    closed: dict[int, int] | None = None
+    at = 0
+    while at < len(page):
+        token = _TOKEN.match(page, at)
+        at = token.end()
+        if token["nested"]:
+            if closed is None:
+                closed = closed_elements(page)
+            at = closed.get(token.start(), at)
+            continue
+        end, tag, attributes, text = token.group("end", "tag", "attributes", "text")
         if text is not None or (tag is None and token[0] == "<"):
             piece = text or "<"
             if "&" in piece:
@@ -162,21 +211,21 @@ def page_blocks(page: str) -> list[Block]:
         if not inline:
             flush()
         if end:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] == tag:
-                    close(at)
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == tag:
+                    close(i)
                     break
-                if inline and stack[at][0] not in INLINE:
+                if inline and stack[i][0] not in INLINE:
                     break  # an inline end tag does not close a block
             continue
         if tag in VOID:
             continue
         if not inline:
             # a paragraph ends where another block begins; an item where the next begins
-            for at in range(len(stack) - 1, 0, -1):
-                open_tag = stack[at][0]
+            for i in range(len(stack) - 1, 0, -1):
+                open_tag = stack[i][0]
                 if open_tag == "p" or (open_tag == tag and tag in ("li", "dt", "dd", "option")):
-                    close(at)
+                    close(i)
                     break
                 if open_tag not in INLINE:
                     break

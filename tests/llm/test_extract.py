@@ -34,6 +34,19 @@ def test_broken_pages():
         "Quoted end of tag, no problem.")
 
 
+def test_elements_without_text_drop_nothing_else():
+    for tag in ('<video-player src="a"></video-player>', "<title-bar>", "<audio-x/>", "<svg class=i/>",
+                '<svg d="a>b" class="i"/>', "<math/>", "<video src=a>", "<iframe src=a>", "<noscript>",
+                "<object data=a/>", "<script src=a></script >", "<video><svg/>no</video>",
+                "<svg><title/><svg>no</svg>no</svg>", "<svg><script>'<svg>'</script>no</svg>",
+                "<noscript><!-- no</noscript>", "<video><p>no</p></video>", "<iframe>no</iframe>"):
+        page = (f"<article><p>One is first.</p>{tag}<p>Two comes after it.</p></article>"
+                "<video>no</video><svg>no</svg></svg><iframe>no</iframe></video>")
+        assert extract.main_text(page) == "One is first.\n\nTwo comes after it.", tag
+    assert extract.main_text("<article><p>See <svg/> here or <video src=a> there.</p></article>") == (
+        "See here or there.")
+
+
 def energy(label, cost, edges):
     own = sum(c if c > 0 and not x else -c if c < 0 and x else 0 for c, x in zip(cost, label))
     return own + sum(w for (i, j), w in edges.items() if label[i] != label[j])
