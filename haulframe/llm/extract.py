@@ -9,10 +9,18 @@ graph, found by maximum flow, separates content from the rest.  Blocks whose own
 outweighs all their edges are settled beforehand, which leaves the cut the same and the
 flow small.
 
+A class, id or role that announces boilerplate costs the blocks below the more, the shorter
+or the more linked they are: long sentences outweigh one such name, and within an article it
+takes back what the article gives.  It is not held against an article or main (but against
+an article in an article: a comment), nor against a container of the main text: one that
+holds a main, an article in no other and without such a name, or most of the page's text
+while no such article or main stands elsewhere.
+
 A null or empty page has an empty text.  A page of any length is parsed whole; an unclosed
 script, style, textarea, title or comment reaches to its end, of any other element without
-text of the page (``PLAIN``, ``NESTED``) that is not closed the tag alone is left out.  A block that weighs nothing either way is
-boilerplate.  Repeated rows each get their row, an empty table gives an empty table.
+text of the page (``PLAIN``, ``NESTED``) that is not closed the tag alone is left out.  A
+block that weighs nothing either way is boilerplate.  Repeated rows each get their row, an
+empty table gives an empty table.
 Further columns are kept, but for those that bear the name of an output column.
 """
 
@@ -78,11 +86,18 @@ _NEST = re.compile(
     rf"|{_PLAIN}|<(?P<end>/?)(?P<tag>{NESTED}|{ENDING}){_E}{_REST}>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:\s|["'])(?:hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+# names that tell what a page has or is filed under, not what the element is
+_JOINED = re.compile(r"(?:(?<![^\W_])(?i:has|with|without|no|category|tag)[-_]|"
+                     r"(?<![^\W_])(?:has|with|without|no|category|tag)(?=[A-Z])).*")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOP = re.compile(r"[.!?…。](?:[\"'”’)]*)(?:\s|$)")
 
 #: Costs: positive for content, negative for boilerplate.
 IN_CONTENT, IN_BOILER, WORD_CONTENT, WORD_BOILER = 4.0, -8.0, 1.0, -8.0
+#: Taken off the cost of a word for each of a block's words outside links, if it has a sentence.
+PER_NAMED_WORD = 0.16
+#: Share of the page's text that makes a container that of the main text, and inside content.
+MOST, MOST_INSIDE = 0.5, 0.75
 PAGE_HEADER, LINKS, PER_WORD, MOST_WORDS = -6.0, -5.0, 0.05, 40
 SENTENCE, HEADING, LIST_ITEM, START = 0.6, 0.3, -0.3, -0.6
 #: Smoothness of blocks that follow each other (times the ancestors shared) and of siblings.
@@ -98,14 +113,23 @@ class Block:
     path: tuple[int, ...]
     place: float
     linked: int
+    inside: bool = False
+    marked: tuple[int, ...] = ()
+    named: int = 0
 
     def cost(self) -> float:
         """Evidence for content (positive) or boilerplate (negative)."""
         words = self.text.count(" ") + 1
         out = START + self.place + PER_WORD * min(words, MOST_WORDS)
         out += LINKS * self.linked / max(len(self.text), 1)
-        if _STOP.search(self.text):
+        sentence = _STOP.search(self.text) is not None
+        if sentence:
             out += SENTENCE
+        if self.named:
+            out += WORD_BOILER * self.named
+            if sentence:
+                plain = 1 - min(self.linked / max(len(self.text), 1), 1)
+                out += PER_NAMED_WORD * min(words, MOST_WORDS) * plain
         if len(self.tag) == 2 and self.tag[0] == "h" and self.tag[1].isdigit():
             out += HEADING
         elif self.tag in ("li", "td", "th", "dt", "dd"):
@@ -113,6 +137,12 @@ class Block:
         return out
 
 
+def _names(attributes: str) -> set[str]:
+    """Words of the class, id and role."""
+    return {p.lower() for a in _ATTRIBUTE.findall(attributes) for name in "".join(a).split()
+            for p in _PART.findall(_JOINED.sub("", name))}
+
+
 def _place(tag: str, attributes: str, above: float, in_content: bool) -> tuple[float, bool]:
     """Evidence of the containers down to this one, and whether content was opened."""
     own = above
@@ -123,16 +153,39 @@ def _place(tag: str, attributes: str, above: float, in_content: bool) -> tuple[f
     elif tag in CONTENT_TAGS and not in_content:
         own += IN_CONTENT
         in_content = True
-    if attributes and tag not in ("html", "body"):
-        words = {p.lower() for a in _ATTRIBUTE.findall(attributes)
-                 for p in _PART.findall("".join(a))}
-        if words & BOILER_WORDS:
-            own += WORD_BOILER
-        elif words & CONTENT_WORDS:
-            own += WORD_CONTENT
     return own, in_content
 
 
+@dataclass
+class Named:
+    """An element whose names announce boilerplate."""
+
+    inside: bool
+    content_word: bool
+    holds_content: bool = False
+
+
+def weigh_names(blocks: list[Block], named: dict[int, Named], contents: int) -> None:
+    """Count the names against the blocks, but those of containers of the main text.
+
+    ``contents`` is the number of articles and mains without such a name.
+    """
+    # text of elements that are boilerplate by their tag is not of the page here
+    plain = [max(len(b.text) - b.linked, 0) if b.place > PAGE_HEADER / 2 else 0 for b in blocks]
+    total, held = sum(plain), dict.fromkeys(named, 0)
+    for block, size in zip(blocks, plain):
+        for i in block.marked:
+            held[i] += size
+    spared = {i for i, x in named.items() if x.holds_content or (
+        held[i] > MOST_INSIDE * total if x.inside else not contents and held[i] > MOST * total)}
+    for block in blocks:
+        block.named = sum(i not in spared for i in block.marked)
+        block.place += WORD_CONTENT * sum(
+            named[i].content_word for i in block.marked if i in spared)
+        if block.named and block.inside:
+            block.place -= IN_CONTENT
+
+
 def closed_elements(page: str) -> dict[int, int]:
     """Start and end in the page of each closed element of ``NESTED``."""
     ends: dict[int, int] = {}
@@ -161,10 +214,11 @@ def closed_elements(page: str) -> dict[int, int]:
 def page_blocks(page: str) -> list[Block]:
     """Text blocks of a page in order; white space inside is one space."""
     blocks: list[Block] = []
+    named: dict[int, Named] = {}
     # open elements: tag, number, evidence, whether inside content
     stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
     pieces: list[str] = []
-    number, linked, links = 0, 0, 0
+    number, linked, links, contents = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -173,7 +227,8 @@ def page_blocks(page: str) -> list[Block]:
             if text:
                 own = [s for s in stack if s[0] not in INLINE]
                 blocks.append(Block(text, own[-1][0], tuple(s[1] for s in own),
-                                    stack[-1][2], linked))
+                                    stack[-1][2], linked, stack[-1][3],
+                                    tuple(s[1] for s in stack if s[1] in named)))
             pieces.clear()
         linked = 0
 
@@ -231,11 +286,28 @@ def page_blocks(page: str) -> list[Block]:
                     break
         number += 1
         place, content = _place(tag, attributes, stack[-1][2], stack[-1][3])
+        boiler, within = False, tag == "article" and any(s[0] == tag for s in stack)
+        if attributes and tag not in ("html", "body"):
+            words = _names(attributes)
+            boiler, content_word = bool(words & BOILER_WORDS), bool(words & CONTENT_WORDS)
+            if boiler and (tag not in CONTENT_TAGS or within):
+                named[number] = Named(stack[-1][3], content_word)
+            elif content_word:
+                place += WORD_CONTENT
+        # one inside boilerplate or an article does not show where the main text is
+        if tag == "main" or (tag == "article" and not boiler and not within):
+            if place > PAGE_HEADER / 2:
+                contents += 1
+                for s in stack:
+                    if s[1] in named:
+                        named[s[1]].holds_content = True
         if attributes.endswith("/") and not inline:
             continue
         stack.append((tag, number, place, content))
         links += tag == "a"
     flush()
+    if named:
+        weigh_names(blocks, named, contents)
     return blocks
 
 

@@ -47,6 +47,32 @@ def test_elements_without_text_drop_nothing_else():
         "See here or there.")
 
 
+def test_names_do_not_empty_an_article():
+    long = "A sentence of ten words stands here and it ends. " * 4
+    text = long.strip()
+    for open_tag in ('<article class="post has-sidebar">', '<main class="layout with-sidebar">',
+                     '<article class="post category-legal tag-form">', '<article id="legal">',
+                     '<div id="search-page-wrapper">', '<div class="widget"><article>',
+                     '<div class="layout-with-sidebar">', '<article><div class="social-wrap">'):
+        page = f"<body>{open_tag}<p>{long}</p><p>{long}</p></body>"
+        assert extract.main_text(page) == f"{text}\n\n{text}", open_tag
+    # long sentences outweigh a name, short and linked ones do not
+    page = (f'<article><p>{long * 3}</p></article><div class="legal"><p>{long}</p></div>'
+            '<div class="legal"><p>Short. And so on.</p></div>'
+            f'<div class="related"><p><a href="x">{long}</a></p></div>')
+    assert extract.main_text(page) == f"{(long * 3).strip()}\n\n{text}"
+    # comments as articles of their own, more of them than of the text
+    comments = '<article class="comment"><p>I have to say something. It is this here.</p></article>'
+    for end in ("</article>%s", "%s</article>"):
+        for section in ("%s", '<section class="comments">%s</section>'):
+            if end == "</article>%s" and section == "%s":
+                continue  # articles beside the article
+            page = f"<article><p>{long}</p>" + end % (section % (comments * 30))
+            assert extract.main_text(page) == text
+    page = f'<article><p>{long}</p><div class="comments"><article><p>I say so.</p></article></div>'
+    assert extract.main_text(page) == text
+
+
 def energy(label, cost, edges):
     own = sum(c if c > 0 and not x else -c if c < 0 and x else 0 for c, x in zip(cost, label))
     return own + sum(w for (i, j), w in edges.items() if label[i] != label[j])
