@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulframe.llm import bpe, linededup, neardup, posindex, quality
-from haulframe.llm.common import bounded, table
+from haulframe.llm.common import bounded, by_row, table
 from haulframe.sources.scratch import materialize
 
 
@@ -31,15 +31,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that with the smallest id.
 
-    Rows without an id stay.  Repeated rows of an id that stays give one row.
+    Rows without an id stay.  Of several rows of a class under that id, repeated or alike,
+    one stays; texts under one id that are not alike are of different classes.
     """
-    classes = materialize(neardup.near_duplicates(docs))
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(bounded(gone), "doc_id", "left_anti")
-    twice = bounded(classes.groupBy("doc_id").agg(F.count("*").alias("n"))
-                    .where("n > 1 and doc_id is not null").select("doc_id"))
-    once = kept.join(twice, "doc_id", "left_anti")
-    rest = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = materialize(neardup.classed_rows(docs))
+    key = F.struct("k1", "k2")
+    lent = rows.where("doc_id = class_id")
+    several = lent.groupBy("component").agg(F.min(key).alias("kept"), F.count("*").alias("n"))
+    several = bounded(several.where("n > 1").select("component", "kept"))
+    alike = materialize(lent.join(several, "component").select(
+        "k1", "k2", (key == F.col("kept")).alias("kept")))
+    gone = rows.where("doc_id <> class_id").select("k1", "k2").union(
+        alike.where("not kept").select("k1", "k2"))
+    kept = by_row(docs, "doc_id", "text", bounded(gone.distinct()), "left_anti")
+    twice = bounded(alike.where("kept").groupBy("k1", "k2").agg(F.count("*").alias("n"))
+                    .where("n > 1").select("k1", "k2"))
+    once = by_row(kept, "doc_id", "text", twice, "left_anti")
+    rest = by_row(kept, "doc_id", "text", twice, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(rest).select(*docs.columns)
 
 

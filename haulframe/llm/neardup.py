@@ -18,7 +18,8 @@ that of sets; ``dart.signatures`` takes any weights.
 Null, empty and blank texts have no shingles: they are alike only if the texts are
 equal (null and empty are).  Texts of fewer than five words are one shingle.  A text of
 any length is read whole.  The class id is the smallest id of the class; rows without
-an id are classed, but lend none.  Repeated rows each get their row.  An empty table
+an id are classed, but lend none.  An id under several texts is classed once a text: texts
+are found by a key of id and text, not by the id.  Repeated rows each get their row.  An empty table
 gives an empty table.  Further columns are not read.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.llm import dart
-from haulframe.llm.common import bounded, slices
+from haulframe.llm.common import bounded, row_key, slices
 from haulframe.llm.components import components
 from haulframe.llm.shingles import lowered, shingles
 from haulframe.sources.scratch import materialize
@@ -53,8 +54,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def node_table(docs: DataFrame, id: str, text: str, words: int, bands: int,
                per_band: int) -> DataFrame:
-    """(doc_id, node, size, bands): node is a hash of the set; no bands for empty sets."""
-    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, k1, k2, node, size, bands): node is a hash of the set; no bands for empty sets."""
+    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                         *row_key(F.col(id), F.col(text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,12 +77,23 @@ def node_table(docs: DataFrame, id: str, text: str, words: int, bands: int,
                 hashes = dart.band_hashes(rows, bands)[size > 0]
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(low, n), _signed(node), pa.array(size),
+                    *(batch.column(c).slice(low, n) for c in ("doc_id", "k1", "k2")),
+                    _signed(node), pa.array(size),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                              _signed(hashes.reshape(-1))),
-                ], names=["doc_id", "node", "size", "bands"])
+                ], names=["doc_id", "k1", "k2", "node", "size", "bands"])
 
-    return source.mapInArrow(run, "doc_id long, node long, size long, bands array<long>")
+    return source.mapInArrow(
+        run, "doc_id long, k1 long, k2 long, node long, size long, bands array<long>")
+
+
+def distinct_nodes(found: DataFrame) -> DataFrame:
+    """(node, rep, size, k1, k2, many): smallest id, key of a row, whether rows repeat the key."""
+    rows = found.groupBy("node", "k1", "k2").agg(
+        F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.count("*").alias("n"))
+    nodes = rows.groupBy("node").agg(F.min("rep").alias("rep"), F.min("size").alias("size"),
+                                     F.min(F.struct("k1", "k2", "n")).alias("row"))
+    return nodes.select("node", "rep", "size", "row.k1", "row.k2", (F.col("row.n") > 1).alias("many"))
 
 
 def candidate_families(nodes: DataFrame) -> DataFrame:
@@ -98,8 +111,8 @@ def placed_members(families: DataFrame, nodes: DataFrame, similarity: float) ->
     A family that fits is one block.  In a larger one, members of like size (those that can
     be similar differ by one size class at most) are spread over blocks by hash.
     """
-    members = families.join(nodes.select("node", "size", "rep"), "node").select(
-        "node", "rep", "size", F.col("component").alias("family"))
+    members = families.join(nodes.select("node", "size", "k1", "k2", "many"), "node").select(
+        "node", "k1", "k2", "many", "size", F.col("component").alias("family"))
     like = F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int")
     members = members.withColumn("like", like)
     per_class = members.groupBy("family", "like").agg(F.count("*").alias("n"))
@@ -107,7 +120,7 @@ def placed_members(families: DataFrame, nodes: DataFrame, similarity: float) ->
     sizes = per_class.join(totals, "family")
     small = F.col("total") <= BLOCK
     return members.join(sizes, ["family", "like"]).select(
-        "node", "rep", "family",
+        "node", "k1", "k2", "many", "family",
         F.when(small, -1).otherwise(F.col("like")).alias("like"),
         F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
         .cast("int").alias("part"),
@@ -115,11 +128,12 @@ def placed_members(families: DataFrame, nodes: DataFrame, similarity: float) ->
 
 
 def member_texts(docs: DataFrame, members: DataFrame, id: str, text: str) -> DataFrame:
-    """Members with the text of their document, written once."""
-    source = docs.select(F.col(id).cast("long").alias("rep"), F.col(text).alias("text"))
-    # ids of members only; repeated rows of an id that is a member give one row below
-    wanted = bounded(members.select("rep", "node", "family", "like", "part", "large"))
-    return materialize(source.join(wanted, source.rep.eqNullSafe(wanted.rep)).drop("rep"))
+    """Members with a text of their set, one row each, written once."""
+    source = docs.select(*row_key(F.col(id), F.col(text)), F.col(text).alias("text"))
+    wanted = bounded(members)
+    texts = materialize(source.join(wanted, ["k1", "k2"]).drop("k1", "k2"))
+    once = texts.where("many").dropDuplicates(["node"])
+    return texts.where("not many").unionByName(once).drop("many")
 
 
 def shared_counts(element: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -168,7 +182,7 @@ def _compared(groups: list[str], words: int, similarity: float):
         new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         found = []
         for low, high in zip([0, *new], [*new, len(node)]):
-            # a node may come twice (repeated rows): its first row counts
+            # should a node come twice, its first row counts
             _, first = np.unique(node[low:high], return_index=True)
             if len(first) < 2:
                 continue
@@ -251,17 +265,17 @@ def family_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     return inside.union(across)
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text",
-                    words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
-                    per_band: int = PER_BAND) -> DataFrame:
-    """(doc_id, class_id, n_shingles) of each row: rows of a class are near-duplicates."""
+def classed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text",
+                 words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
+                 per_band: int = PER_BAND) -> DataFrame:
+    """(doc_id, k1, k2, component, class_id, n_shingles) of each row; the keys are ``row_key``.
+
+    Classes that share their smallest id are told apart by the component.
+    """
     found = materialize(node_table(docs, id, text, words, bands, per_band))
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"))
-    nodes = materialize(nodes)
-    # a node's bands are those of the document that lends the id: no key is hot
-    banded = found.where("size > 0").join(
-        nodes.select(F.col("node").alias("n"), "rep"),
-        (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    nodes = materialize(distinct_nodes(found))
+    # a node's bands are those of the row that lends its key: no key is hot
+    banded = found.where("size > 0").join(nodes.select("k1", "k2"), ["k1", "k2"])
     families = candidate_families(banded.select("node", "bands"))
     members = placed_members(families, nodes, similarity)
     texts = member_texts(docs, members, id, text)
@@ -269,6 +283,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text",
     classed = nodes.join(linked, "node", "left").select(
         "node", "rep", F.coalesce("component", "node").alias("component"))
     least = classed.groupBy("component").agg(F.min("rep").alias("class_id"))
-    classes = classed.join(least, "component").select("node", "class_id")
+    classes = classed.join(least, "component").select("node", "component", "class_id")
     return found.join(classes, "node").select(
-        "doc_id", "class_id", F.col("size").alias("n_shingles"))
+        "doc_id", "k1", "k2", "component", "class_id", F.col("size").alias("n_shingles"))
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text",
+                    words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
+                    per_band: int = PER_BAND) -> DataFrame:
+    """(doc_id, class_id, n_shingles) of each row: rows of a class are near-duplicates."""
+    rows = classed_rows(docs, id, text, words, similarity, bands, per_band)
+    return rows.select("doc_id", "class_id", "n_shingles")

@@ -63,6 +63,29 @@ def test_odd_rows_and_empty_table(spark):
     assert neardup.near_duplicates(empty_docs(spark)).collect() == []
 
 
+def unkeyed_rows():
+    """Near copies without an id, one of them a link between two ids; ids under two texts."""
+    random.seed(11)
+    rows = []
+    for k in range(8):
+        words = ["".join(random.choices("abcdef", k=5)) for _ in range(60)]
+
+        def text(*changed):
+            return " ".join("other" if i in changed else w for i, w in enumerate(words))
+
+        # the first and the last are alike by the row in the middle only
+        rows += [(100 + 2 * k, text(0, 59)), (None, text(0)), (101 + 2 * k, text(0, 30))]
+        rows += [(None, text(0))] * 3 + [(7, text(59)), (8, text(15, 45))]
+        rows += [(9, "own " * k + " ".join(words[::-1]))] * 2
+    return rows
+
+
+def test_rows_without_an_id_and_ids_under_several_texts(spark):
+    rows = unkeyed_rows()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=str) == classes(rows)
+
+
 def test_signatures_estimate_weighted_similarity():
     random = np.random.default_rng(2)
     agree = []

@@ -6,7 +6,7 @@ import tiktoken
 import base64
 
 import corpus_pipeline
-from tests.llm.helpers import empty_docs, odd_docs, sha
+from tests.llm.helpers import SCHEMA, empty_docs, odd_docs, sha
 from tests.llm.test_linededup import brute as drop_lines
 from tests.llm.test_neardup import shingle_set
 from tests.llm.test_posindex import brute as contaminated
@@ -63,3 +63,12 @@ def test_one_of_each_group_stays(spark):
     ids = [r.doc_id for r in kept]
     assert ids.count(3) == 1 and ids.count(0) == 1 and ids.count(None) == 1
     assert 27 not in ids and 28 not in ids
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (7, b), (7, b + " end"), (9, a + " end"), (9, c), (None, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [
+        ("7", "a"), ("7", "b"), ("9", "c"), ("None", "c"), ("None", "c")]
