@@ -53,6 +53,15 @@ def by_row(rows: DataFrame, id: str, text: str, found: DataFrame, how: str) -> D
     return joined.drop(*keys.values())
 
 
+def by_place(df: DataFrame, kept: list[str], *added: Column) -> DataFrame:
+    """The kept columns, then the added ones, named c0, c1, ...
+
+    Python tasks take them by place, so names may hold dots or clash.
+    """
+    columns = [*(F.col(f"`{name}`") for name in kept), *added]
+    return df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """Write a table and mark it for copying if its measured size allows."""
     written, size = materialize_measured(df)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from haulframe.llm import (
+    backtrack,
     bpe,
     extract,
     fingerprint,
@@ -63,6 +64,11 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(table(spark, folder, "documents"), path)
 
 
+def op13_backtracking_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return backtrack.backtrack_report(table(spark, folder, "documents"), path)
+
+
 QUERIES = {
     "op1_fingerprints": (op1_fingerprints, None),
     "op2_warc_chain": (op2_warc_chain, warc.SQL),
@@ -74,4 +80,5 @@ QUERIES = {
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_decontamination": (op9_decontamination, posindex.SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op13_backtracking_bpe": (op13_backtracking_bpe, None),
 }
