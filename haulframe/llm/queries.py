@@ -13,6 +13,7 @@ from haulframe.llm import (
     linededup,
     neardup,
     ownership,
+    periods,
     posindex,
     quality,
     suffixes,
@@ -64,6 +65,10 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(table(spark, folder, "documents"), path)
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.period_report(table(spark, folder, "documents"))
+
+
 def op13_backtracking_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return backtrack.backtrack_report(table(spark, folder, "documents"), path)
@@ -80,5 +85,6 @@ QUERIES = {
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_decontamination": (op9_decontamination, posindex.SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
     "op13_backtracking_bpe": (op13_backtracking_bpe, None),
 }
