@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from haulframe.llm import (
     backtrack,
     bpe,
+    divergence,
     extract,
     fingerprint,
     linededup,
@@ -69,6 +70,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periods.period_report(table(spark, folder, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence_report(table(spark, folder, "documents"))
+
+
 def op13_backtracking_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return backtrack.backtrack_report(table(spark, folder, "documents"), path)
@@ -86,5 +91,6 @@ QUERIES = {
     "op9_decontamination": (op9_decontamination, posindex.SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_source_divergence": (op12_source_divergence, divergence.SQL),
     "op13_backtracking_bpe": (op13_backtracking_bpe, None),
 }

@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert {n for n, (_, sql) in QUERIES.items() if sql} <= set(oracle_sql())
 
