@@ -14,7 +14,9 @@ or the more linked they are: long sentences outweigh one such name, and within a
 takes back what the article gives.  It is not held against an article or main (but against
 an article in an article: a comment), nor against a container of the main text: one that
 holds a main, an article in no other and without such a name, or most of the page's text
-while no such article or main stands elsewhere.
+while no such article or main stands elsewhere.  A form is boilerplate but for the same
+containers, whatever its text.  Links weigh less within an article or main, where a list of
+them may belong to the text.
 
 A null or empty page has an empty text.  A page of any length is parsed whole; an unclosed
 script, style, textarea, title or comment reaches to its end, of any other element without
@@ -54,9 +56,11 @@ INLINE = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that hold no main text wherever they stand.
 BOILER_TAGS = set(
-    "nav footer aside form button select menu dialog head option fieldset legend datalist "
+    "nav footer aside button select menu dialog head option fieldset legend datalist "
     "output progress meter".split())
 CONTENT_TAGS = {"article", "main"}
+# Elements that hold no main text unless they hold that of the page.
+WRAPPING_TAGS = {"form"}
 # Words in a class, id or role that announce boilerplate or content.
 BOILER_WORDS = set(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promos "
@@ -99,6 +103,8 @@ PER_NAMED_WORD = 0.16
 #: Share of the page's text that makes a container that of the main text, and inside content.
 MOST, MOST_INSIDE = 0.5, 0.75
 PAGE_HEADER, LINKS, PER_WORD, MOST_WORDS = -6.0, -5.0, 0.05, 40
+#: Links within an article or main: a list of links there may belong to it.
+LINKS_INSIDE = -2.5
 SENTENCE, HEADING, LIST_ITEM, START = 0.6, 0.3, -0.3, -0.6
 #: Smoothness of blocks that follow each other (times the ancestors shared) and of siblings.
 NEXT, SIBLING = 1.0, 0.4
@@ -121,7 +127,8 @@ class Block:
         """Evidence for content (positive) or boilerplate (negative)."""
         words = self.text.count(" ") + 1
         out = START + self.place + PER_WORD * min(words, MOST_WORDS)
-        out += LINKS * self.linked / max(len(self.text), 1)
+        out += (LINKS_INSIDE if self.inside and not self.named else LINKS) * self.linked / max(
+            len(self.text), 1)
         sentence = _STOP.search(self.text) is not None
         if sentence:
             out += SENTENCE
@@ -158,10 +165,11 @@ def _place(tag: str, attributes: str, above: float, in_content: bool) -> tuple[f
 
 @dataclass
 class Named:
-    """An element whose names announce boilerplate."""
+    """An element whose names announce boilerplate, or that is a form."""
 
     inside: bool
     content_word: bool
+    wraps: bool = False
     holds_content: bool = False
 
 
@@ -179,7 +187,9 @@ def weigh_names(blocks: list[Block], named: dict[int, Named], contents: int) ->
     spared = {i for i, x in named.items() if x.holds_content or (
         held[i] > MOST_INSIDE * total if x.inside else not contents and held[i] > MOST * total)}
     for block in blocks:
-        block.named = sum(i not in spared for i in block.marked)
+        against = [named[i] for i in block.marked if i not in spared]
+        block.named = sum(not x.wraps for x in against)
+        block.place += IN_BOILER * (len(against) - block.named)
         block.place += WORD_CONTENT * sum(
             named[i].content_word for i in block.marked if i in spared)
         if block.named and block.inside:
@@ -290,10 +300,12 @@ def page_blocks(page: str) -> list[Block]:
         if attributes and tag not in ("html", "body"):
             words = _names(attributes)
             boiler, content_word = bool(words & BOILER_WORDS), bool(words & CONTENT_WORDS)
-            if boiler and (tag not in CONTENT_TAGS or within):
+            if boiler and (tag not in CONTENT_TAGS or within) and tag not in WRAPPING_TAGS:
                 named[number] = Named(stack[-1][3], content_word)
             elif content_word:
                 place += WORD_CONTENT
+        if tag in WRAPPING_TAGS:
+            named[number] = Named(stack[-1][3], False, wraps=True)
         # one inside boilerplate or an article does not show where the main text is
         if tag == "main" or (tag == "article" and not boiler and not within):
             if place > PAGE_HEADER / 2:

@@ -102,3 +102,72 @@ def test_rows_and_columns(spark):
         assert r.n_chars == len(r.text)
         assert r.text == extract.main_text({2: "", 3: "", 4: long_page}.get(r.page_id, PAGE))
     assert extract.page_report(pages.where("false")).collect() == []
+
+
+def test_forms_around_the_text_and_lists_of_links_in_it():
+    long = "A sentence of ten words stands here and it ends. " * 4
+    text = long.strip()
+    menu = '<div class="menu"><a href="/">Home</a></div>'
+    for inner in (f"<article><p>{long}</p></article>", f"<main><p>{long}</p></main>",
+                  f"<div><p>{long}</p></div>"):
+        assert extract.main_text(f'<body><form id="aspnetForm">{menu}{inner}</form></body>') == text
+    page = (f"<article><p>{long}</p><form><p>{long}</p><label>Name</label></form>"
+            '<ul><li><a href="x">One item</a></li><li><a href="y">Another one</a></li></ul></article>'
+            f"<form><p>{long}</p></form>")
+    assert extract.main_text(page) == f"{text}\n\nOne item\n\nAnother one"
+    assert extract.main_text("<form><label>Name</label><input><button>Send</button></form>") == ""
+
+
+def generated_page():
+    """A page of a random template, and the blocks of the article put into it."""
+    def prose(n):
+        words = random.choices("river stone cloud autumn letter window silver market".split(), k=n)
+        return " ".join(words).capitalize() + "."
+
+    truth, body = [], []
+    for _ in range(random.randint(2, 7)):
+        kind = random.choice(["p", "p", "p", "h2", "ul", "blockquote", "table", "links"])
+        if kind == "ul":
+            items = [prose(random.randint(5, 12)) for _ in range(random.randint(2, 4))]
+            body.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+            truth += items
+        elif kind == "links":
+            items = [prose(4) for _ in range(3)]
+            body.append("<ul>" + "".join(f"<li><a href=x>{x}</a></li>" for x in items) + "</ul>")
+            truth += items
+        elif kind == "table":
+            cells = [prose(3), prose(6)]
+            body.append(f"<table><tr><td>{cells[0]}<td>{cells[1]}</tr></table>")
+            truth += cells
+        else:
+            own = prose(5 if kind == "h2" else random.randint(8, 60))
+            body.append(f"<{kind}>{own.replace(' stone', ' <b>stone</b>', 1)}</{kind}>")
+            truth.append(own)
+    lead = prose(30)
+    article = f"<p>{lead}</p>" + "".join(body)
+    truth.insert(0, lead)
+    if random.random() < 0.5:
+        article += f'<div class="related-links"><p>{prose(9)}</p></div>'
+    article = random.choice(["<article>{}</article>", '<main id="content">{}</main>',
+                             '<article class="post has-sidebar">{}</article>',
+                             "<main><article>{}</article></main>"]).format(article)
+    if random.random() < 0.3:
+        article = f"<form action=/>{article}</form>"
+    before = ['<nav><a href="/">Home</a> <a href="/n">News</a></nav>',
+              f"<header><h1>Site</h1><p>{prose(6)}</p></header>",
+              f'<div class="cookie-notice"><p>{prose(9)}</p></div>',
+              f'<div class="ad-banner"><a href="x">{prose(5)}</a></div>']
+    after = [f'<aside><h3>Latest</h3><p>{prose(12)}</p></aside>',
+             f'<section class="comments"><p>{prose(14)}</p><p>{prose(20)}</p></section>',
+             '<form><label>Mail</label><input><p>Write to us now.</p></form>',
+             f"<footer><p>{prose(8)}</p></footer>", "<script>var x = '<p>no</p>'</script>"]
+    page = "".join(random.sample(before, random.randint(1, 4))) + article + "".join(
+        random.sample(after, random.randint(1, 5)))
+    return f"<html><head><title>T</title></head><body>{page}</body></html>", truth
+
+
+def test_articles_put_into_templates_come_back():
+    random.seed(12)
+    for _ in range(400):
+        page, truth = generated_page()
+        assert extract.main_text(page).split("\n\n") == truth, page
