@@ -29,6 +29,7 @@ that bear the name of an output column.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from haulframe.llm.common import SpanHash, bounded, by_row, row_key, seeded, slices, utf8
+from haulframe.llm.common import (
+    SLICE_BYTES,
+    SpanHash,
+    bounded,
+    by_place,
+    by_row,
+    row_key,
+    seeded,
+    slices,
+    utf8,
+)
 from haulframe.sources.scratch import materialize
 
 #: Bytes of a repeated string, and of the gram that is hashed at each place.
@@ -107,7 +119,7 @@ def anchor_table(docs: DataFrame, id: str, text: str, length: int, gram: int) ->
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, SLICE_BYTES // 2):
                 own = offsets[low:high + 1] - offsets[low]
                 place, row, left, right, g, c = anchors(
                     data[offsets[low]:offsets[high]], own, length, gram)
@@ -131,39 +143,46 @@ def anchor_table(docs: DataFrame, id: str, text: str, length: int, gram: int) ->
 
 def context_texts(docs: DataFrame, wanted: DataFrame, id: str, text: str, length: int,
                   gram: int) -> DataFrame:
-    """(g, c, right, left): bytes right of the anchor, and left of it in reverse.
+    """(g, c, right, left): bytes right of the anchor, and left of it in reverse; one row each.
 
-    A context of a repeated row comes as often as the row.
+    ``wanted`` is (k1, k2, many, pos, g, c).  Rows that repeat (``many``) all send their
+    contexts, of which one goes on.
     """
-    by_row = wanted.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("pos", "g", "c")).alias("wanted"))
+    asked = wanted.groupBy("k1", "k2").agg(
+        F.max("many").alias("many"), F.collect_list(F.struct("pos", "g", "c")).alias("wanted"))
     source = docs.select(*row_key(F.col(id), F.col(text)),
                          F.col(text).cast("binary").alias("text"))
-    rows = source.join(bounded(by_row), ["k1", "k2"]).select("text", "wanted")
+    rows = source.join(bounded(asked), ["k1", "k2"]).select("text", "wanted", "many")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, asked in zip(batch.column("text"), batch.column("wanted")):
-                raw = text.as_py()
+            held = 0
+            for text, asked, many in zip(*batch.columns):
+                raw, many = text.as_py(), many.as_py()
                 for a in asked.as_py():
                     p = a["pos"]
-                    out.append((a["g"], a["c"], raw[p:p + length],
+                    out.append((a["g"], a["c"], many, raw[p:p + length],
                                 raw[max(0, p - (length - gram)):p][::-1]))
-                if len(out) > _BATCH:
-                    yield _context_batch(out)
-                    out = []
+                    held += 2 * length
+                    if held > SLICE_BYTES:
+                        yield _context_batch(out)
+                        out, held = [], 0
             if out:
                 yield _context_batch(out)
 
-    return rows.mapInArrow(run, "g long, c long, right binary, left binary")
+    found = rows.mapInArrow(run, "g long, c long, many boolean, right binary, left binary")
+    found = materialize(found)
+    once = found.where("many").dropDuplicates(["g", "c"])
+    return found.where("not many").union(once).drop("many")
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    g, c, right, left = zip(*rows)
+    g, c, many, right, left = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(right, pa.binary()),
-         pa.array(left, pa.binary())], names=["g", "c", "right", "left"])
+        [pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(many, pa.bool_()),
+         pa.array(right, pa.binary()), pa.array(left, pa.binary())],
+        names=["g", "c", "many", "right", "left"])
 
 
 def multikey_order(strings: list[bytes], width: int) -> np.ndarray:
@@ -268,13 +287,10 @@ def _bucket(length: int, gram: int):
         if not held:
             return
         whole = pa.Table.from_batches(held)
-        # equal contexts are in one bucket; one of each counts
-        pairs = np.stack([np.asarray(whole.column(k)) for k in ("g", "c")])
-        order = np.lexsort(pairs)
-        again = (pairs[:, order[1:]] == pairs[:, order[:-1]]).all(axis=0)
-        whole = whole.take(pa.array(np.sort(order[np.append(True, ~again)])))
+        del held
         g, c = np.asarray(whole.column("g")), np.asarray(whole.column("c"))
         right, left = whole.column("right").to_pylist(), whole.column("left").to_pylist()
+        del whole
         low, high, common = repeated_windows(right, left, length, gram)
         found = np.flatnonzero(high >= 0)
         part = TaskContext.get().partitionId()
@@ -350,7 +366,8 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int)
     mixed = contexts.where("mixed")
     size = mixed.agg(F.sum(F.col("left") + F.col("right"))).first()[0] or 0
     wanted = mixed.select("g", "c", "at.*").join(rows, "row")
-    # read twice, for the splitters and for the buckets, rather than written
+    many = rows.groupBy("k1", "k2").agg((F.count("*") > 1).alias("many"))
+    wanted = wanted.join(many, ["k1", "k2"])
     texts = context_texts(docs, wanted, id, text, length, gram)
     buckets = texts.repartitionByRange(max(1, -(-size // BUCKET_BYTES)), "right", "left")
     sorted_out = materialize(buckets.mapInArrow(_bucket(length, gram), _RESULT))
@@ -386,42 +403,53 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text",
-                   length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """All rows and columns with ``kept`` (bytes), n_bytes, n_removed and n_spans."""
+                   length: int = LENGTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
+    """All columns but the text, with ``kept`` (bytes), n_bytes, n_removed and n_spans.
+
+    With ``digest`` the SHA-256 of the kept bytes, ``kept_sha256``, takes the place of ``kept``.
+    """
     spans = bounded(repeated_spans(docs, id, text, length, gram))
-    added = ["kept", "n_bytes", "n_removed", "n_spans"]
-    kept = [f for f in docs.schema.fields if f.name.lower() not in added]
-    joined = by_row(docs, id, text, spans, "left").select(
-        *[f"`{f.name}`" for f in kept], F.col(text).cast("binary").alias("__text"), "__spans")
+    result = T.StructField(*("kept_sha256", T.StringType()) if digest else
+                           ("kept", T.BinaryType()))
+    outputs = [result, *(T.StructField(n, T.LongType())
+                         for n in ("n_bytes", "n_removed", "n_spans"))]
+    taken = {f.name.lower() for f in outputs}
+    kept = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in taken]
+    names = [f.name for f in (*kept, *outputs)]
+    joined = by_row(docs, id, text, spans, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(low, _BATCH)
-                raw, sizes, gone, runs = [], [], [], []
-                for text, spans in zip(part.column("__text"), part.column("__spans")):
-                    whole = text.as_py() or b""
-                    cut = merged_spans([(s["start"], s["end"]) for s in spans.as_py() or []])
-                    at, left = 0, []
-                    for start, end in cut:
-                        left.append(whole[at:start])
-                        at = end
-                    raw.append(b"".join([*left, whole[at:]]))
+            texts, cuts = batch.column(len(kept)), batch.column(len(kept) + 1)
+            _, at = utf8(texts)
+            for low, high in slices(at):
+                out, sizes, gone, runs = [], [], [], []
+                for one, ranges in zip(texts.slice(low, high - low), cuts.slice(low, high - low)):
+                    whole = one.as_buffer() or b""
+                    cut = merged_spans([(s["start"], s["end"]) for s in ranges.as_py() or []])
+                    ends = [0, *(x for span in cut for x in span), len(whole)]
+                    parts = [whole[a:b] for a, b in zip(ends[::2], ends[1::2])]
+                    left = sum(map(len, parts))
+                    if digest:
+                        sha = hashlib.sha256()
+                        for part in parts:
+                            sha.update(part)
+                        out.append(sha.hexdigest())
+                    else:
+                        out.append(b"".join(parts))
                     sizes.append(len(whole))
-                    gone.append(len(whole) - len(raw[-1]))
+                    gone.append(len(whole) - left)
                     runs.append(len(cut))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(f.name) for f in kept), pa.array(raw, pa.binary()),
-                     *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))],
-                    names=[*(f.name for f in kept), *added])
+                    [*(batch.column(i).slice(low, high - low) for i in range(len(kept))),
+                     pa.array(out, pa.string() if digest else pa.binary()),
+                     *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))], names=names)
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept),
-                        "kept binary, n_bytes long, n_removed long, n_spans long"])
-    return joined.mapInArrow(run, fields)
+    sent = by_place(joined, [f.name for f in kept], F.col(f"`{text}`"), F.col("__spans"))
+    return sent.mapInArrow(run, T.StructType(kept + outputs))
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     """Bytes, removed bytes and runs, and the digest of what stays."""
-    source = docs.select("doc_id", "text")
-    return remove_repeats(source).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs.select("doc_id", "text"), digest=True).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -66,3 +66,35 @@ def test_multikey_order_is_that_of_bytes():
     strings = [bytes(random.choices(b"\0ab", k=random.randint(0, 30))) for _ in range(3_000)]
     order = suffixes.multikey_order(strings, 32)
     assert [strings[i] for i in order] == sorted(strings)
+
+
+def test_equal_rows_send_each_context_once(spark, monkeypatch):
+    random.seed(5)
+    text = "".join(random.choices("abcdefghij ", k=3_000))
+    near = text[:1_400] + "#" + text[1_400:]
+    rows = [(i, text) for i in range(1_000)] + [(7, text)] * 2 + [(2_000, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = suffixes.context_texts
+
+    def counted(*args):
+        found = plain(*args)
+        seen.append((found.count(), found.select("g", "c").distinct().count()))
+        return found
+
+    monkeypatch.setattr(suffixes, "context_texts", counted)
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs).collect()}
+    assert seen[0][0] == seen[0][1] < 40
+    assert all(got[i].n_removed == 3_000 for i in range(1_000))
+    assert (got[2_000].n_bytes, got[2_000].n_removed) == (3_001, 3_000)
+
+
+def test_further_and_clashing_columns(spark):
+    docs = odd_docs(spark)
+    more = docs.selectExpr("*", "1 AS `a.b`", "'x' AS N_SPANS", "2 AS row", "3 AS k1")
+    out = suffixes.remove_repeats(more)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "a.b", "row", "k1",
+                           "kept", "n_bytes", "n_removed", "n_spans"]
+    assert out.count() == docs.count()
+    report = suffixes.remove_repeats(more, digest=True).collect()
+    assert sorted(r.kept_sha256 for r in report) == sorted(sha(bytes(r.kept)) for r in out.collect())
