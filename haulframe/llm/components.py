@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from haulframe.operators.joins import attach
 from haulframe.sources.scratch import materialize
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """Smallest partner of each ``a``; combined before the shuffle, so hubs do not hurt."""
-    return pairs.groupBy("a").agg(F.min("b").alias("m"))
+def _with_least(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (a, b) with m, the smallest partner of ``a`` among the pairs.
+
+    The smallest partners are combined before the shuffle, and come back to the rows
+    without moving the rows of a hub: ``attach`` copies what is small or belongs to a hub.
+    """
+    return attach(rows, pairs.groupBy("a").agg(F.min("b").alias("m")), ["a"], "inner")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _least(both).select("a", F.least("a", "m").alias("m"))
-    return (both.where("b > a").join(least, "a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b")))
+    return _with_least(both.where("b > a"), both).select(
+        F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = _least(edges)
-    moved = edges.join(least, "a").where("b <> m").select(
-        F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b")))
+    # a partner other than the smallest is tied to it, and so is the node itself
+    moved = F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a"))
+    return _with_least(edges, edges).select(moved.alias("a"), F.col("m").alias("b"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges written, with their number and a sum of hashes."""
+    seen = Observation()
+    sums = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
+    table = materialize(edges.distinct().observe(seen, *sums))
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,13 +44,12 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has the columns a and b.  Each round writes its edges; the rounds grow with
     the logarithm of the longest chain.
     """
-    edges = links.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges)
-    before, now = None, _state(edges)
+    edges, now = _written(links.where("a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    before = None
     while now != before and now[0]:
-        large = _large_star(edges).distinct()
-        edges = materialize(_small_star(large).distinct())
-        before, now = now, _state(edges)
+        large, _ = _written(_large_star(edges))
+        before = now
+        edges, now = _written(_small_star(large))
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)

@@ -5,11 +5,15 @@ sets are one node from here on, so copies cost nothing further.  A node gets a
 signature of hashed darts, and a hash per band of it; nodes that share a band are
 candidates.  A band's nodes are tied to its smallest node only, so a band with
 thousands of nodes gives as many pairs, not their square; the connected candidates form
-a family.  The members of a family are compared exactly with each other, in blocks of
-bounded size by like number of shingles: first inside each block, then block against block
-where the links so far leave different classes.  Pairs of a similarity of 0.8 or more
-are links; a task passes on as many links as tie its members, not all pairs.  The
-classes are the connected components of the links.
+a family.  A family too large for one task, as the pages of a template make it, is cut
+apart without loss: sets of a similarity of 0.8 or more share an element among the rarest
+tenth to fifth of theirs, so members that share none, not even by others, part.  The
+members of a family are then compared exactly with each other, in blocks of bounded size by like
+number of shingles: first inside each block, then one member for each class so far, in
+blocks again while that ties classes, then block against block where different classes
+are left.  Pairs of a similarity of 0.8 or more are links; a task passes on as many
+links as tie its members, not all pairs.  The classes are the connected components of
+the links.
 
 With 30 bands of 5 a pair at 0.8 shares no band with a chance of 7 in a million.  The
 weights of the signature are those of the elements: one each here, as the similarity is
@@ -31,11 +35,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from haulframe.llm import dart
 from haulframe.llm.common import bounded, row_key, slices
 from haulframe.llm.components import components
 from haulframe.llm.shingles import lowered, shingles
+from haulframe.operators.joins import attach
 from haulframe.sources.scratch import materialize
 
 #: Words of a shingle, least similarity of a link.
@@ -46,6 +52,8 @@ BANDS, PER_BAND = 30, 5
 BLOCK = 256
 #: Columns of the membership matrix at a time.
 COLUMNS = 16_384
+#: Members that stand for classes are compared again while one in so many finds a link.
+FEWER = 8
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -105,26 +113,11 @@ def candidate_families(nodes: DataFrame) -> DataFrame:
     return components(ties.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
 
 
-def placed_members(families: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(node, family, class, part): the block of each member of a family.
-
-    A family that fits is one block.  In a larger one, members of like size (those that can
-    be similar differ by one size class at most) are spread over blocks by hash.
-    """
-    members = families.join(nodes.select("node", "size", "k1", "k2", "many"), "node").select(
-        "node", "k1", "k2", "many", "size", F.col("component").alias("family"))
-    like = F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int")
-    members = members.withColumn("like", like)
-    per_class = members.groupBy("family", "like").agg(F.count("*").alias("n"))
-    totals = per_class.groupBy("family").agg(F.sum("n").alias("total"))
-    sizes = per_class.join(totals, "family")
-    small = F.col("total") <= BLOCK
-    return members.join(sizes, ["family", "like"]).select(
-        "node", "k1", "k2", "many", "family",
-        F.when(small, -1).otherwise(F.col("like")).alias("like"),
-        F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-        .cast("int").alias("part"),
-        (F.col("total") > BLOCK).alias("large"))
+def sized_members(families: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, k1, k2, many, size, family, large): the members, and whether one task is too few."""
+    members = families.join(nodes.select("node", "size", "k1", "k2", "many"), "node")
+    totals = families.groupBy("component").agg((F.count("*") > BLOCK).alias("large"))
+    return attach(members, totals, ["component"]).withColumnRenamed("component", "family")
 
 
 def member_texts(docs: DataFrame, members: DataFrame, id: str, text: str) -> DataFrame:
@@ -136,6 +129,73 @@ def member_texts(docs: DataFrame, members: DataFrame, id: str, text: str) -> Dat
     return texts.where("not many").unionByName(once).drop("many")
 
 
+def element_table(texts: DataFrame, words: int) -> DataFrame:
+    """(family, node, size, element): the shingles of each member, hashed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = lowered(batch.column("text"))
+            for low, high in slices(offsets):
+                at = offsets[low:high + 1] - offsets[low]
+                element, owner = shingles(data[offsets[low]:offsets[high]], at, words)
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(low, high - low).take(rows)
+                       for c in ("family", "node", "size")), _signed(element)],
+                    names=["family", "node", "size", "element"])
+
+    return texts.select("family", "node", "size", "text").mapInArrow(
+        run, "family long, node long, size long, element long")
+
+
+def parted_families(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, part of the family) of the members that may be similar to another one.
+
+    Elements are ordered by the number of members that have them, the rarest first.  Of two
+    similar sets, with n elements and with n or more, the first one in that order that they
+    share is among the first n - ceil(2 s n / (1 + s)) + 1 of the smaller set and among the
+    first m - ceil(s m) + 1 of the larger one (of m elements), s being the similarity.
+    """
+    elements = materialize(element_table(texts, words))
+    shared = elements.groupBy("family", "element").agg(F.count("*").alias("n")).where("n > 1")
+    known = attach(elements, shared, ["family", "element"])
+    order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "element")
+
+    def first(share: float):
+        # a little lower, should the product be off in its last place
+        return F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1
+
+    place = F.row_number().over(order)
+    early = known.withColumn("place", place).where(F.col("place") <= first(similarity)).where(
+        "n > 1").select("family", "element", "node",
+                        (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("short"))
+    early = materialize(early)
+    pivots = early.groupBy("family", "element").agg(
+        F.min(F.when(F.col("short"), F.col("node"))).alias("pivot"), F.count("*").alias("n"))
+    pivots = pivots.where("n > 1 and pivot is not null").drop("n")
+    ties = attach(early, pivots, ["family", "element"], "inner").where("node <> pivot")
+    return components(ties.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+
+
+def placed_members(texts: DataFrame, similarity: float) -> DataFrame:
+    """The members with like, part, large: the block of each.
+
+    A family that fits is one block.  In a larger one, members of like size (those that can
+    be similar differ by one size class at most) are spread over blocks by hash.
+    """
+    like = F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int")
+    members = texts.select("node", "family", like.alias("like"))
+    per_class = members.groupBy("family", "like").agg(F.count("*").alias("n"))
+    sizes = per_class.withColumn("total", F.sum("n").over(Window.partitionBy("family")))
+    small = F.col("total") <= BLOCK
+    placed = attach(texts.withColumn("like", like), sizes, ["family", "like"])
+    return placed.select(
+        "node", "family", "text",
+        F.when(small, -1).otherwise(F.col("like")).alias("like"),
+        F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+        .cast("int").alias("part"), (F.col("total") > BLOCK).alias("large"))
+
+
 def shared_counts(element: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Elements in common of each two of n sets."""
     _, column = np.unique(element, return_inverse=True)
@@ -236,18 +296,49 @@ def _grouped(rows: DataFrame, groups: list[str]) -> DataFrame:
     return rows.repartition(*groups).sortWithinPartitions(*groups)
 
 
+def compared(rows: DataFrame, groups: list[str], words: int, similarity: float) -> DataFrame:
+    """(a, b): links that tie the members of each group; ``known`` is their class so far."""
+    sent = _grouped(rows.select(*groups, "node", "text", "known"), groups)
+    return materialize(sent.mapInArrow(_compared(groups, words, similarity), "a long, b long"))
+
+
+def relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with the classes that further links give; a class is its smallest node."""
+    classes = components(links).withColumnRenamed("node", "known")
+    merged = F.coalesce("component", "known").alias("known")
+    return materialize(attach(labelled, classes, ["known"]).select(
+        "family", "like", "part", "node", merged))
+
+
 def family_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links that tie the members of each family: inside blocks, then across blocks."""
     block = ["family", "like", "part"]
-    inside = materialize(
-        _grouped(texts.select(*block, "node", "text", F.col("node").alias("known")), block)
-        .mapInArrow(_compared(block, words, similarity), "a long, b long"))
-    large = texts.where("large")
-    known = components(inside)
-    labelled = (large.select(*block, "node").distinct()
-                .join(known, "node", "left")
-                .select(*block, "node", F.coalesce("component", "node").alias("known")))
-    labelled = materialize(labelled)
+    links = compared(texts.withColumn("known", F.col("node")), block, words, similarity)
+    large = materialize(texts.where("large").select(*block, "node", "text"))
+    if large.isEmpty():
+        return links
+    labelled = relabelled(large.select(*block, "node").withColumn("known", F.col("node")), links)
+    while True:
+        # the smallest member stands for its class; its links to others tie the classes
+        ones = labelled.where("node = known").select("family", "like", "node", "known")
+        many = ones.groupBy("family", "like").agg(F.count("*").alias("n")).where("n > 1")
+        dealt = attach(ones, many, ["family", "like"], "inner").select(
+            "family", "like", "node", "known",
+            F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("part"))
+        dealt = materialize(dealt)
+        found = compared(large.select("node", "text").join(bounded(dealt), "node"), block,
+                         words, similarity)
+        links = links.union(found)
+        labelled = relabelled(labelled, found)
+        # classes that are hardly tied any more are left to the blocks
+        if found.count() * FEWER <= dealt.count():
+            return links.union(across_blocks(large, labelled, words, similarity))
+
+
+def across_blocks(large: DataFrame, labelled: DataFrame, words: int,
+                  similarity: float) -> DataFrame:
+    """Links between blocks of a family whose members are not all of one class."""
+    block = ["family", "like", "part"]
     blocks = labelled.groupBy(*block).agg(F.min("known").alias("low"), F.max("known").alias("high"))
     other = blocks.select("family", *[F.col(c).alias(f"{c}2") for c in ("like", "part", "low", "high")])
     ordered = F.expr("like2 > like or (like2 = like and part2 > part)")
@@ -258,11 +349,8 @@ def family_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         *block, "like2", "part2", F.xxhash64(*block, "like2", "part2").alias("pair")))
     sides = pairs.select(*block, "pair").union(
         pairs.select("family", F.col("like2"), F.col("part2"), "pair"))
-    members = large.select(*block, "node", "text").join(
-        labelled.select("node", "known"), "node").join(sides, block)
-    across = _grouped(members.select("pair", "node", "text", "known"), ["pair"]).mapInArrow(
-        _compared(["pair"], words, similarity), "a long, b long")
-    return inside.union(across)
+    members = large.join(labelled.select("node", "known"), "node").join(sides, block)
+    return compared(members, ["pair"], words, similarity)
 
 
 def classed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text",
@@ -277,8 +365,13 @@ def classed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text",
     # a node's bands are those of the row that lends its key: no key is hot
     banded = found.where("size > 0").join(nodes.select("k1", "k2"), ["k1", "k2"])
     families = candidate_families(banded.select("node", "bands"))
-    members = placed_members(families, nodes, similarity)
-    texts = member_texts(docs, members, id, text)
+    texts = member_texts(docs, sized_members(families, nodes), id, text)
+    small, large = texts.where("not large"), texts.where("large")
+    if not large.isEmpty():
+        parts = parted_families(large, words, similarity)
+        small = small.unionByName(attach(large.drop("family"), parts, ["node"], "inner")
+                                  .withColumnRenamed("component", "family"))
+    texts = placed_members(materialize(small.drop("large")), similarity)
     linked = components(family_links(texts, words, similarity))
     classed = nodes.join(linked, "node", "left").select(
         "node", "rep", F.coalesce("component", "node").alias("component"))

@@ -56,6 +56,72 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=str) == classes(rows)
 
 
+def template_rows(n, changed=10):
+    """Texts of one template of 60 words, each with words of its own; no two are alike."""
+    random.seed(n)
+    words = ["".join(random.choices("abcdef", k=5)) for _ in range(60)]
+    return [(i, " ".join(f"own{i}x{j}" if j % (60 // changed) == 3 else w
+                         for j, w in enumerate(words))) for i in range(n)]
+
+
+def test_work_grows_with_the_texts_of_a_template(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    plain, sent = neardup.compared, []
+
+    def counted(rows, groups, words, similarity):
+        sent.append(rows.count())
+        return plain(rows, groups, words, similarity)
+
+    monkeypatch.setattr(neardup, "compared", counted)
+    totals = []
+    for n in (400, 800):
+        # half of the words shared: most texts are candidates, none is a copy
+        rows = template_rows(n, changed=3)
+        sent.clear()
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert all(r.doc_id == r.class_id for r in got.collect())
+        totals.append(sum(sent))
+    assert totals[1] <= 2 * max(totals[0], 1) + 32
+
+
+def test_work_grows_with_a_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    plain, sent = neardup.compared, []
+
+    def counted(rows, groups, words, similarity):
+        sent.append(rows.count())
+        return plain(rows, groups, words, similarity)
+
+    monkeypatch.setattr(neardup, "compared", counted)
+    totals = []
+    for n in (200, 400):
+        random.seed(n)
+        words = ["".join(random.choices("abcdef", k=5)) for _ in range(120)]
+        rows = [(i, " ".join(f"own{i}" if j == 2 else w for j, w in enumerate(words)))
+                for i in range(n)]
+        sent.clear()
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.class_id for r in got.collect()} == {0}
+        totals.append(sum(sent))
+    assert n < totals[1] <= 2.2 * totals[0]
+
+
+def test_large_families_with_chains_and_strangers(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    random.seed(21)
+    words = ["".join(random.choices("abcdef", k=5)) for _ in range(80)]
+    rows = []
+    for i in range(60):  # a chain: neighbours are alike, far ones are not
+        rows.append((i, " ".join(f"w{j}" if j < i else w for j, w in enumerate(words))))
+    for i in range(60):  # strangers that share half
+        rows.append((i + 100, " ".join(words[:40] + [f"s{i}q{j}" for j in range(i % 30 + 5)])))
+    for i in range(30):  # some of them in pairs
+        rows.append((i + 200, rows[60 + i][1] + " end"))
+    random.shuffle(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=str) == classes(rows)
+
+
 def test_odd_rows_and_empty_table(spark):
     rows = [(r[0], r[1]) for r in odd_rows()]
     got = neardup.near_duplicates(odd_docs(spark)).collect()
