@@ -52,6 +52,34 @@ def test_odd_rows_and_empty_table(spark):
     assert linededup.line_report(empty_docs(spark)).collect() == []
 
 
+def test_repeated_rows_and_rows_without_an_id_count_each(spark):
+    for rows in ([(None, "shared\nown")] * 12, [(i, "shared") for i in range(9)] + [(3, "shared")],
+                 [(1, "shared")] * 10, [(1, "shared\nshared")] * 9):
+        got = linededup.drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+        want = sorted(brute(rows, 10), key=str)
+        assert sorted(((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in got.collect()),
+                      key=str) == want
+
+
+def test_runs_are_read_as_they_lie(spark):
+    docs = spark.createDataFrame([(i, f"a\nb{i}\nc{i % 3}") for i in range(50)],
+                                 "doc_id long, text string")
+    lines, n = linededup.line_table(docs, "doc_id", "text", 4)
+    assert n == 150
+    runs = linededup.LevelledRuns(spark, 10, 3, 4)
+    for batch in (0, 1):
+        runs.add(lines.where(f"batch = {batch}"))
+    joined = runs.counted(lines.where("batch = 2"))._jdf.queryExecution().toString()
+    merged = runs.merged(runs.runs())._jdf.queryExecution().toString()
+    # the counts of the batch are dealt by key once; nothing moves for the two runs
+    plan = joined[joined.index("== Physical Plan"):]
+    assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2
+    assert "Exchange" not in merged[merged.index("== Physical Plan"):]
+    names = runs.runs()
+    runs.forget(names)
+    assert not {t.name for t in spark.catalog.listTables()} & set(names)
+
+
 def test_no_python_in_the_plan(spark):
     plan = linededup.line_report(odd_docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
