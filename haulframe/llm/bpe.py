@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulframe.llm.common import slices, utf8
+from haulframe.llm.common import by_place, slices, utf8
 
 # White space of the pattern (Unicode White_Space).
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
@@ -326,49 +326,60 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
 
 
-def _with_columns(df: DataFrame, added: list[T.StructField]) -> tuple[list[str], T.StructType]:
-    names = {f.name.lower() for f in added}
-    kept = [f for f in df.schema.fields if f.name.lower() not in names]
-    return [f.name for f in kept], T.StructType(kept + added)
+_INTS = T.ArrayType(T.IntegerType(), False)
 
 
-def encode(df: DataFrame, text: str, vocabulary_path: str, ids: str = "ids",
-           offsets: str = "offsets", keep_text: bool = False) -> DataFrame:
-    """Token ids of column ``text`` and the byte offset at which each begins."""
-    list_of_int = T.ArrayType(T.IntegerType(), False)
-    source = df if keep_text else df.withColumn("__text", F.col(text)).drop(text)
-    read = text if keep_text else "__text"
-    kept, _ = _with_columns(
-        source if keep_text else source.drop("__text"),
-        [T.StructField(ids, list_of_int), T.StructField(offsets, list_of_int)])
-    schema = T.StructType(
-        [source.schema[k] for k in kept]
-        + [T.StructField(ids, list_of_int), T.StructField(offsets, list_of_int)])
+def _kept(df: DataFrame, outputs: list[T.StructField], without: str = "") -> list[T.StructField]:
+    """The columns of the input that no output replaces."""
+    taken = {f.name.lower() for f in outputs}
+    return [f for f in df.schema.fields if f.name.lower() not in taken and f.name != without]
+
+
+def _encoded(df: DataFrame, text: str, path: str, kept: list[T.StructField],
+             outputs: list[T.StructField], columns) -> DataFrame:
+    """The kept columns and those that ``columns(ids, offsets, counts)`` makes of a slice."""
+    names = [f.name for f in (*kept, *outputs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = merger(vocabulary_path)
-        bpe.path = vocabulary_path
+        bpe = merger(path)
+        bpe.path = path
         for batch in batches:
-            data, at = utf8(batch.column(read))
-            rest = batch.select(kept)
+            data, at = utf8(batch.column(len(kept)))
             for low, high in slices(at, ENCODED_BYTES):
                 own = at[low:high + 1] - at[low]
-                token, place, counts = encode_slice(bpe, data[at[low]:at[high]], own)
-                part = rest.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, _lists(token, counts), _lists(place, counts)],
-                    names=[*kept, ids, offsets])
+                found = encode_slice(bpe, data[at[low]:at[high]], own)
+                rest = [batch.column(i).slice(low, high - low) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*rest, *columns(*found)], names=names)
+
+    return by_place(df, [f.name for f in kept], F.col(f"`{text}`")).mapInArrow(
+        run, T.StructType(kept + outputs))
 
-    return source.mapInArrow(run, schema)
 
+def encode(df: DataFrame, text: str, vocabulary_path: str, ids: str = "ids",
+           offsets: str = "offsets", keep_text: bool = False) -> DataFrame:
+    """Token ids of column ``text`` and the byte offset at which each begins."""
+    outputs = [T.StructField(ids, _INTS), T.StructField(offsets, _INTS)]
+    return _encoded(
+        df, text, vocabulary_path, _kept(df, outputs, "" if keep_text else text), outputs,
+        lambda token, place, counts: [_lists(token, counts), _lists(place, counts)])
 
-def decoded_lists(token: np.ndarray, counts: np.ndarray, vocabulary_path: str) -> pa.Array:
-    """The bytes of each list of ids, the lists laid end to end."""
+
+def decoded_lists(token: np.ndarray, counts: np.ndarray, vocabulary_path: str,
+                  place: np.ndarray | None = None) -> pa.Array:
+    """The bytes of each list of ids, the lists laid end to end.
+
+    With ``place``, the offsets kept from encoding, the bytes of an id go where it began.
+    """
     pool, begin, length = vocabulary(vocabulary_path)
     sizes = length[token]
     running = np.concatenate([[0], np.cumsum(sizes)])
     bounds = running[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
     raw = gather(pool, begin[token], sizes)
+    if place is not None:
+        start = np.repeat(bounds[:-1], counts) + place
+        out = np.zeros(len(raw), np.uint8)
+        out[gather(np.arange(len(raw)), start, sizes)] = raw
+        raw = out
     out = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(counts),
         [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw.tobytes())])
@@ -377,47 +388,39 @@ def decoded_lists(token: np.ndarray, counts: np.ndarray, vocabulary_path: str) -
 
 def decode(df: DataFrame, ids: str, vocabulary_path: str, decoded: str = "decoded") -> DataFrame:
     """Bytes that the token ids of column ``ids`` stand for; no ids give no bytes."""
-    kept, schema = _with_columns(df, [T.StructField(decoded, T.BinaryType())])
+    outputs = [T.StructField(decoded, T.BinaryType())]
+    kept = _kept(df, outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(ids)
+            lists = batch.column(len(kept))
             counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
             flat = np.asarray(lists.flatten(), np.int64)
             at = np.concatenate([[0], np.cumsum(counts)])
             for low, high in slices(at, DECODED_IDS):
                 out = decoded_lists(flat[at[low]:at[high]], counts[low:high], vocabulary_path)
-                part = batch.select(kept).slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*kept, decoded])
+                rest = [batch.column(i).slice(low, high - low) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays(
+                    [*rest, out], names=[*(f.name for f in kept), decoded])
 
-    return df.mapInArrow(run, schema)
+    return by_place(df, [f.name for f in kept], F.col(f"`{ids}`")).mapInArrow(
+        run, T.StructType(kept + outputs))
 
 
 def round_trip(df: DataFrame, text: str, vocabulary_path: str, ids: str = "ids",
-               decoded: str = "decoded") -> DataFrame:
-    """Token ids of column ``text`` and the bytes they decode to, by one Python worker a task."""
-    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)),
-             T.StructField(decoded, T.BinaryType())]
-    source = df.withColumn("__text", F.col(text)).drop(text)
-    kept = [n for n in _with_columns(source, added)[0] if n != "__text"]
-    schema = T.StructType([source.schema[k] for k in kept] + added)
+               decoded: str = "decoded", offsets: str = "offsets") -> DataFrame:
+    """Token ids of column ``text``, their offsets, and the bytes that both decode to.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = merger(vocabulary_path)
-        bpe.path = vocabulary_path
-        for batch in batches:
-            data, at = utf8(batch.column("__text"))
-            rest = batch.select(kept)
-            for low, high in slices(at, ENCODED_BYTES):
-                own = at[low:high + 1] - at[low]
-                token, _, counts = encode_slice(bpe, data[at[low]:at[high]], own)
-                part = rest.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, _lists(token, counts),
-                     decoded_lists(token, counts, vocabulary_path)],
-                    names=[*kept, ids, decoded])
+    One Python worker a task does both.
+    """
+    outputs = [T.StructField(ids, _INTS), T.StructField(offsets, _INTS),
+               T.StructField(decoded, T.BinaryType())]
+
+    def columns(token: np.ndarray, place: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+        return [_lists(token, counts), _lists(place, counts),
+                decoded_lists(token, counts, vocabulary_path, place)]
 
-    return source.mapInArrow(run, schema)
+    return _encoded(df, text, vocabulary_path, _kept(df, outputs, text), outputs, columns)
 
 
 def token_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
