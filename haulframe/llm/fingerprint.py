@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into paragraphs, and these into short parts at words whose own bytes
-decide, so that an edit changes the parts it touches and no others.  A part has a 64-bit
+decide, so that an edit changes the parts it touches and no others.  Long words, as in
+scripts without blanks, are cut into shorter ones in the same way, by the bytes that follow.  A part has a 64-bit
 digest (its n-th occurrence in a text another one).  A sketch adds each digest to one
 cell of each of three tables: a count, a sum of digests and a sum of check values.  The
 cells of two versions subtract, and peeling cells that hold one digest recovers what
@@ -37,6 +38,37 @@ CELLS = 8
 TABLES, GROWTH = 3, 4
 #: Mean words of a part, and most of them, counted from its first word.
 PART_WORDS, MOST_WORDS = 4, 8
+#: Longer words, in bytes, are cut: where these many bytes say so, once in CUT, and at least
+#: every MOST_BYTES.
+LONG_BYTES, LOOK, CUT, MOST_BYTES = 32, 8, 6, 96
+
+
+def shortened(begins: np.ndarray, ends: np.ndarray, data: np.ndarray, spans: SpanHash):
+    """The words with long ones cut at code points, the place chosen by the bytes after it."""
+    def inside(longer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.flatnonzero(ends - begins > longer)
+        size = ends[own] - begins[own]
+        first = np.repeat(begins[own], size)
+        at = np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size) + first
+        return at, first, np.repeat(ends[own], size)
+
+    def cut(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.sort(np.concatenate([begins, at])), np.sort(np.concatenate([ends, at]))
+
+    at, first, last = inside(LONG_BYTES)
+    if not len(at):
+        return begins, ends
+    heads = (data[at] & 0xC0) != 0x80
+    free = heads & (at > first) & (at + LOOK <= last)
+    at = at[free]
+    begins, ends = cut(at[seeded(spans(at, at + LOOK), 14) % np.uint64(CUT) == 0])
+    at, first, _ = inside(MOST_BYTES)
+    # the first code point at or after every MOST_BYTES
+    turn = (at - first) // MOST_BYTES
+    heads = np.flatnonzero((data[at] & 0xC0) != 0x80)
+    new = np.diff(turn[heads], prepend=0) != 0
+    same = np.diff(first[heads], prepend=-1) == 0
+    return cut(at[heads[new & same]])
 
 
 def parts(data: np.ndarray, offsets: np.ndarray, mean: int = PART_WORDS):
@@ -58,6 +90,8 @@ def parts(data: np.ndarray, offsets: np.ndarray, mean: int = PART_WORDS):
     if not len(begins):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     spans = SpanHash(data)
+    begins, ends = shortened(begins, ends, data, spans)
+    owner = np.searchsorted(offsets, begins, side="right") - 1
     word = spans(begins, ends)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     # a part ends at the end of a paragraph or text, or at a word that says so
@@ -275,7 +309,9 @@ def version_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text"
     """Fingerprints of each text and of its edited version, and their likeness."""
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     down = F.col("doc_id").desc_nulls_last()
-    ordered = source.repartitionByRange(down).sortWithinPartitions(down, "text")
+    # rows without an id, or of one id, are spread by how their texts begin
+    ordered = source.repartitionByRange(down, F.substring("text", 1, 64)).sortWithinPartitions(
+        down, "text")
     compared = ordered.mapInArrow(
         _in_order, f"doc_id long, {_COLUMNS}, part int, edge int, text string")
     place = new_path(docs.sparkSession)

@@ -60,5 +60,28 @@ def test_peeling_recovers_what_differs_and_retries_larger():
     assert not small.peel()[3][0]  # 24 cells cannot hold thousands
 
 
+def test_texts_without_blanks_are_alike_where_they_are():
+    random = np.random.default_rng(6)
+    han = "".join(map(chr, random.integers(0x4E00, 0x9FA5, 900)))
+    other = "".join(map(chr, random.integers(0x4E00, 0x9FA5, 900)))
+    code = "".join(random.choice(list("abcdefghijklmnop0123456789+/"), 3_000))
+    got = fingerprint.compare_versions([han, code, "a" * 5_000, "é" * 3_000], [other] * 4)
+    assert min(got["near_edited"][:2]) > 0.4 and min(got["near_edited"]) > 0.1
+    assert max(got["near_next"]) == 0
+    # an insertion near the start leaves the rest alike
+    changed = fingerprint.compare_versions([han], [han[:40] + "x" + han[40:]])
+    assert changed["near_next"][0] > 0.85, changed["near_next"]
+
+
+def test_long_words_are_cut_at_code_points():
+    text = "kurz " + "é日😀" * 200 + " ende " + "x" * 1_000
+    raw = np.frombuffer(text.encode(), np.uint8)
+    begins, ends = fingerprint.words(raw)
+    begins, ends = fingerprint.shortened(begins, ends, raw, fingerprint.SpanHash(raw))
+    pieces = [raw[a:b].tobytes().decode() for a, b in zip(begins, ends)]
+    assert "".join(pieces) == "".join(text.split()) and pieces[0] == "kurz"
+    assert max(len(p.encode()) for p in pieces) <= fingerprint.MOST_BYTES + 8
+
+
 def test_empty_table(spark):
     assert fingerprint.version_fingerprints(empty_docs(spark)).collect() == []
