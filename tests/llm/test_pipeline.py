@@ -1,3 +1,4 @@
+import glob
 import os
 
 import public_tokenizers
@@ -11,6 +12,7 @@ from tests.llm.test_linededup import brute as drop_lines
 from tests.llm.test_neardup import shingle_set
 from tests.llm.test_posindex import brute as contaminated
 from haulframe.llm import quality
+from haulframe.sources import scratch
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no shared tables")
@@ -40,7 +42,7 @@ def test_rows_equal_brute_force(spark):
     good = {r.doc_id for r in quality.quality_report(docs, labels).collect() if r.predicted}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
     rows = keep_first([(id, text) for id, text, _, _ in drop_lines(rows, 10)])
-    rows = [r for r, mark in zip(rows, contaminated(rows, items)) if not mark[-1]]
+    rows = [r for r, mark in zip(rows, contaminated(rows, items)) if not mark[5]]
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -58,6 +60,19 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, empty_docs(spark), FOLDER).collect() == []
 
 
+def test_further_columns_of_any_name_stay(spark):
+    docs = odd_docs(spark).selectExpr("*", "1 AS `a.b`", "2 AS k1", "3 AS component")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, FOLDER).columns == docs.columns
+
+
+def test_scratch_of_a_stage_goes_with_the_next(spark):
+    seen = set(glob.glob(f"{scratch.scratch_dir(spark)}/haulframe/*/*"))
+    rows = corpus_pipeline.run(spark, FOLDER)
+    left = set(glob.glob(f"{scratch.scratch_dir(spark)}/haulframe/*/*")) - seen
+    assert len(left) == 1 and rows.count() > 0
+
+
 def test_one_of_each_group_stays(spark):
     kept = corpus_pipeline.near_dedup(spark, odd_docs(spark), FOLDER).collect()
     ids = [r.doc_id for r in kept]
