@@ -2,7 +2,10 @@
 
 ``STAGES`` lists the stages in order.  Each takes the documents that its predecessor
 kept; all but the last return the columns of ``documents``, with ``n_chars`` counted
-anew where a stage changes texts.  An empty table passes through as an empty table.
+anew where a stage changes texts.  An empty table passes through as an empty table.  Line
+dedup turns a null text into an empty one.  Further columns stay, whatever their names.
+Scratch tables of a stage, and what the stage before it kept, are deleted when its own
+rows are written.
 """
 
 from __future__ import annotations
@@ -13,7 +16,11 @@ from pyspark.sql import functions as F
 
 from haulframe.llm import bpe, linededup, neardup, posindex, quality
 from haulframe.llm.common import bounded, by_row, table
-from haulframe.sources.scratch import materialize
+from haulframe.sources.scratch import drop_paths, materialize, scratch_section
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten documents or more share."""
     done = linededup.drop_shared_lines(docs)
     changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return done.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return done.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +55,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     .where("n > 1").select("k1", "k2"))
     once = by_row(kept, "doc_id", "text", twice, "left_anti")
     rest = by_row(kept, "doc_id", "text", twice, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(rest).select(*docs.columns)
+    return once.unionByName(rest).select(*_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of a benchmark passage."""
     marked = posindex.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    return marked.where(~F.col("contaminated")).select(*_columns(docs))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,6 +83,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each over all that its predecessor kept."""
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch_section() as made:
+            docs = materialize(stage(spark, docs, sf_dir))
+        # the rows themselves were written last
+        drop_paths(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -21,6 +23,7 @@ BROADCAST_BYTES_KEY = "haulframe.broadcast.bytes"
 BROADCAST_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
+_sections: list[list[str]] = []
 _proven: set[tuple[str, str]] = set()
 
 
@@ -63,7 +66,29 @@ def scratch_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession) -> str:
     """A fresh folder name under the shared folder."""
     app = spark.sparkContext.applicationId
-    return f"{scratch_dir(spark)}/haulframe/{app}/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/haulframe/{app}/{uuid.uuid4().hex}"
+    for paths in _sections:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_section() -> Iterator[list[str]]:
+    """The folders that scratch tables get while the section is open, in order."""
+    paths: list[str] = []
+    _sections.append(paths)
+    try:
+        yield paths
+    finally:
+        _sections.remove(paths)
+
+
+def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables that no plan reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> bool:
