@@ -431,7 +431,7 @@ def brand_totals(t):
     FROM b
 """)
 def brand_share(t):
-    shares = group_share(materialize(brand_totals(t)), ["p_type"], "revenue")
+    shares = group_share(brand_totals(t), ["p_type"], "revenue")
     return shares.withColumns({"revenue": r("revenue", 4), "prop": r("prop", 8)})
 
 
@@ -442,7 +442,7 @@ def brand_share(t):
     FROM s GROUP BY ALL
 """)
 def share_quality(t):
-    shares = group_share(materialize(brand_totals(t)), ["p_type"], "revenue")
+    shares = group_share(brand_totals(t), ["p_type"], "revenue")
     return share_check(shares, ["p_type"], "prop").withColumn("total", r("total", 9))
 
 

@@ -9,7 +9,6 @@ from catalog.tables import r, register
 from haulframe.plans import survey as S
 from haulframe.plans import synthesis as Y
 from haulframe.plans.codes import EventRule, GearCodes
-from haulframe.sources.scratch import materialize
 
 QUERIES: dict = {}
 
@@ -250,7 +249,7 @@ def mixed_split_rows(t):
     GROUP BY ALL
 """)
 def sample_sizes(t):
-    fish, tally = V.fish(t), materialize(V.tally(t))
+    fish, tally = V.fish(t), V.tally(t)
     split = S.split_rows(S.split_mixed(fish, tally))
     return S.sample_sizes(fish, tally, split, ["HAL", "POT"])
 
@@ -284,7 +283,7 @@ def totals_by_size(t):
     FROM p JOIN k USING (species)
 """)
 def species_composition(t):
-    tally = materialize(V.tally(t))
+    tally = V.tally(t)
     comp = S.species_composition(
         tally, S.split_rows(S.split_mixed(V.fish(t), tally)),
         not_fish=["Baited Hook", "Ineffective Hook", "Trap door open", "Empty pot",

@@ -1,6 +1,7 @@
 """Joins, and attaching group results to rows without gathering a group.
 
-File-to-file joins carry no hint: Spark compares the scanned size with
+Nothing here runs a job: sizes are measured and keys are checked inside the plan that
+uses the result.  File-to-file joins carry no hint: Spark compares the scanned size with
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise merges by key, where
 adaptive execution splits a hot partition.  Results computed from the rows
 themselves have no known size at planning time; ``attach`` measures them.
@@ -11,34 +12,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.functions.nulls import same_keys
-from haulframe.sources.scratch import (
-    broadcast_limit,
-    materialize,
-    materialize_measured,
-)
+from haulframe.sources.scratch import broadcast_limit, row_bytes
 
-# A key is hot when it holds at least 1/HOT_SHARE of all rows, so there are
-# never more than HOT_SHARE hot keys and their table is always small.
-HOT_SHARE = 500
-# A key with fewer rows than this is never hot.
-HOT_FLOOR_KEY = "haulframe.hot.floor"
-HOT_FLOOR = 100_000
 
-
-class DuplicateKeys(ValueError):
-    """The right side of a lookup repeats a key."""
+def named(columns: Sequence[str]) -> list[Column]:
+    """Columns of these names, which may hold dots."""
+    return [F.col(f"`{c}`") for c in columns]
 
 
 def require_unique(table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Return ``table`` unchanged, or raise when a key occurs twice."""
-    twice = table.groupBy(*keys).count().filter("count > 1").limit(1).collect()
-    if twice:
-        raise DuplicateKeys(f"repeated key {twice[0].asDict()}")
-    return table
+    """``table``, whose plan ends in an error that names the key if one occurs twice."""
+    rest = [c for c in table.columns if c not in keys]
+    packed = F.struct(*named(rest)) if rest else F.struct(F.lit(1).alias("one"))
+    once = table.groupBy(*named(keys)).agg(
+        F.any_value(packed).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    message = F.concat(F.lit("repeated key "), F.to_json(F.struct(*named(keys))))
+    checked = F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
+    return once.filter(checked).select(
+        *[F.col(f"`{c}`") if c in keys else F.col("__row").getField(c).alias(c)
+          for c in table.columns])
 
 
 def lookup(
@@ -51,10 +47,10 @@ def lookup(
 ) -> DataFrame:
     """Equi-join on named keys; right columns follow the left ones.
 
-    A right side that may repeat fans out; ``expect_unique`` forbids that.
+    A right side that may repeat fans out; ``expect_unique`` makes that an error.
     """
     if expect_unique:
-        require_unique(right, on)
+        right = require_unique(right, on)
     if not null_safe:
         return left.join(right, list(on), how)
     cond = same_keys(left, right, on)
@@ -81,12 +77,12 @@ def null_safe_join(
     if not keys:
         # an ungrouped aggregate: exactly one row
         return rows.join(F.broadcast(table), how=how)
-    named, names = _prefixed(table, keys)
+    renamed, names = _prefixed(table, keys)
     cond = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)],
     )
-    joined = rows.join(named, cond, how)
+    joined = rows.join(renamed, cond, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names)
 
 
@@ -99,47 +95,50 @@ def attach(
 ) -> DataFrame:
     """Join ``table`` (one row per key) to rows whose keys may be very uneven.
 
-    The table is written and measured.  Small: every executor gets a copy and
-    the rows do not move.  Large: the few keys that hold a big share of the
-    rows are still joined in place, by copying only their table rows (at most
-    HOT_SHARE of them), and all remaining keys are merged by a shuffle in
-    which no key is big.  Missing keys match each other.  ``unique`` raises an
-    error when the written table repeats a key.
+    The table is measured while the plan runs.  Small: every executor gets a copy and
+    the rows do not move.  Large: rows and table are merged by a shuffle, in which
+    adaptive execution splits a hot key.  Both joins are in the plan, each with the table
+    behind the measure; adaptive execution takes out the one whose side is empty before
+    the rows are touched.  Missing keys match each other.  ``unique`` raises an error in
+    the job when the table repeats a key.  ``rows`` stands once in the plan, ``table`` three
+    times, its shuffle being shared; write a table first whose plan is large.
     """
     if not keys:
         return null_safe_join(rows, table, keys, how)
-    table, size = materialize_measured(table)
     if unique:
-        require_unique(table, keys)
-    if size <= broadcast_limit(rows.sparkSession):
-        return null_safe_join(rows, F.broadcast(table), keys, how)
-    hot = hot_keys(rows, keys)
-    near = null_safe_join(rows, F.broadcast(hot), keys, "left_semi")
-    far = null_safe_join(rows, F.broadcast(hot), keys, "left_anti")
-    hot_rows = null_safe_join(table, F.broadcast(hot), keys, "left_semi")
-    return null_safe_join(near, F.broadcast(hot_rows), keys, how).unionByName(
-        null_safe_join(far, table, keys, how)
-    )
-
-
-def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys holding at least 1/HOT_SHARE of the rows, as a written table.
-
-    One counting pass; keys below a floor that no task minds are dropped on
-    the way out, and the total is observed before they are.
-    """
-    floor = int(rows.sparkSession.conf.get(HOT_FLOOR_KEY, str(HOT_FLOOR)))
-    seen = Observation()
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    big = materialize(
-        counts.observe(seen, F.sum("__n").alias("total")).filter(
-            F.col("__n") >= F.lit(floor)
-        )
-    )
-    total = seen.get["total"] or 0
-    return materialize(
-        big.filter(F.col("__n") * HOT_SHARE >= F.lit(total)).select(*keys)
-    )
+        table = require_unique(table, keys)
+    rest = [c for c in table.columns if c not in keys]
+    packed = F.struct(*named(rest)) if rest else F.struct(F.lit(1).alias("one"))
+    # 0 in every row: ties the rows to their measure, and has it read all that is measured
+    zero = F.pmod(F.xxhash64(*named(table.columns)), F.lit(1))
+    size = table.agg(F.sum(row_bytes(table.schema) + zero).alias("__bytes")).select(
+        F.coalesce("__bytes", F.lit(0)).alias("__bytes"))
+    limit = F.lit(broadcast_limit(rows.sparkSession))
+    gate = F.pmod("__bytes", F.lit(1)).alias("__gate")
+    sides = []
+    for side, fits in (("a", F.col("__bytes") <= limit), ("b", F.col("__bytes") > limit)):
+        names = [f"__{side}{i}" for i in range(len(keys))]
+        held = table.select(*[c.alias(n) for c, n in zip(named(keys), names)],
+                            packed.alias(f"__{side}"), zero.alias("__zero"))
+        # the measure is one row
+        held = held.join(F.broadcast(size.filter(fits).select(gate)), F.col("__zero") == F.col("__gate"))
+        sides.append((held.drop("__zero", "__gate"), names))
+    joined = rows
+    for (side, names), hint in zip(sides, ("broadcast", "merge")):
+        cond = reduce(lambda a, b: a & b, [
+            k.eqNullSafe(F.col(n)) for k, n in zip(named(keys), names)])
+        joined = joined.join(side.hint(hint), cond, "left")
+    found = F.coalesce("__a", "__b")
+    kept = named(rows.columns)
+    if how == "left_anti":
+        return joined.filter(found.isNull()).select(*kept)
+    if how in ("inner", "left_semi"):
+        joined = joined.filter(found.isNotNull())
+    if how == "left_semi":
+        return joined.select(*kept)
+    if how not in ("inner", "left"):
+        raise ValueError(f"no join {how!r}")
+    return joined.select(*kept, *[found.getField(c).alias(c) for c in rest])
 
 
 def flag_members(
@@ -166,12 +165,12 @@ def full_outer(
     left: DataFrame, right: DataFrame, on: Sequence[str]
 ) -> DataFrame:
     """Full outer join in which missing keys match and keys are merged."""
-    named, names = _prefixed(right, on)
+    renamed, names = _prefixed(right, on)
     cond = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(on, names)],
     )
-    joined = left.join(named, cond, "full")
+    joined = left.join(renamed, cond, "full")
     for k, n in zip(on, names):
         joined = joined.withColumn(k, F.coalesce(F.col(k), F.col(n)))
     return joined.drop(*names)

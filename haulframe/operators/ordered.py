@@ -1,11 +1,16 @@
 """Ordered computations over groups of any size.
 
 A window ordered inside one group needs the whole group in one task.  Here
-rows are range-partitioned by (group, order) instead, the partition number
-becomes a column, and each group is worked on piece by piece.  Only a group
+rows are cut into pieces along (group, order): splitters drawn from a sample chosen by
+hash tell the piece of a row, so it depends on the row alone and is the same whenever and
+wherever the row is read again.  Each group is worked on piece by piece.  Only a group
 that lies in several pieces needs anything carried over; a piece shares at
 most its first group with earlier pieces and its last one with later pieces,
 so the carried table never has more than two rows per piece.
+
+Nothing is written and no job is run; the rows are read for their number, for the
+sample, for what is carried, and for the result.  Rows that are costly to compute, or
+would not come out the same each time, should be written first.
 """
 
 from __future__ import annotations
@@ -15,20 +20,64 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulframe.operators.joins import any_of, attach, null_safe_join
+from haulframe.operators.joins import any_of, attach, named, null_safe_join
 from haulframe.sources.scratch import materialize
 
 PIECE = "__piece"
 # Accuracy of the sketches that bracket quantiles: the reciprocal of the rank error.
 SKETCH_ACCURACY = 10_000
+# Rows of a piece; a table of fewer is one piece, one of many has as many pieces as the
+# session has shuffle partitions.
+PIECE_ROWS_KEY = "haulframe.piece.rows"
+PIECE_ROWS = 50_000
+# Rows of the sample for each piece.
+SAMPLED = 16
+
+
+def splitters(df: DataFrame, place: Column, pieces: int, rows: int) -> DataFrame:
+    """One row with ``__cuts``, the places at which a piece ends, in order.
+
+    The sample is every row whose hash is a multiple of a step that the number of rows
+    gives, so the same rows give the same splitters.
+    """
+    hashed = F.xxhash64(*named(df.columns))
+    # the number and the sample read the same columns, so that they share a shuffle
+    many = df.agg(F.sum(F.pmod(hashed, F.lit(1)) + 1).alias("__rows")).select(
+        F.coalesce("__rows", F.lit(0)).alias("__rows"))
+    step = F.greatest(F.lit(1), F.col("__rows") / F.lit(SAMPLED * pieces)).cast("long")
+    # one row of a count
+    drawn = df.select(place.alias("__place"), hashed.alias("__hash")).join(F.broadcast(many)).filter(
+        (F.col("__rows") > rows) & (F.pmod("__hash", step) == 0))
+    found = drawn.agg(
+        F.array_sort(F.collect_set("__place")).alias("__sample"), F.max("__rows").alias("__rows"))
+    cuts = F.least(F.lit(pieces), F.ceil(F.col("__rows") / F.lit(rows)),
+                   F.size("__sample")).cast("int") - 1
+    at = F.transform(F.sequence(F.lit(1), cuts), lambda i: F.element_at(
+        "__sample", (i * F.size("__sample") / (cuts + 1)).cast("int") + 1))
+    return found.select(F.when(cuts > 0, at).alias("__cuts"))
 
 
 def in_pieces(
     df: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """Range-partition by (keys, order) and keep the partition number."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
-    return materialize(ranged.withColumn(PIECE, F.spark_partition_id()))
+    """Add the piece of each row; pieces follow each other along (keys, order)."""
+    conf = df.sparkSession.conf
+    pieces = int(conf.get("spark.sql.shuffle.partitions"))
+    rows = int(conf.get(PIECE_ROWS_KEY, str(PIECE_ROWS)))
+    place = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(named([*keys, *order]))])
+    cuts = splitters(df, place, pieces, rows)
+    # one row of at most as many splitters as there are pieces
+    held = df.join(F.broadcast(cuts))
+    steps = [2**i for i in reversed(range(max(pieces, 2).bit_length()))]
+
+    def farther(at: Column, step: Column) -> Column:
+        # halving: how many splitters are at or before the place
+        beyond = (at + step <= F.size("__cuts")) & (F.get("__cuts", at + step - 1) <= place)
+        return at + F.when(beyond, step).otherwise(0)
+
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), farther)
+    return held.withColumn(
+        PIECE, F.when(F.col("__cuts").isNull(), 0).otherwise(found)).drop("__cuts")
 
 
 def _carry_join(
@@ -184,8 +233,10 @@ def bracketed_counts(
     counts = placed.groupBy(
         *keys, above.alias("__above"), F.when(near, F.col("__v")).alias("__near")
     ).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"), F.max("__v").alias(value))
+    # few rows, of a long plan that is read several times from here
+    counts = materialize(counts.drop("__above"))
     ranked = running_totals(
-        counts.drop("__above"), keys, [value], {"n_upto": F.col("n")}, {"n_upto": "n_group"}
+        counts, keys, [value], {"n_upto": F.col("n")}, {"n_upto": "n_group"}
     )
     return ranked.drop("__near")
 

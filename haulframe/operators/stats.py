@@ -57,8 +57,8 @@ def welch_test(
     df: DataFrame, group: str, value: str, x, y, level: float = 0.95
 ) -> DataFrame:
     """Welch two-sample t-test with two-sided p and confidence interval."""
-    # one row, written first: the Python tail functions see that row only
-    stat = materialize(welch_statistic(df, group, value, x, y))
+    # an aggregate of all rows: the Python tail functions see one row
+    stat = welch_statistic(df, group, value, x, y)
     diff = F.col("mean_x") - F.col("mean_y")
     tested = stat.withColumns(
         {
@@ -134,8 +134,6 @@ def ks_test(
     p_value = F.when(F.col("D").isNotNull(), kolmogorov_tail(scaled))
     method: list[Column] = []
     if exact:
-        # one row, written first: the Python tail function sees that row only
-        found = materialize(found)
         small = (F.col("most_ties") == 1) & (n_x * n_y < EXACT_BELOW)
         p_value = F.when(small, smirnov_exact_p("D", "n_x", "n_y")).otherwise(p_value)
         method = [F.when(small, "exact").otherwise("asymptotic").alias("method")]
@@ -273,12 +271,10 @@ def histogram(
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
     v = F.col(value).cast("double")
-    sizes = materialize(
-        rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_group"),
-            F.min(v).alias("least"),
-            F.max(v).alias("most"),
-        )
+    sizes = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_group"),
+        F.min(v).alias("least"),
+        F.max(v).alias("most"),
     )
     spread = F.col("x_max") - F.col("x_min")
     setup = _panel_limits(sizes, panel).withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.functions.nulls import (
@@ -14,7 +14,7 @@ from haulframe.functions.nulls import (
     not_member,
 )
 from haulframe.operators.aggregate import group_counts, screen
-from haulframe.operators.joins import attach, lookup, null_safe_join, restrict
+from haulframe.operators.joins import attach, lookup, restrict
 from haulframe.operators.ranking import fixed_rank
 from haulframe.operators.reshape import pivot_wider
 from haulframe.operators.rows import rename_all
@@ -28,7 +28,6 @@ from haulframe.plans.codes import (
     UNKNOWN_POT,
     UNUSED_GEARS,
 )
-from haulframe.sources.scratch import materialize
 
 MODIFIER = "gear_modifier_description"
 SOURCE = "catch_report_source_pk"
@@ -143,13 +142,13 @@ def attribute_gear(
     """Give unreported pot landings the vessel's only known class, or mixed.
 
     One left join; landings that carry a modifier keep their own class.
-    ``landings`` is read twice, so a costly extract should be written first.
+    ``landings`` is read twice.
     """
-    # one row per vessel and class, read twice
-    known = materialize(known_vessel_gear(landings, years, pots_only))
-    per_vessel = known.groupBy("vessel_id").agg(F.count(F.lit(1)).alias("__n"))
+    known = known_vessel_gear(landings, years, pots_only)
+    # one row per vessel and class: the window sees few
+    classes = F.count(F.lit(1)).over(Window.partitionBy("vessel_id"))
     observed = (
-        null_safe_join(known, per_vessel, ["vessel_id"], "inner")
+        known.withColumn("__n", classes)
         .withColumn(
             "obsgear",
             F.when(F.col("__n") > 1, F.lit(MIXED_POT)).otherwise(F.col("obsgear")),

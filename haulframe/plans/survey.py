@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.functions.nulls import (
@@ -44,7 +44,6 @@ from haulframe.operators.joins import (
     attach,
     bind_by_key,
     exclude,
-    flag_members,
     full_outer,
     null_safe_join,
     union_all,
@@ -71,7 +70,6 @@ from haulframe.plans.codes import (
     STUCK,
     GearCodes,
 )
-from haulframe.sources.scratch import materialize
 
 UNIT = ["station", "haul", "skate"]
 ALL_SETS = "All_sets_combined"
@@ -151,9 +149,11 @@ def label_pot_size(tally: DataFrame, codes: GearCodes) -> DataFrame:
         )
     marker = (F.col("gear") == codes.pots) & (F.col("species") == codes.large_marker)
     marker = F.coalesce(marker, F.lit(codes.drops_undecoded) & (F.col("gear") == codes.pots))
-    marked = tally.filter(marker & F.col("species").isNotNull())
-    flagged = flag_members(tally.filter(~marker), marked, ["gear", *UNIT], "__large")
-    return flagged.withColumn(
+    # a unit has a row per species in the tally: the window sees few
+    unit = Window.partitionBy("gear", *UNIT)
+    large = F.max(marker & F.col("species").isNotNull()).over(unit)
+    flagged = tally.withColumn("__large", F.coalesce(large, F.lit(False)))
+    return flagged.filter(~marker).withColumn(
         "pot_size",
         case_na(
             (F.col("__large"), F.lit(LARGE_POTS)),
@@ -291,8 +291,8 @@ def catch_rates(
 def rates_with_depth(
     catch: DataFrame, codes: GearCodes, step: float = 25
 ) -> DataFrame:
-    """Rates with binned depth; the events are read once."""
-    facts = materialize(unit_facts(catch, codes))
+    """Rates with binned depth, both from the facts of each unit."""
+    facts = unit_facts(catch, codes)
     return assign_depth(rates_of(facts, codes), depths_of(facts), step)
 
 
@@ -454,18 +454,15 @@ def sample_sizes(
         .agg(F.sum("catch").alias("n_catch")),
         keys,
     ).filter(not_member("species", not_catch))
-    both = materialize(both.fillna(0, subset=["n_lengths", "n_catch"]))
+    both = both.fillna(0, subset=["n_lengths", "n_catch"])
     label = F.concat(big_int("n_lengths"), F.lit(" / "), big_int("n_catch"))
+    # one row per gear: the window sees few
+    most = F.max("n_lengths").over(Window.partitionBy("station", "species"))
     wide = pivot_wider(
-        both.withColumn("n", label), ["station", "species"], "gear", "n", gears,
-        fill="0 / 0",
-    )
-    most = both.groupBy("station", "species").agg(F.max("n_lengths").alias("__most"))
-    return (
-        null_safe_join(wide, most, ["station", "species"])
-        .orderBy("station", F.desc("__most"), "species")
-        .drop("__most")
+        both.withColumns({"n": label, "__most": most}), ["station", "species", "__most"],
+        "gear", "n", gears, fill="0 / 0",
     )
+    return wide.orderBy("station", F.desc("__most"), "species").drop("__most")
 
 
 def totals_by_size(
@@ -515,7 +512,7 @@ def species_composition(
         .agg(F.sum("catch").alias("n"))
     )
     # a table of results: one row per species and group
-    shares = materialize(group_share(counts, list(by), aggregated=True))
+    shares = group_share(counts, list(by), aggregated=True)
     ranks = rank_by_median(shares, "species", "prop", "species_rank", aggregated=True)
     return null_safe_join(shares, ranks.drop("median"), ["species"])
 

@@ -113,7 +113,7 @@ def _element_bytes(kind: T.ArrayType) -> int:
     return 16 + 8 * len(inner.fields) if isinstance(inner, T.StructType) else 16
 
 
-def _row_bytes(schema: T.StructType) -> Column:
+def row_bytes(schema: T.StructType) -> Column:
     """Size of a row in memory, counting the text it really holds."""
     widths = [
         F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
@@ -132,7 +132,7 @@ def _row_bytes(schema: T.StructType) -> Column:
 def materialize_measured(df: DataFrame) -> tuple[DataFrame, int]:
     """Write ``df`` once; also return its size, observed during the write."""
     seen = Observation()
-    size = F.sum(_row_bytes(df.schema)).alias("bytes")
+    size = F.sum(row_bytes(df.schema)).alias("bytes")
     table = materialize(df.observe(seen, size))
     return table, seen.get["bytes"] or 0
 

@@ -29,7 +29,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("OFF")
     if stress:
         spark.conf.set("haulframe.broadcast.bytes", "0")
-        spark.conf.set("haulframe.hot.floor", "1")
+        spark.conf.set("haulframe.piece.rows", "50")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     db, sql, bad = connect(folder), oracle_sql(), 0

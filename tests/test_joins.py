@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulframe.operators import joins as J
+from haulframe.operators.ordered import interpolate, row_positions
 from haulframe.operators.window import (
     attach_group_stats,
     group_max_rows,
@@ -14,10 +15,8 @@ from haulframe.operators.window import (
 def nothing_is_small(spark):
     """Force the path for tables too large to broadcast."""
     spark.conf.set("haulframe.broadcast.bytes", "0")
-    spark.conf.set("haulframe.hot.floor", "1")
     yield
     spark.conf.unset("haulframe.broadcast.bytes")
-    spark.conf.unset("haulframe.hot.floor")
 
 
 @pytest.fixture(scope="module")
@@ -51,13 +50,47 @@ def test_attach_both_ways_agree(spark, uneven, nothing_is_small):
     assert far.filter("key is null and n is null").count() == 0
 
 
-def test_hot_keys_are_few_and_found(uneven, nothing_is_small):
-    hot = {r["key"] for r in J.hot_keys(uneven, ["key"]).collect()}
-    assert "hot" in hot and None in hot and len(hot) <= J.HOT_SHARE
+def final_plan(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("Final Plan"):plan.index("Initial Plan")]
 
 
-def test_no_key_is_hot_below_the_floor(uneven):
-    assert J.hot_keys(uneven, ["key"]).count() == 0
+def test_small_tables_leave_the_rows_where_they_are(spark, tmp_path):
+    spark.range(3000).selectExpr("id", "id % 7 AS key").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    table = rows.groupBy("key").agg(F.sum("id").alias("total"))
+    near = final_plan(J.attach(rows, table, ["key"]))
+    assert "BroadcastHashJoin" in near and "SortMergeJoin" not in near
+    # one shuffle of partial sums, of which the other readings take their share
+    assert near.count("Scan parquet") == 2
+    spark.conf.set("haulframe.broadcast.bytes", "0")
+    far = final_plan(J.attach(rows, table, ["key"]))
+    spark.conf.unset("haulframe.broadcast.bytes")
+    assert "SortMergeJoin" in far
+
+
+def test_a_hot_key_of_a_large_table_is_split(spark, tmp_path, nothing_is_small):
+    spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    ).repartition(16).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    table = spark.range(200_000).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        joined = J.attach(rows, table, ["k"])
+        assert joined.filter("v = k").count() == 200_000
+        assert "skew=true" in final_plan(joined)
+    finally:
+        for k in small:
+            spark.conf.unset(k)
 
 
 def test_a_hot_partition_of_a_file_join_is_split(spark, tmp_path):
@@ -102,8 +135,46 @@ def test_unique_check(spark):
     left = spark.createDataFrame([(1, "a")], "k int, a string")
     right = spark.createDataFrame([(1, "x"), (1, "y")], "k int, b string")
     assert J.lookup(left, right, ["k"]).count() == 2
-    with pytest.raises(J.DuplicateKeys):
-        J.lookup(left, right, ["k"], expect_unique=True)
+    checked = J.lookup(left, right, ["k"], expect_unique=True)
+    with pytest.raises(Exception, match=r'repeated key \{"k":1\}'):
+        checked.collect()
+    once = J.lookup(left, right.limit(1), ["k"], expect_unique=True).first()
+    assert (once.k, once.a, once.b in "xy") == (1, "a", True)
+    with pytest.raises(Exception, match="repeated key"):
+        J.attach(left, right, ["k"], unique=True).collect()
+
+
+def test_names_with_dots_and_tables_of_keys_only(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], ["k.x", "v.y"])
+    right = spark.createDataFrame([(1, 5), (None, 6)], ["k.x", "w.z"])
+    got = J.attach(left, right, ["k.x"])
+    assert got.columns == ["k.x", "v.y", "w.z"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "a", 5), (3, "c", None), (None, "b", 6)]
+    kept = J.attach(left, right.select("`k.x`"), ["k.x"], "left_semi")
+    assert sorted(r[1] for r in kept.collect()) == ["a", "b"]
+    assert J.attach(left, right.limit(0), ["k.x"], "inner").collect() == []
+
+
+def jobs_of(spark, build):
+    spark.sparkContext.setJobGroup("built", "")
+    frame = build()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("built"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return frame, jobs
+
+
+def test_no_job_before_the_first_action(spark, uneven):
+    for build in (
+        lambda: J.attach(uneven, table_of(uneven), ["key"], unique=True),
+        lambda: group_share(uneven, ["key"], "x"), lambda: zscore(uneven, ["key"], "x"),
+        lambda: group_max_rows(uneven, ["key"], "x"),
+        lambda: J.lookup(uneven, table_of(uneven), ["key"], expect_unique=True),
+        lambda: interpolate(uneven, ["key"], ["id"], "x", "y"),
+        lambda: row_positions(uneven, ["key"], ["id"]),
+    ):
+        frame, jobs = jobs_of(spark, build)
+        frame.explain()
+        assert jobs == 0
 
 
 def test_missing_keys_match(spark):

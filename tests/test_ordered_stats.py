@@ -17,9 +17,9 @@ from haulframe.operators.reshape import pivot_longer, pivot_wider
 @pytest.fixture(scope="module", autouse=True)
 def many_pieces(spark):
     """Small groups still span several pieces."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set(O.PIECE_ROWS_KEY, "10")
     yield
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset(O.PIECE_ROWS_KEY)
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,30 @@ def test_the_hot_group_spans_pieces(sample):
     df, _ = sample
     pieces = O.in_pieces(df, ["g"], ["seq"])
     assert pieces.filter("g = 'hot'").select(O.PIECE).distinct().count() > 1
+    sizes = [r["count"] for r in pieces.groupBy(O.PIECE).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1200
+
+
+def test_pieces_depend_on_the_row_alone(sample):
+    df, _ = sample
+    again = df.repartition(7, "x").sortWithinPartitions(F.desc("seq"))
+    keyed = [{(r.g, r.seq): r[O.PIECE] for r in O.in_pieces(d, ["g"], ["seq"]).collect()}
+             for d in (df, again)]
+    assert keyed[0] == keyed[1]
+    # pieces follow each other along the order
+    last = None
+    for _, piece in sorted(keyed[0].items()):
+        assert last is None or piece >= last
+        last = piece
+
+
+def test_a_small_table_is_one_piece(spark, sample):
+    df, _ = sample
+    spark.conf.unset(O.PIECE_ROWS_KEY)
+    try:
+        assert {r[0] for r in O.in_pieces(df, ["g"], ["seq"]).select(O.PIECE).collect()} == {0}
+    finally:
+        spark.conf.set(O.PIECE_ROWS_KEY, "10")
 
 
 def test_running_totals(sample):
