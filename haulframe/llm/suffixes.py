@@ -17,8 +17,8 @@ anchor the bytes matter that a window holding its gram can reach (its context).
 4. A gram whose suffixes fall on both sides of a splitter, as those of a very frequent one
    do, is compared across the boundary.  A window can only be shared with another bucket
    if its part to the right of the anchor is no longer than what the suffix has in
-   common with the end of its bucket; such windows are counted by hash, combined before
-   the shuffle, so no bucket or group grows with the gram.
+   common with the end of its bucket.  Each bucket hands on the hashes of such windows, one
+   for all its suffixes that share it, so what is compared does not grow with the gram.
 
 A null or empty text has no bytes.  Texts shorter than ``length`` lose nothing; a text of
 any length is read whole.  Strings are judged on the input, also within one document.
@@ -51,6 +51,7 @@ from haulframe.llm.common import (
     slices,
     utf8,
 )
+from haulframe.operators.joins import attach
 from haulframe.sources.scratch import materialize
 
 #: Bytes of a repeated string, and of the gram that is hashed at each place.
@@ -60,8 +61,6 @@ BUCKET_BYTES = 16 << 20
 #: Fewer strings than this are sorted at once.
 FEW = 48
 
-_BATCH = 2_000
-
 
 def sliding(x: np.ndarray, width: int, smaller: bool) -> np.ndarray:
     """Least (or greatest) of each ``width`` values in a row."""
@@ -278,7 +277,30 @@ def repeated_windows(right: list[bytes], left: list[bytes], length: int, gram: i
     return low, high, edge
 
 
-_RESULT = "g long, c long, low int, high int, bucket int, right binary, left binary"
+_RESULT = "g long, c long, low int, high int, o int, window long"
+
+
+def edge_windows(rows: np.ndarray, common: np.ndarray, right: list[bytes], left: list[bytes],
+                 length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of the given suffixes that another bucket may hold, by how far they go left.
+
+    (o, hash, suffix, whether no other of these suffixes has the window), a window once.
+    """
+    if not len(rows):
+        return
+    data = np.frombuffer(b"".join(left[i][::-1] + right[i] for i in rows), np.uint8)
+    size_r, size_l = (np.array([len(side[i]) for i in rows]) for side in (right, left))
+    place = np.cumsum(size_r + size_l) - size_r  # of the anchors
+    # the part to the right is no longer than what an end of the bucket has in common
+    least = np.maximum(length - common[rows], length - size_r)
+    hashes = SpanHash(data)
+    for o in range(length - gram + 1):
+        own = np.flatnonzero((least <= o) & (size_l >= o))
+        if len(own):
+            start = place[own] - o
+            window, first, count = np.unique(
+                hashes(start, start + length), return_index=True, return_counts=True)
+            yield o, window.view(np.int64), rows[own[first]], count == 1
 
 
 def _bucket(length: int, gram: int):
@@ -292,58 +314,35 @@ def _bucket(length: int, gram: int):
         right, left = whole.column("right").to_pylist(), whole.column("left").to_pylist()
         del whole
         low, high, common = repeated_windows(right, left, length, gram)
-        found = np.flatnonzero(high >= 0)
-        part = TaskContext.get().partitionId()
-        # the shortest start of a window that another bucket can share, in ``low``
-        edge = np.flatnonzero(common >= gram)
 
-        def batch(rows, lows, highs, rights, lefts):
+        def batch(rows, context, lows, highs, o, window):
+            def ints(x):
+                return pa.array(x, pa.int32()) if x is not None else pa.nulls(len(rows), pa.int32())
             return pa.RecordBatch.from_arrays([
-                pa.array(g[rows]), pa.array(c[rows]), pa.array(lows, pa.int32()),
-                pa.array(highs, pa.int32()), pa.array([part] * len(rows), pa.int32()),
-                pa.array(rights, pa.binary()), pa.array(lefts, pa.binary()),
-            ], names=["g", "c", "low", "high", "bucket", "right", "left"])
-
-        none = [None] * len(found)
-        yield batch(found, low[found], high[found], none, none)
-        for at in range(0, len(edge), _BATCH):
-            rows = edge[at:at + _BATCH]
-            yield batch(rows, length - common[rows], [None] * len(rows),
-                        [right[i] for i in rows], [left[i] for i in rows])
+                pa.array(g[rows]), context, ints(lows), ints(highs), ints(o),
+                pa.array(window) if window is not None else pa.nulls(len(rows), pa.int64()),
+            ], names=["g", "c", "low", "high", "o", "window"])
+
+        found = np.flatnonzero(high >= 0)
+        yield batch(found, pa.array(c[found]), low[found], high[found], None, None)
+        # only the gram of the first and that of the last suffix can go on in another bucket;
+        # a window that several suffixes here have is known for them, one stands for them
+        edge = np.flatnonzero(common >= gram)
+        for o, window, rows, alone in edge_windows(edge, common, right, left, length, gram):
+            yield batch(rows, pa.array(c[rows], mask=~alone), None, None, [o] * len(rows), window)
 
     return run
 
 
-def across_buckets(edges: DataFrame, length: int, gram: int) -> DataFrame:
-    """(g, c, low, high) from suffixes whose gram lies in more than one bucket."""
-    split = (edges.groupBy("g").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-             .where("a < b").select("g"))
-    span = length - gram
+def across_buckets(windows: DataFrame) -> DataFrame:
+    """(g, c, low, high) from windows (g, c, o, window), one row for each and bucket.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, _BATCH):
-                batch = whole.slice(at, _BATCH)
-                right, left = (batch.column(k).to_pylist() for k in ("right", "left"))
-                data = np.frombuffer(b"".join(b[::-1] + a for a, b in zip(right, left)), np.uint8)
-                size_r, size_l = (np.array([len(x) for x in y]) for y in (right, left))
-                place = np.cumsum(size_r + size_l) - size_r  # of the anchors
-                first = np.maximum(np.asarray(batch.column("low")), length - size_r)
-                count = np.maximum(np.minimum(size_l, span) + 1 - first, 0)
-                row = np.repeat(np.arange(len(right)), count)
-                o = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-                start = place[row] - o
-                window = SpanHash(data)(start, start + length).view(np.int64)
-                g, c = (np.asarray(batch.column(k))[row] for k in ("g", "c"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g), pa.array(c), pa.array(o.astype(np.int32)), pa.array(window)],
-                    names=["g", "c", "o", "window"])
-
-    spread = edges.join(split, "g").select("g", "c", "low", "right", "left").repartition("g", "c")
-    windows = materialize(spread.mapInArrow(run, "g long, c long, o int, window long"))
+    ``c`` is missing where several suffixes of the bucket share the window.
+    """
     shared = (windows.groupBy("g", "o", "window").agg(F.count("*").alias("n"))
               .where("n > 1").select("g", "o", "window"))
-    return windows.join(shared, ["g", "o", "window"]).groupBy("g", "c").agg(
+    alone = windows.where("c is not null")
+    return attach(alone, shared, ["g", "o", "window"], "left_semi").groupBy("g", "c").agg(
         F.min("o").alias("low"), F.max("o").alias("high"))
 
 
@@ -355,7 +354,8 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int)
     grams = (each.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("a"),
                                    F.max("c").alias("b"))
              .where("n > 1").select("g", (F.col("a") != F.col("b")).alias("mixed")))
-    again = materialize(each.join(grams, "g"))
+    # a gram that very many documents share is marked where it lies
+    again = materialize(attach(each, materialize(grams), ["g"], "inner"))
     contexts = materialize(again.groupBy("g", "c").agg(
         F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.max("left").alias("left"),
         F.max("right").alias("right"), F.min(F.struct("row", "pos")).alias("at")))
@@ -372,10 +372,10 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int)
     buckets = texts.repartitionByRange(max(1, -(-size // BUCKET_BYTES)), "right", "left")
     sorted_out = materialize(buckets.mapInArrow(_bucket(length, gram), _RESULT))
     inside = sorted_out.where("high is not null").select("g", "c", "low", "high")
-    across = across_buckets(sorted_out.where("high is null"), length, gram)
+    across = across_buckets(sorted_out.where("high is null").select("g", "c", "o", "window"))
     known = whole.union(inside).union(across).groupBy("g", "c").agg(
         F.min("low").alias("low"), F.max("high").alias("high"))
-    spans = again.join(known, ["g", "c"]).select(
+    spans = attach(again, materialize(known), ["g", "c"], "inner").select(
         "row", F.struct((F.col("pos") - F.col("high")).alias("start"),
                              (F.col("pos") - F.col("low") + length).alias("end")).alias("span"))
     # maximal ranges of a document: a span that starts beyond all before it opens one
