@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from haulframe.operators.joins import attach
+from haulframe.llm.common import bounded
 from haulframe.sources.scratch import materialize
 
 
 def _with_least(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows (a, b) with m, the smallest partner of ``a`` among the pairs.
 
-    The smallest partners are combined before the shuffle, and come back to the rows
-    without moving the rows of a hub: ``attach`` copies what is small or belongs to a hub.
+    The smallest partners are combined before the shuffle, and come back to the rows by a
+    copy if they are few; beyond that adaptive execution splits a hub.
     """
-    return attach(rows, pairs.groupBy("a").agg(F.min("b").alias("m")), ["a"], "inner")
+    return rows.join(bounded(pairs.groupBy("a").agg(F.min("b").alias("m"))), "a")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -26,8 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import ascii_lower, by_row, row_key
-from haulframe.operators.joins import attach
+from haulframe.llm.common import ascii_lower, bounded, by_row, row_key
 from haulframe.sources.scratch import materialize, new_path
 
 # White space that does not count at the ends of a line.
@@ -137,10 +136,10 @@ def drop_shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     runs = LevelledRuns(spark, documents, fanout, max(1, min(-(-n // BUCKET_LINES), most)))
     for batch in range(batches):
         runs.add(lines.where(F.col("batch") == batch))
-    frequent = materialize(runs.frequent())
+    # a very common line is marked where it lies, by a copy of the keys if they are few
+    frequent = bounded(runs.frequent())
     runs.forget(runs.runs())
-    # a very common line is marked where it lies
-    doomed = attach(lines, frequent, ["h1", "h2"], "left_semi")
+    doomed = lines.join(frequent, ["h1", "h2"], "left_semi")
     dropped = doomed.groupBy("k1", "k2").agg(F.collect_set("pos").alias("__dropped"))
     added = {"kept_text", "n_lines", "n_dropped"}
     kept = [c for c in docs.columns if c.lower() not in added]

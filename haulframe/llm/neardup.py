@@ -41,7 +41,6 @@ from haulframe.llm import dart
 from haulframe.llm.common import bounded, row_key, slices
 from haulframe.llm.components import components
 from haulframe.llm.shingles import lowered, shingles
-from haulframe.operators.joins import attach
 from haulframe.sources.scratch import materialize
 
 #: Words of a shingle, least similarity of a link.
@@ -117,7 +116,7 @@ def sized_members(families: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, k1, k2, many, size, family, large): the members, and whether one task is too few."""
     members = families.join(nodes.select("node", "size", "k1", "k2", "many"), "node")
     totals = families.groupBy("component").agg((F.count("*") > BLOCK).alias("large"))
-    return attach(members, totals, ["component"]).withColumnRenamed("component", "family")
+    return members.join(bounded(totals), "component").withColumnRenamed("component", "family")
 
 
 def member_texts(docs: DataFrame, members: DataFrame, id: str, text: str) -> DataFrame:
@@ -158,7 +157,7 @@ def parted_families(texts: DataFrame, words: int, similarity: float) -> DataFram
     """
     elements = materialize(element_table(texts, words))
     shared = elements.groupBy("family", "element").agg(F.count("*").alias("n")).where("n > 1")
-    known = attach(elements, shared, ["family", "element"])
+    known = elements.join(bounded(shared), ["family", "element"], "left")
     order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "element")
 
     def first(share: float):
@@ -173,7 +172,7 @@ def parted_families(texts: DataFrame, words: int, similarity: float) -> DataFram
     pivots = early.groupBy("family", "element").agg(
         F.min(F.when(F.col("short"), F.col("node"))).alias("pivot"), F.count("*").alias("n"))
     pivots = pivots.where("n > 1 and pivot is not null").drop("n")
-    ties = attach(early, pivots, ["family", "element"], "inner").where("node <> pivot")
+    ties = early.join(bounded(pivots), ["family", "element"]).where("node <> pivot")
     return components(ties.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
 
 
@@ -188,7 +187,7 @@ def placed_members(texts: DataFrame, similarity: float) -> DataFrame:
     per_class = members.groupBy("family", "like").agg(F.count("*").alias("n"))
     sizes = per_class.withColumn("total", F.sum("n").over(Window.partitionBy("family")))
     small = F.col("total") <= BLOCK
-    placed = attach(texts.withColumn("like", like), sizes, ["family", "like"])
+    placed = texts.withColumn("like", like).join(bounded(sizes), ["family", "like"])
     return placed.select(
         "node", "family", "text",
         F.when(small, -1).otherwise(F.col("like")).alias("like"),
@@ -306,7 +305,7 @@ def relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
     """The members with the classes that further links give; a class is its smallest node."""
     classes = components(links).withColumnRenamed("node", "known")
     merged = F.coalesce("component", "known").alias("known")
-    return materialize(attach(labelled, classes, ["known"]).select(
+    return materialize(labelled.join(bounded(classes), "known", "left").select(
         "family", "like", "part", "node", merged))
 
 
@@ -322,7 +321,7 @@ def family_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         # the smallest member stands for its class; its links to others tie the classes
         ones = labelled.where("node = known").select("family", "like", "node", "known")
         many = ones.groupBy("family", "like").agg(F.count("*").alias("n")).where("n > 1")
-        dealt = attach(ones, many, ["family", "like"], "inner").select(
+        dealt = ones.join(bounded(many), ["family", "like"]).select(
             "family", "like", "node", "known",
             F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("part"))
         dealt = materialize(dealt)
@@ -369,7 +368,7 @@ def classed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text",
     small, large = texts.where("not large"), texts.where("large")
     if not large.isEmpty():
         parts = parted_families(large, words, similarity)
-        small = small.unionByName(attach(large.drop("family"), parts, ["node"], "inner")
+        small = small.unionByName(large.drop("family").join(bounded(parts), "node")
                                   .withColumnRenamed("component", "family"))
     texts = placed_members(materialize(small.drop("large")), similarity)
     linked = components(family_links(texts, words, similarity))

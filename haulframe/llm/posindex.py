@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haulframe.llm.common import ascii_lower, bounded, by_row, row_key
-from haulframe.operators.joins import attach
 from haulframe.sources.scratch import materialize
 
 #: Consecutive words of an item that make a match.
@@ -102,7 +101,7 @@ def window_seeds(windows: DataFrame, counts: DataFrame) -> DataFrame:
     """
     distinct = windows.select("w1", "w2", "terms").dropDuplicates(["w1", "w2"])
     places = distinct.select("w1", "w2", F.posexplode("terms").alias("place", "term"))
-    rated = attach(places, counts, ["term"])
+    rated = places.join(bounded(counts), "term", "left")
     # a window has few words
     sorted_words = F.sort_array(F.collect_list(F.struct("n", "place", "term")))
     live = rated.groupBy("w1", "w2").agg(F.count("*").cast("int").alias("k"), sorted_words.alias("all"))
@@ -154,12 +153,12 @@ class PositionalIndex:
         of_pair = self.seeds.join(self.windows.select("w1", "w2", "item"), ["w1", "w2"])
         of_pair = of_pair.select("pair", "item").distinct()
         found = self.met.select("k1", "k2", "pair").distinct()
-        return attach(found, of_pair, ["pair"], "inner").select("k1", "k2", "item").distinct()
+        return found.join(bounded(of_pair), "pair").select("k1", "k2", "item").distinct()
 
     def candidates(self) -> DataFrame:
         """(k1, k2, start, k, w1, w2): places of a document with both seeds of a window."""
         seeds = self.seeds.where("whole").select("pair", "place", "k", "w1", "w2")
-        found = attach(self.met.where("exact").drop("exact"), seeds, ["pair"], "inner")
+        found = self.met.where("exact").drop("exact").join(bounded(seeds), "pair")
         start = (F.col("pos") - F.col("place")).alias("start")
         return found.select("k1", "k2", start, "k", "w1", "w2").where("start >= 0").distinct()
 
@@ -186,7 +185,7 @@ class PositionalIndex:
         """(k1, k2, item) of exact matches."""
         found = phrases.select("k1", "k2", "w1", "w2").distinct()
         items = self.windows.select("w1", "w2", "item")
-        return attach(found, items, ["w1", "w2"], "inner").select("k1", "k2", "item").distinct()
+        return found.join(bounded(items), ["w1", "w2"]).select("k1", "k2", "item").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text",

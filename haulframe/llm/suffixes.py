@@ -51,7 +51,6 @@ from haulframe.llm.common import (
     slices,
     utf8,
 )
-from haulframe.operators.joins import attach
 from haulframe.sources.scratch import materialize
 
 #: Bytes of a repeated string, and of the gram that is hashed at each place.
@@ -342,7 +341,7 @@ def across_buckets(windows: DataFrame) -> DataFrame:
     shared = (windows.groupBy("g", "o", "window").agg(F.count("*").alias("n"))
               .where("n > 1").select("g", "o", "window"))
     alone = windows.where("c is not null")
-    return attach(alone, shared, ["g", "o", "window"], "left_semi").groupBy("g", "c").agg(
+    return alone.join(bounded(shared), ["g", "o", "window"], "left_semi").groupBy("g", "c").agg(
         F.min("o").alias("low"), F.max("o").alias("high"))
 
 
@@ -355,7 +354,7 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int)
                                    F.max("c").alias("b"))
              .where("n > 1").select("g", (F.col("a") != F.col("b")).alias("mixed")))
     # a gram that very many documents share is marked where it lies
-    again = materialize(attach(each, materialize(grams), ["g"], "inner"))
+    again = materialize(each.join(bounded(grams), "g"))
     contexts = materialize(again.groupBy("g", "c").agg(
         F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.max("left").alias("left"),
         F.max("right").alias("right"), F.min(F.struct("row", "pos")).alias("at")))
@@ -375,7 +374,7 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int)
     across = across_buckets(sorted_out.where("high is null").select("g", "c", "o", "window"))
     known = whole.union(inside).union(across).groupBy("g", "c").agg(
         F.min("low").alias("low"), F.max("high").alias("high"))
-    spans = attach(again, materialize(known), ["g", "c"], "inner").select(
+    spans = again.join(bounded(known), ["g", "c"]).select(
         "row", F.struct((F.col("pos") - F.col("high")).alias("start"),
                              (F.col("pos") - F.col("low") + length).alias("end")).alias("span"))
     # maximal ranges of a document: a span that starts beyond all before it opens one
