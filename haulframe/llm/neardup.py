@@ -49,6 +49,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, PER_BAND = 30, 5
 #: Members of a family that are compared in one piece.
 BLOCK = 256
+#: Bytes of text that a task hashes at once.
+HASHED_BYTES = 1 << 19
 #: Columns of the membership matrix at a time.
 COLUMNS = 16_384
 #: Members that stand for classes are compared again while one in so many finds a link.
@@ -68,7 +70,7 @@ def node_table(docs: DataFrame, id: str, text: str, words: int, bands: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = lowered(batch.column("text"))
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, HASHED_BYTES):
                 at = offsets[low:high + 1] - offsets[low]
                 raw, n = data[offsets[low]:offsets[high]], high - low
                 element, owner = shingles(raw, at, words)
@@ -134,7 +136,7 @@ def element_table(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = lowered(batch.column("text"))
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, HASHED_BYTES):
                 at = offsets[low:high + 1] - offsets[low]
                 element, owner = shingles(data[offsets[low]:offsets[high]], at, words)
                 rows = pa.array(owner)

@@ -117,7 +117,7 @@ def anchor_table(docs: DataFrame, id: str, text: str, length: int, gram: int) ->
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for low, high in slices(offsets, SLICE_BYTES // 2):
+            for low, high in slices(offsets, SLICE_BYTES // 4):
                 own = offsets[low:high + 1] - offsets[low]
                 place, row, left, right, g, c = anchors(
                     data[offsets[low]:offsets[high]], own, length, gram)
