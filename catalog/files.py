@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.tables import register
+from haulframe.operators.ordered import row_positions
 from haulframe.operators.rows import matching_columns, pick, preview, rename_all
 from haulframe.sources.files import read_csv, read_tagged
 from haulframe.sources.scratch import new_path
-from haulframe.sources.sinks import write_csv, write_report, write_table
+from haulframe.sources.sinks import write_csv, write_one_csv, write_report, write_table
 
 QUERIES: dict = {}
 
@@ -45,16 +46,46 @@ def csv_files_by_name(t):
     FROM lineitem
 """)
 def csv_folder_per_year(t):
-    """One folder per year, the year taken from the folder."""
+    """One folder per year, the year taken from the folder, all years in one read."""
     folder = new_path(t.spark)
     columns = ["l_orderkey", "l_linenumber", "l_extendedprice"]
-    year = F.year("l_shipdate")
-    years = [r[0] for r in t.lineitem.select(year).distinct().orderBy(year).collect()]
-    paths = {y: f"{folder}/year={y}" for y in years}
-    rows = t.lineitem.select(*columns, year.alias("year"))
+    rows = t.lineitem.select(*columns, F.year("l_shipdate").alias("year"))
     rows.write.partitionBy("year").option("header", True).csv(folder)
     schema = "l_orderkey long, l_linenumber int, l_extendedprice double"
-    return read_tagged(t.spark, paths, schema).drop("row_seq")
+    return read_csv(t.spark, folder, schema, tag="year").drop("row_seq")
+
+
+@register(QUERIES, """
+    SELECT CASE l_returnflag WHEN 'A' THEN 2021 ELSE 2022 END AS year, l_orderkey AS id,
+      CASE WHEN l_returnflag <> 'A' THEN l_quantity END AS quantity
+    FROM lineitem
+""")
+def csv_tagged_folders(t):
+    """Folders of any name, each with its key; one of them lacks a column."""
+    folder, early = new_path(t.spark), F.col("l_returnflag") == "A"
+    write_csv(t.lineitem.filter(early).select(F.col("l_orderkey").alias("ID")), f"{folder}/first")
+    write_csv(t.lineitem.filter(~early).select(
+        F.col("l_quantity").alias("quantity"), F.col("l_orderkey").alias("id")), f"{folder}/second")
+    return read_tagged(
+        t.spark, {2021: f"{folder}/first", 2022: f"{folder}/second"}, "id long, quantity double"
+    ).drop("row_seq")
+
+
+@register(QUERIES, """
+    SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total,
+      row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS place
+    FROM orders GROUP BY o_custkey
+""")
+def one_sorted_file(t):
+    """A table in one file with one header; its lines are in the order asked for."""
+    totals = t.orders.groupBy("o_custkey").agg(
+        F.count("*").alias("n"), F.sum("o_totalprice").alias("exact"))
+    totals = totals.withColumn("total", F.round("exact", 2))
+    path = f"{new_path(t.spark)}/totals.csv"
+    write_one_csv(totals.select("o_custkey", "n", "total", "exact"), path,
+                  [F.desc("exact"), F.col("o_custkey")])
+    rows = read_csv(t.spark, path, "o_custkey long, n long, total double")
+    return row_positions(rows, [], ["row_seq"], "place").drop("row_seq")
 
 
 @register(QUERIES, """

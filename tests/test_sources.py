@@ -1,9 +1,12 @@
+import gzip
+
 import pytest
+from pyspark.sql import functions as F
 
 from haulframe.operators.rows import matching_columns, preview, rename_all
 from haulframe.sources.database import connection_options, scan_options
 from haulframe.sources.files import UnknownHeader, literal_table, read_csv, read_tagged
-from haulframe.sources.sinks import write_csv, write_report, write_table
+from haulframe.sources.sinks import write_csv, write_one_csv, write_report, write_table
 from haulframe.sources.scratch import drop_scratch, materialize, materialize_measured, scratch_dir
 
 SCHEMA = "gear string, skate int, length string, pot_size string"
@@ -69,6 +72,65 @@ def test_no_file_is_lost(spark, tmp_path):
         read_csv(spark, str(tmp_path), "gear string, skate int")
 
 
+def test_many_tiny_files_of_two_headers(spark, tmp_path):
+    for i in range(10_000):
+        header = "skate,gear" if i == 7_000 else "gear,skate"
+        row = f"{i},POT" if i == 7_000 else f"POT,{i}"
+        (tmp_path / f"{i:05}.csv").write_text(f"{header}\n{row}\n")
+    rows = read_csv(spark, str(tmp_path), "gear string, skate int")
+    seen = rows.orderBy("row_seq").select("gear", "skate").collect()
+    assert seen == [("POT", i) for i in range(10_000)]
+    (tmp_path / "07001.csv").write_text("other\n1\n")
+    with pytest.raises(UnknownHeader, match="07001.csv"):
+        read_csv(spark, str(tmp_path), "gear string, skate int")
+
+
+def test_files_are_opened_by_tasks(spark, folder, tmp_path, monkeypatch):
+    import haulframe.sources.files as files
+
+    def never(*_):
+        raise AssertionError("the driver opened a file")
+
+    monkeypatch.setattr(files, "first_line", never)
+    assert read_csv(spark, folder, SCHEMA, "part *.csv").count() == 4
+    with gzip.open(tmp_path / "part 3.csv.gz", "wt") as packed:
+        packed.write("length,gear\nF099,HAL\n")
+    assert read_csv(spark, folder, SCHEMA, "part *").filter("length = 'F099'").count() == 1
+    # in a store that Python does not reach, the driver opens them
+    monkeypatch.setattr(files, "_reachable", lambda _: False)
+    with pytest.raises(AssertionError, match="driver opened"):
+        read_csv(spark, folder, SCHEMA, "part *.csv")
+    monkeypatch.undo()
+    monkeypatch.setattr(files, "_reachable", lambda _: False)
+    assert read_csv(spark, folder, SCHEMA, "part *.csv").count() == 4
+
+
+def test_years_from_folder_names_are_pruned(spark, tmp_path):
+    for year in (2021, 2022, 2023):
+        (tmp_path / f"year={year}").mkdir()
+        names = "gear,skate" if year < 2023 else "skate,gear"
+        row = f"POT,{year}" if year < 2023 else f"{year},POT"
+        (tmp_path / f"year={year}" / "a.csv").write_text(f"{names}\n{row}\n")
+    rows = read_csv(spark, str(tmp_path), "gear string, skate int", tag="year")
+    assert rows.columns == ["gear", "skate", "year", "row_seq"]
+    assert sorted((r.gear, r.skate, r.year) for r in rows.collect()) == [
+        ("POT", y, y) for y in (2021, 2022, 2023)]
+    one = rows.filter("year = 2022")
+    assert [r.skate for r in one.collect()] == [2022]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "(year#" in plan.split("PartitionFilters: [", 1)[1]
+
+
+def test_tagged_folders_are_one_read(spark, tmp_path):
+    for name, text in (("a b", "gear,skate\nPOT,1\n"), ("ab", "skate\n2\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text(text)
+    both = read_tagged(spark, {2021: str(tmp_path / "a b"), 2022: str(tmp_path / "ab")},
+                       "gear string, skate int")
+    assert sorted((r.year, r.skate, r.gear) for r in both.collect()) == [
+        (2021, 1, "POT"), (2022, 2, None)]
+
+
 def test_same_header_is_checked(spark, tmp_path):
     (tmp_path / "a.csv").write_text("gear,skate\nPOT,1\n")
     (tmp_path / "b.csv").write_text("skate,gear\n2,HAL\n")
@@ -95,6 +157,32 @@ def test_sinks(spark, tmp_path):
     assert list((tmp_path / "r").glob("*.csv"))
 
 
+def test_one_file_with_one_header(spark, tmp_path):
+    rows = spark.range(5_000).selectExpr("id % 7 AS k", "id", "if(id = 3, NULL, 'a, b') AS `s.t`")
+    path = tmp_path / "out" / "one.csv"
+    path.parent.mkdir()
+    path.write_text("before\n")
+    write_one_csv(rows.repartition(6), str(path), [F.desc("k"), F.col("id")])
+    lines = path.read_text().splitlines()
+    assert lines[0] == "k,id,s.t" and len(lines) == 5_001
+    want = sorted(((i % 7, i) for i in range(5_000)), key=lambda r: (-r[0], r[1]))
+    assert [tuple(map(int, x.split(",")[:2])) for x in lines[1:]] == want
+    assert '3,3,NA' in lines and lines[1].endswith('"a, b"')
+    assert sorted(p.name for p in path.parent.iterdir() if not p.name.startswith(".")) == ["one.csv"]
+    write_one_csv(rows.limit(0), str(path))
+    assert path.read_text().splitlines() == ["k,id,s.t"]
+
+
+def test_nothing_is_left_of_a_failed_file(spark, tmp_path):
+    path = tmp_path / "one.csv"
+    path.write_text("before\n")
+    broken = spark.range(100).selectExpr("if(id = 77, raise_error('no'), id) AS x")
+    with pytest.raises(Exception, match="no"):
+        write_one_csv(broken, str(path))
+    assert path.read_text() == "before\n"
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["one.csv"]
+
+
 def test_database_options(spark):
     spark.conf.set("haulframe.jdbc.catch.url", "jdbc:x://host/db")
     spark.conf.set("haulframe.jdbc.catch.user", "reader")
