@@ -9,6 +9,7 @@ from haulframe.functions.nulls import (
     case_na,
     distinct_with_null,
     if_else_na,
+    is_member,
     not_member,
     recode,
     safe_ratio,
@@ -81,16 +82,16 @@ def scan_project_filter(t):
       FROM events)
     SELECT event_id, user_id, kind FROM masked
     WHERE (kind NOT IN ('click', 'view') OR kind IS NULL)
-      AND user_id % 10 IN (1, 3, 5)
+    UNION ALL
+    SELECT event_id, user_id, kind FROM masked WHERE kind IN ('view')
 """)
 def membership_filters(t):
     masked = t.events.select(
         "event_id", "user_id",
         F.when(F.col("event_type") != "signup", F.col("event_type")).alias("kind"),
     )
-    return masked.filter(
-        not_member("kind", ["click", "view"]) & (F.col("user_id") % 10).isin(1, 3, 5)
-    )
+    return masked.filter(not_member("kind", ["click", "view"])).union(
+        masked.filter(is_member("kind", ["view"])))
 
 
 @register(QUERIES, """

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from catalog import views as V
 from catalog.tables import r, register
+from haulframe.operators.joins import attach
+from haulframe.operators.sketches import RANK_ERROR
 from haulframe.plans import survey as S
 from haulframe.plans import synthesis as Y
 from haulframe.plans.codes import EventRule, GearCodes
+from haulframe.sources.scratch import new_path
 
 QUERIES: dict = {}
 
@@ -536,13 +539,11 @@ YEARS_SQL = """
 
 
 def years(t):
+    """All years in one read; the first one's files had no pot sizes."""
     fish = V.fish(t).filter("species = 'Sablefish'")
-    per_year = {
-        y: fish.filter(F.col("year") == y).drop("year", *(["pot_size"] if y == 1997 else []))
-        for y in (r[0] for r in fish.select("year").distinct().orderBy("year").collect())
-    }
+    sized = F.when(F.col("year") != 1997, F.col("pot_size"))
     return Y.harmonise(
-        Y.union_years(per_year),
+        fish.withColumn("pot_size", sized),
         {"HAL": "Hooks", "POT": "Traps"},
         {"A": 201, "N": 202, "R": 203},
     )
@@ -556,6 +557,69 @@ def multi_year_medians(t):
     return Y.medians_by(years(t), ["gear", "year", "station"])
 
 
+FACETS = [
+    ["gear"], ["gear", "year"], ["gear", "year", "station"], ["gear", "stratum"],
+    ["gear", "year", "stratum"], ["gear", "stratum", "station"], ["gear", "station", "sex"],
+]
+FACET_KEYS = ["gear", "year", "station", "stratum", "sex"]
+
+
+def facets_sql(select: str) -> str:
+    """A SELECT per facet; ``select`` has {keys} for all columns, {by} for those of the facet."""
+    return " UNION ALL ".join(
+        "(" + select.format(
+            keys=f"'{'_'.join(by)}' AS facet, " + ", ".join(
+                k if k in by else f"NULL AS {k}" for k in FACET_KEYS),
+            by=", ".join(by)) + ")"
+        for by in FACETS)
+
+
+@register(QUERIES, f"""
+    WITH {V.LENGTH_SQL}, {YEARS_SQL},
+      facets AS ({facets_sql(
+          "SELECT {keys}, quantile_cont(length, 0.5) AS median FROM years GROUP BY {by}")})
+    SELECT facet, gear, CAST(year AS INTEGER) AS year, CAST(station AS INTEGER) AS station,
+      stratum, sex, median FROM facets
+""")
+def multi_year_facet_medians(t):
+    """Seven groupings from the same two passes."""
+    return Y.medians_by_facets(years(t), FACETS)
+
+
+@register(QUERIES, f"""
+    WITH {V.LENGTH_SQL}, {YEARS_SQL},
+      facets AS ({facets_sql(
+          "SELECT {keys}, sex AS of_sex, count(*) AS n, count(*) / sum(count(*)) "
+          "OVER (PARTITION BY {by}) AS sex_ratio FROM years GROUP BY {by}, sex")})
+    SELECT facet, gear, CAST(year AS INTEGER) AS year, CAST(station AS INTEGER) AS station,
+      stratum, of_sex AS sex, n, round(sex_ratio, 8) AS sex_ratio
+    FROM facets WHERE facet <> 'gear_station_sex'
+""")
+def multi_year_facet_sex_ratios(t):
+    """Six groupings from one pass."""
+    return Y.sex_ratio_by_facets(years(t), FACETS[:-1]).withColumn("sex_ratio", r("sex_ratio", 8))
+
+
+@register(QUERIES, f"""
+    WITH {V.LENGTH_SQL}, {YEARS_SQL}
+    SELECT gear, station, count(*) AS n, true AS within FROM years GROUP BY ALL
+""")
+def multi_year_sketched_medians(t):
+    """Medians over all years from sketches kept per year; within the stated rank error."""
+    rows = years(t)
+    kept = new_path(t.spark)
+    Y.year_sketches(rows, ["year", "gear", "station"]).write.partitionBy("year").parquet(kept)
+    found = Y.medians_from_sketches(t.spark.read.parquet(kept), ["gear", "station"])
+    length = F.col("length").cast("double")
+    ranks = attach(rows, found.drop("n"), ["gear", "station"]).groupBy("gear", "station").agg(
+        F.count("*").alias("n"), F.count_if(length < F.col("median")).alias("below"),
+        F.count_if(length <= F.col("median")).alias("upto"))
+    half = F.col("n") / 2
+    slack = RANK_ERROR * F.col("n") + 1
+    return ranks.select("gear", "station", "n", (
+        (F.col("below") <= half + slack) & (F.col("upto") >= half - slack)).alias("within"))
+
+
 @register(QUERIES, f"""
     WITH {V.LENGTH_SQL}, {YEARS_SQL}
     SELECT gear, stratum, sex, quantile_cont(length, 0.5) AS median FROM years GROUP BY ALL

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.functions.nulls import safe_corr, safe_ratio
-from haulframe.functions.smirnov import EXACT_BELOW, smirnov_exact_p
+from haulframe.functions.smirnov import smirnov_exact_p
 from haulframe.functions.student_t import t_quantile, t_two_sided_p
 from haulframe.operators.joins import attach, null_safe_join
 from haulframe.operators.ordered import quantiles, running_totals, value_counts
@@ -103,8 +103,9 @@ def ks_test(
     """Two-sample Kolmogorov-Smirnov test: D and p, one row.
 
     Both samples are reduced to counts per distinct value; an empty sample
-    gives NULL.  p is asymptotic; with ``exact`` it is exact for small samples
-    without ties, and the column ``method`` says which of both it is.
+    gives NULL.  p is asymptotic; with ``exact`` it is the share of all orders of the
+    pooled values, ties as they are, that reach D.  That takes as many steps as the
+    product of the sample sizes, and one row that lists the runs of equal values.
     """
     g = F.col(group)
     counts = (
@@ -123,21 +124,19 @@ def ks_test(
         {"upto_x": "n_x", "upto_y": "n_y"},
     )
     gap = F.abs(safe_ratio("upto_x", "n_x") - safe_ratio("upto_y", "n_y"))
+    runs = [
+        F.sort_array(F.collect_list(F.struct(value, (F.col("in_x") + F.col("in_y")).alias("n"))))
+        .alias("runs")
+    ] if exact else []
     found = upto.agg(
-        F.max(gap).alias("D"),
-        F.max("n_x").alias("n_x"),
-        F.max("n_y").alias("n_y"),
-        F.max(F.col("in_x") + F.col("in_y")).alias("most_ties"),
+        F.max(gap).alias("D"), F.max("n_x").alias("n_x"), F.max("n_y").alias("n_y"), *runs
     )
     n_x, n_y = F.col("n_x").cast("double"), F.col("n_y").cast("double")
     scaled = F.col("D") * F.sqrt(F.try_divide(n_x * n_y, n_x + n_y))
     p_value = F.when(F.col("D").isNotNull(), kolmogorov_tail(scaled))
-    method: list[Column] = []
     if exact:
-        small = (F.col("most_ties") == 1) & (n_x * n_y < EXACT_BELOW)
-        p_value = F.when(small, smirnov_exact_p("D", "n_x", "n_y")).otherwise(p_value)
-        method = [F.when(small, "exact").otherwise("asymptotic").alias("method")]
-    return found.select("D", p_value.alias("p_value"), "n_x", "n_y", *method)
+        p_value = smirnov_exact_p("D", "n_x", "n_y", F.col("runs.n"))
+    return found.select("D", p_value.alias("p_value"), "n_x", "n_y")
 
 
 def bandwidths(

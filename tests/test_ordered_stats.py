@@ -233,7 +233,6 @@ def test_ks(spark):
     df = spark.createDataFrame([("x", v) for v in xs] + [("y", v) for v in ys], "g string, v double")
     gap = max(abs(sum(a <= p for a in xs) / 4 - sum(b <= p for b in ys) / 5) for p in xs + ys)
     r = ST.ks_test(df, "g", "v", "x", "y", exact=True).first()
-    assert r["method"] == "exact"
     back = ST.ks_test(df, "g", "v", "y", "x", exact=True).first()
     assert r["D"] == pytest.approx(gap) == back["D"]
     assert r["p_value"] == pytest.approx(back["p_value"])
@@ -253,6 +252,37 @@ def test_ks(spark):
     assert ST.ks_test(df, "g", "v", "x", "none").first()["D"] is None
 
 
+def test_exact_ks_with_ties_equals_enumeration(spark):
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for n, m, levels in ((4, 5, 3), (5, 5, 4), (3, 7, 6), (6, 4, 2)):
+        xs = [float(rng.randrange(levels)) for _ in range(n)]
+        ys = [float(rng.randrange(levels)) for _ in range(m)]
+        pooled = sorted(xs + ys)
+
+        def gap(a, b):
+            return max(abs(sum(v <= p for v in a) / n - sum(v <= p for v in b) / m)
+                       for p in pooled)
+
+        seen = [gap([pooled[i] for i in c], [pooled[i] for i in range(n + m) if i not in c])
+                for c in combinations(range(n + m), n)]
+        want = sum(g >= gap(xs, ys) - 1e-9 for g in seen) / len(seen)
+        df = spark.createDataFrame([("x", v) for v in xs] + [("y", v) for v in ys],
+                                   "g string, v double")
+        r = ST.ks_test(df, "g", "v", "x", "y", exact=True).first()
+        assert r["D"] == pytest.approx(gap(xs, ys)) and r["p_value"] == pytest.approx(want)
+
+
+def test_exact_ks_of_large_samples_nears_the_limit():
+    n, m, d = 3_000, 2_000, 0.05
+    scaled = d * math.sqrt(n * m / (n + m))
+    limit = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * scaled * scaled) for k in range(1, 50))
+    assert exact_p(d, n, m) == pytest.approx(limit, rel=0.05)
+    # small tails keep their digits
+    assert 0 < exact_p(0.9, 200, 300) < 1e-60
+
+
 def test_density_matches_the_direct_sum(sample):
     df, rows = sample
     got = ST.kernel_density(df.filter("g = 'hot'"), ["g"], "x", 1.2).orderBy("point").collect()
