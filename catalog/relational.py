@@ -18,6 +18,7 @@ from haulframe.functions.nulls import (
 from haulframe.functions.text import (
     big_int,
     fixed,
+    fixed_stored,
     floor_to,
     join_text,
     parse_date,
@@ -578,6 +579,22 @@ def format_labels(t):
     )
 
 
+@register(QUERIES, """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+      printf('%.2f', l_quantity / 16) AS eighths, printf('%.1f', l_discount * 5 + 0.05) AS tenths,
+      printf('%.3f', l_extendedprice / 7) AS thousandths
+    FROM lineitem
+""")
+def stored_values_as_text(t):
+    """Decimals of the stored binary values, ties to the even digit."""
+    return t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        fixed_stored(F.col("l_quantity") / 16, 2).alias("eighths"),
+        fixed_stored(F.col("l_discount") * 5 + 0.05, 1).alias("tenths"),
+        fixed_stored(F.col("l_extendedprice") / 7, 3).alias("thousandths"),
+    )
+
+
 @register(QUERIES, """
     SELECT o_orderstatus, CAST(floor(o_totalprice / 25) * 25 AS BIGINT) AS bin,
       CASE WHEN o_orderstatus = 'F' THEN -count(*) ELSE count(*) END AS y

@@ -33,6 +33,42 @@ def fixed(c: str | Column, digits: int) -> Column:
     return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.round(c, digits)))
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """Upper and lower part of a double, so that products of parts are exact."""
+    wide = x * F.lit(134217729.0)  # 2**27 + 1
+    high = wide - (wide - x)
+    return high, x - high
+
+
+def round_stored(c: str | Column, digits: int) -> Column:
+    """Round the exact value that the double stores; a true tie goes to the even digit.
+
+    ``round`` works on the shortest decimal that reads as the number: 0.15 to one digit is
+    0.2, although the stored value is below 0.15 and rounds to 0.1.  Here the product with
+    the power of ten is taken with its rounding error.  Numbers of 2**52 and more after
+    scaling stay as they are.
+    """
+    x = as_col(c).cast("double")
+    scale = float(10**digits)
+    product = x * F.lit(scale)
+    (high, low), split = _halves(x), 134217729.0 * scale
+    top = split - (split - scale)
+    rest = scale - top
+    error = ((high * top - product) + high * rest + low * top) + low * rest
+    floor = F.floor(product).cast("double")
+    over = (product - floor) - 0.5
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (F.abs(floor) % 2 == 1))))
+    rounded = (floor + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+    small = F.abs(product) < F.lit(2.0**52)
+    return F.when(x.isNull(), None).when(~F.isnan(x) & small, rounded).otherwise(x)
+
+
+def fixed_stored(c: str | Column, digits: int) -> Column:
+    """Fixed decimals of the stored value, as ``round_stored`` rounds it."""
+    value = round_stored(c, digits)
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+
+
 def to_number(c: str | Column) -> Column:
     """Text to number; unreadable text becomes NULL."""
     return as_col(c).try_cast("double")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,25 @@ def test_text(rows):
     assert (r["d"], r["nodate"], r["b"]) == ("2021-07-24", None, 425)
     assert (r["sex"], r["len"], r["nosex"], r["nofix"]) == ("F", 48.0, None, None)
     assert r["h"] == pytest.approx(14.95)
+
+
+def test_rounding_of_the_stored_value(spark):
+    rng = random.Random(1)
+    xs = [0.125, 0.375, 0.15, 0.25, 0.35, 2.675, 1.005, 0.5, 1.5, 2.5, -0.125, -0.375, -2.5, -0.15,
+          0.0, 1e15 + 0.5, 4503599627370496.0, -1e300, 5e-324, 0.045, 1e22]
+    xs += [rng.uniform(-1000, 1000) for _ in range(2_000)]
+    xs += [rng.randrange(-5_000, 5_000) / 16 for _ in range(500)]
+    xs += [rng.randrange(-5_000, 5_000) / 1000 for _ in range(2_000)]
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    for digits in (0, 1, 2, 3):
+        got = df.select("x", X.round_stored("x", digits).alias("r"),
+                        X.fixed_stored("x", digits).alias("t")).collect()
+        for r in got:
+            # Python formats the stored value exactly, ties to the even digit
+            want = f"{r.x:.{digits}f}"
+            assert r.r == float(want), (r.x, digits)
+            if abs(r.x) < 1e12:
+                assert float(r.t) == float(want) and len(r.t.split(".")[-1]) in (digits, len(r.t))
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double")
+    got = [r[0] for r in odd.select(X.round_stored("x", 2)).collect()]
+    assert got[0] is None and got[1] != got[1] and got[2] == float("inf")
