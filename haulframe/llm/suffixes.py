@@ -17,8 +17,10 @@ anchor the bytes matter that a window holding its gram can reach (its context).
 4. A gram whose suffixes fall on both sides of a splitter, as those of a very frequent one
    do, is compared across the boundary.  A window can only be shared with another bucket
    if its part to the right of the anchor is no longer than what the suffix has in
-   common with the end of its bucket.  Each bucket hands on the hashes of such windows, one
-   for all its suffixes that share it, so what is compared does not grow with the gram.
+   common with the end of its bucket.  The suffixes that have such windows are dealt anew by
+   their bytes to the left and compared there, and what an end of such a bucket has in
+   common with others is compared by counted windows, so no bucket or group grows with
+   the gram.
 
 A null or empty text has no bytes.  Texts shorter than ``length`` lose nothing; a text of
 any length is read whole.  Strings are judged on the input, also within one document.
@@ -59,6 +61,8 @@ LENGTH, GRAM = 400, 200
 BUCKET_BYTES = 16 << 20
 #: Fewer strings than this are sorted at once.
 FEW = 48
+#: Suffixes handed on at once.
+EDGES = 2_000
 
 
 def sliding(x: np.ndarray, width: int, smaller: bool) -> np.ndarray:
@@ -276,30 +280,16 @@ def repeated_windows(right: list[bytes], left: list[bytes], length: int, gram: i
     return low, high, edge
 
 
-_RESULT = "g long, c long, low int, high int, o int, window long"
+_RESULT = "g long, c long, low int, high int, bucket int, right binary, left binary"
 
 
-def edge_windows(rows: np.ndarray, common: np.ndarray, right: list[bytes], left: list[bytes],
-                 length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Windows of the given suffixes that another bucket may hold, by how far they go left.
-
-    (o, hash, suffix, whether no other of these suffixes has the window), a window once.
-    """
-    if not len(rows):
-        return
-    data = np.frombuffer(b"".join(left[i][::-1] + right[i] for i in rows), np.uint8)
-    size_r, size_l = (np.array([len(side[i]) for i in rows]) for side in (right, left))
-    place = np.cumsum(size_r + size_l) - size_r  # of the anchors
-    # the part to the right is no longer than what an end of the bucket has in common
-    least = np.maximum(length - common[rows], length - size_r)
-    hashes = SpanHash(data)
-    for o in range(length - gram + 1):
-        own = np.flatnonzero((least <= o) & (size_l >= o))
-        if len(own):
-            start = place[own] - o
-            window, first, count = np.unique(
-                hashes(start, start + length), return_index=True, return_counts=True)
-            yield o, window.view(np.int64), rows[own[first]], count == 1
+def _rows(g, c, low, high, **more) -> pa.RecordBatch:
+    """Rows (g, c, low, high) and further columns; what is None is missing in all."""
+    ints = {"low": low, "high": high}
+    columns = {"g": pa.array(g), "c": c if isinstance(c, pa.Array) else pa.array(c)}
+    for name, x in ints.items():
+        columns[name] = pa.nulls(len(g), pa.int32()) if x is None else pa.array(x, pa.int32())
+    return pa.RecordBatch.from_pydict(columns | more)
 
 
 def _bucket(length: int, gram: int):
@@ -313,36 +303,99 @@ def _bucket(length: int, gram: int):
         right, left = whole.column("right").to_pylist(), whole.column("left").to_pylist()
         del whole
         low, high, common = repeated_windows(right, left, length, gram)
+        part = TaskContext.get().partitionId()
 
-        def batch(rows, context, lows, highs, o, window):
-            def ints(x):
-                return pa.array(x, pa.int32()) if x is not None else pa.nulls(len(rows), pa.int32())
-            return pa.RecordBatch.from_arrays([
-                pa.array(g[rows]), context, ints(lows), ints(highs), ints(o),
-                pa.array(window) if window is not None else pa.nulls(len(rows), pa.int64()),
-            ], names=["g", "c", "low", "high", "o", "window"])
+        def batch(rows, lows, highs, rights, lefts):
+            return _rows(g[rows], c[rows], lows, highs,
+                         bucket=pa.array([part] * len(rows), pa.int32()),
+                         right=pa.array(rights, pa.binary()), left=pa.array(lefts, pa.binary()))
 
         found = np.flatnonzero(high >= 0)
-        yield batch(found, pa.array(c[found]), low[found], high[found], None, None)
+        none = [None] * len(found)
+        yield batch(found, low[found], high[found], none, none)
         # only the gram of the first and that of the last suffix can go on in another bucket;
-        # a window that several suffixes here have is known for them, one stands for them
+        # ``low`` is the shortest start of a window that another bucket can share
         edge = np.flatnonzero(common >= gram)
-        for o, window, rows, alone in edge_windows(edge, common, right, left, length, gram):
-            yield batch(rows, pa.array(c[rows], mask=~alone), None, None, [o] * len(rows), window)
+        for at in range(0, len(edge), EDGES):
+            rows = edge[at:at + EDGES]
+            yield batch(rows, length - common[rows], None,
+                        [right[i] for i in rows], [left[i] for i in rows])
 
     return run
 
 
-def across_buckets(windows: DataFrame) -> DataFrame:
-    """(g, c, low, high) from windows (g, c, o, window), one row for each and bucket.
+def _left_bucket(length: int, gram: int):
+    """Windows that suffixes of different buckets share, among those alike to the left.
 
-    ``c`` is missing where several suffixes of the bucket share the window.
+    Rows (g, c, low, high) are found here.  Rows with a window (o, window) are for other
+    such buckets: windows whose part to the left an end of this bucket has too, one row
+    each, with the suffix if it is the only one here.
     """
+    span = length - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
+        del held
+        g, c = np.asarray(whole.column("g")), np.asarray(whole.column("c"))
+        least = np.asarray(whole.column("low"))
+        right, left = whole.column("right").to_pylist(), whole.column("left").to_pylist()
+        del whole
+        n = len(g)
+        order = multikey_order(left, max(span, 1))
+        common = neighbours_in_common(left, order, max(span, 1))
+        most, edge = np.empty(n, np.int64), np.empty(n, np.int64)
+        from_first = np.minimum.accumulate(np.append(span, common[1:]))
+        from_last = np.minimum.accumulate(np.append(span, common[:0:-1]))[::-1]
+        edge[order] = np.maximum(from_first, from_last)
+        most[order] = np.maximum(common, np.append(common[1:], 0))
+        most = np.maximum(most, edge)
+        size_r, size_l = (np.array([len(x) for x in side]) for side in (right, left))
+        data = np.frombuffer(b"".join(b[::-1] + a for a, b in zip(right, left)), np.uint8)
+        place = np.cumsum(size_r + size_l) - size_r  # of the anchors
+        least, most = np.maximum(least, length - size_r), np.minimum(most, size_l)
+        hashes = SpanHash(data)
+        low, high = np.full(n, -1), np.full(n, -1)
+        for o in range(span + 1):
+            own = np.flatnonzero((least <= o) & (most >= o))
+            if not len(own):
+                continue
+            start = place[own] - o
+            window, first, same, count = np.unique(
+                hashes(start, start + length), return_index=True, return_inverse=True,
+                return_counts=True)
+            hit = own[count[same] > 1]
+            high[hit] = o
+            low[hit[low[hit] < 0]] = o
+            # the suffixes of a window are alike to the left: any of them tells
+            beyond = np.flatnonzero(edge[own[first]] >= o)
+            rows = own[first[beyond]]
+            if len(rows):
+                yield _rows(g[rows], pa.array(c[rows], mask=count[beyond] > 1), None, None,
+                            o=pa.array([o] * len(rows), pa.int32()),
+                            window=pa.array(window[beyond].view(np.int64)))
+        found = np.flatnonzero(high >= 0)
+        yield _rows(g[found], c[found], low[found], high[found],
+                    o=pa.nulls(len(found), pa.int32()), window=pa.nulls(len(found), pa.int64()))
+
+    return run
+
+
+def across_buckets(edges: DataFrame, length: int, gram: int) -> DataFrame:
+    """(g, c, low, high) from suffixes whose gram lies in more than one bucket."""
+    split = (edges.groupBy("g").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+             .where("a < b").select("g"))
+    spread = materialize(edges.join(bounded(split), "g").select("g", "c", "low", "right", "left"))
+    found = materialize(spread.repartitionByRange("left", "right").mapInArrow(
+        _left_bucket(length, gram), "g long, c long, low int, high int, o int, window long"))
+    windows = found.where("o is not null")
     shared = (windows.groupBy("g", "o", "window").agg(F.count("*").alias("n"))
               .where("n > 1").select("g", "o", "window"))
-    alone = windows.where("c is not null")
-    return alone.join(bounded(shared), ["g", "o", "window"], "left_semi").groupBy("g", "c").agg(
-        F.min("o").alias("low"), F.max("o").alias("high"))
+    alone = windows.where("c is not null").join(bounded(shared), ["g", "o", "window"], "left_semi")
+    return found.where("o is null").select("g", "c", "low", "high").union(
+        alone.groupBy("g", "c").agg(F.min("o").alias("low"), F.max("o").alias("high")))
 
 
 def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int) -> DataFrame:
@@ -371,7 +424,7 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int, gram: int)
     buckets = texts.repartitionByRange(max(1, -(-size // BUCKET_BYTES)), "right", "left")
     sorted_out = materialize(buckets.mapInArrow(_bucket(length, gram), _RESULT))
     inside = sorted_out.where("high is not null").select("g", "c", "low", "high")
-    across = across_buckets(sorted_out.where("high is null").select("g", "c", "o", "window"))
+    across = across_buckets(sorted_out.where("high is null"), length, gram)
     known = whole.union(inside).union(across).groupBy("g", "c").agg(
         F.min("low").alias("low"), F.max("high").alias("high"))
     spans = again.join(bounded(known), ["g", "c"]).select(
