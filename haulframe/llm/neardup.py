@@ -212,26 +212,29 @@ def shared_counts(element: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return shared
 
 
-def tying_links(node: np.ndarray, known: np.ndarray, element: np.ndarray, owner: np.ndarray,
+def tying_links(known: np.ndarray, element: np.ndarray, owner: np.ndarray,
                 similarity: float) -> list[tuple[int, int]]:
-    """Links that tie members of different classes; ``known`` is the class so far."""
-    n = len(node)
+    """Links that tie classes with similar members; ``known`` is the class of each so far.
+
+    Classes that belong together are each tied to the smallest of them.
+    """
+    n = len(known)
     size = np.bincount(owner, minlength=n).astype(np.float64)
     shared = shared_counts(element, owner, n).astype(np.float64)
     union = size[:, None] + size[None, :] - shared
     # shared / union >= similarity, with whole numbers on the left
     alike = (shared >= similarity * union - 1e-9) & (union > 0)
-    label = np.unique(known, return_inverse=True)[1]
-    out = []
+    classes, label = np.unique(known, return_inverse=True)
     for i, j in zip(*np.nonzero(np.triu(alike, 1) & (label[:, None] != label[None, :]))):
         if label[i] != label[j]:
-            out.append((int(node[i]), int(node[j])))
-            label[label == label[j]] = label[i]
-    return out
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    merged = np.zeros(len(classes), np.int64)
+    merged[np.searchsorted(classes, known)] = label
+    return [(int(c), int(classes[m])) for c, m in zip(classes, merged) if classes[m] != c]
 
 
 def _compared(groups: list[str], words: int, similarity: float):
-    """A function over rows sorted by the group columns: links of each group."""
+    """A function over rows sorted by the group columns: links of the classes in each group."""
 
     def links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(rows).combine_chunks()
@@ -251,8 +254,8 @@ def _compared(groups: list[str], words: int, similarity: float):
             renamed = np.full(high - low, -1)
             renamed[first] = np.arange(len(first))
             own = renamed[owner[a:b] - low]
-            found += tying_links(node[low + first], known[low + first],
-                                 element[a:b][own >= 0], own[own >= 0], similarity)
+            found += tying_links(known[low + first], element[a:b][own >= 0], own[own >= 0],
+                                 similarity)
         yield pa.RecordBatch.from_arrays(
             [pa.array([x for x, _ in found], pa.int64()),
              pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
@@ -298,47 +301,57 @@ def _grouped(rows: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def compared(rows: DataFrame, groups: list[str], words: int, similarity: float) -> DataFrame:
-    """(a, b): links that tie the members of each group; ``known`` is their class so far."""
+    """(a, b): classes of each group (``known``) that are merged into smaller ones."""
     sent = _grouped(rows.select(*groups, "node", "text", "known"), groups)
     return materialize(sent.mapInArrow(_compared(groups, words, similarity), "a long, b long"))
 
 
-def relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
-    """The members with the classes that further links give; a class is its smallest node."""
-    classes = components(links).withColumnRenamed("node", "known")
-    merged = F.coalesce("component", "known").alias("known")
-    return materialize(labelled.join(bounded(classes), "known", "left").select(
-        "family", "like", "part", "node", merged))
+def relabelled(labelled: DataFrame, merged: DataFrame) -> DataFrame:
+    """The members with the classes that theirs are merged into, if any: (a, b)."""
+    into = merged.select(F.col("a").alias("known"), F.col("b").alias("into"))
+    return materialize(labelled.join(bounded(into), "known", "left").select(
+        "family", "like", "part", "node", F.coalesce("into", "known").alias("known")))
 
 
-def family_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links that tie the members of each family: inside blocks, then across blocks."""
+def family_classes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, component) of members that are not the smallest of their class.
+
+    Inside blocks, and where one member stands for a class, each class is in one block only,
+    so what comes back are the classes.  Blocks against blocks may merge in chains.
+    """
     block = ["family", "like", "part"]
-    links = compared(texts.withColumn("known", F.col("node")), block, words, similarity)
+    alone = texts.withColumn("known", F.col("node"))
+    small = compared(alone.where("not large"), block, words, similarity)
+    done = small.select(F.col("a").alias("node"), F.col("b").alias("component"))
     large = materialize(texts.where("large").select(*block, "node", "text"))
     if large.isEmpty():
-        return links
-    labelled = relabelled(large.select(*block, "node").withColumn("known", F.col("node")), links)
+        return done
+    labelled = large.select(*block, "node").withColumn("known", F.col("node"))
+    labelled = relabelled(labelled, compared(
+        large.withColumn("known", F.col("node")), block, words, similarity))
     while True:
-        # the smallest member stands for its class; its links to others tie the classes
         ones = labelled.where("node = known").select("family", "like", "node", "known")
         many = ones.groupBy("family", "like").agg(F.count("*").alias("n")).where("n > 1")
-        dealt = ones.join(bounded(many), ["family", "like"]).select(
+        dealt = materialize(ones.join(bounded(many), ["family", "like"]).select(
             "family", "like", "node", "known",
-            F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("part"))
-        dealt = materialize(dealt)
+            F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("part")))
         found = compared(large.select("node", "text").join(bounded(dealt), "node"), block,
                          words, similarity)
-        links = links.union(found)
         labelled = relabelled(labelled, found)
         # classes that are hardly tied any more are left to the blocks
         if found.count() * FEWER <= dealt.count():
-            return links.union(across_blocks(large, labelled, words, similarity))
+            break
+    across = across_blocks(large, labelled, words, similarity)
+    if not across.isEmpty():
+        labelled = relabelled(labelled, components(across).select(
+            F.col("node").alias("a"), F.col("component").alias("b")))
+    return done.union(labelled.where("node <> known").select(
+        "node", F.col("known").alias("component")))
 
 
 def across_blocks(large: DataFrame, labelled: DataFrame, words: int,
                   similarity: float) -> DataFrame:
-    """Links between blocks of a family whose members are not all of one class."""
+    """Links between classes, from blocks of a family whose members are not all of one class."""
     block = ["family", "like", "part"]
     blocks = labelled.groupBy(*block).agg(F.min("known").alias("low"), F.max("known").alias("high"))
     other = blocks.select("family", *[F.col(c).alias(f"{c}2") for c in ("like", "part", "low", "high")])
@@ -373,7 +386,7 @@ def classed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text",
         small = small.unionByName(large.drop("family").join(bounded(parts), "node")
                                   .withColumnRenamed("component", "family"))
     texts = placed_members(materialize(small.drop("large")), similarity)
-    linked = components(family_links(texts, words, similarity))
+    linked = family_classes(texts, words, similarity)
     classed = nodes.join(linked, "node", "left").select(
         "node", "rep", F.coalesce("component", "node").alias("component"))
     least = classed.groupBy("component").agg(F.min("rep").alias("class_id"))
