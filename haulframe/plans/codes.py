@@ -127,6 +127,9 @@ HOOKS = "Hooks"
 LARGE_POTS = "Large pots"
 SMALL_POTS = "Small pots"
 HOOK_AND_LINE = "Hook-and-line"
+ALL_SETS = "All_sets_combined"
+AVERAGE = "Average"
+NONE_MEASURED_OR_CAUGHT = "0 / 0"
 
 EARLY = GearCodes(
     rules=EARLY_RULES, large_marker="Big Skate", not_fish=NOT_FISH, rings=EARLY_RINGS

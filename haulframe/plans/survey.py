@@ -49,11 +49,13 @@ from haulframe.operators.joins import (
     union_all,
 )
 from haulframe.operators.ordered import interpolate
-from haulframe.operators.ranking import rank_by_median
+from haulframe.operators.ranking import arrange, rank_by_median
 from haulframe.operators.reshape import pivot_longer, pivot_wider
 from haulframe.operators.stats import bar_totals, profile_correlation
 from haulframe.operators.window import attach_group_stats, group_share
 from haulframe.plans.codes import (
+    ALL_SETS,
+    AVERAGE,
     HOOK_AND_LINE,
     HOOKS,
     LARGE_POTS,
@@ -61,6 +63,7 @@ from haulframe.plans.codes import (
     METRES_PER_INCH,
     MIXED_LABEL,
     MIXED_PARTS,
+    NONE_MEASURED_OR_CAUGHT,
     NOT_CATCH,
     POT_SIZES_INCHES,
     SEX_LABELS,
@@ -72,7 +75,8 @@ from haulframe.plans.codes import (
 )
 
 UNIT = ["station", "haul", "skate"]
-ALL_SETS = "All_sets_combined"
+#: Order of the tables shared by all years, which a sink applies.
+STANDARD_ORDER = ["date", "station", "haul"]
 
 
 def decode(
@@ -460,7 +464,7 @@ def sample_sizes(
     most = F.max("n_lengths").over(Window.partitionBy("station", "species"))
     wide = pivot_wider(
         both.withColumns({"n": label, "__most": most}), ["station", "species", "__most"],
-        "gear", "n", gears, fill="0 / 0",
+        "gear", "n", gears, fill=NONE_MEASURED_OR_CAUGHT,
     )
     return wide.orderBy("station", F.desc("__most"), "species").drop("__most")
 
@@ -594,7 +598,7 @@ def equivalence_spacing(
 ) -> DataFrame:
     """Pots equal to one set of hooks, and their spacing in metres and fathoms."""
     means = with_subtotals(
-        rates, ["gear"], "station", "Average", {"mean_rate": F.avg(value)}
+        rates, ["gear"], "station", AVERAGE, {"mean_rate": F.avg(value)}
     )
     wide = pivot_wider(means, ["station"], "gear", "mean_rate", [hooks, pots])
     hook, pot = F.col(f"`{hooks}`"), F.col(f"`{pots}`")
@@ -632,12 +636,17 @@ def _ring(codes: GearCodes) -> Column:
 
 
 def _relabelled(rows: DataFrame, gears: dict | None, stations: dict | None) -> DataFrame:
-    """Names shared by all years, in the order of the shared layout."""
+    """Names shared by all years."""
     if gears:
         rows = rows.withColumn("gear", recode("gear", gears, keep_other=True))
     if stations:
         rows = rows.withColumn("station", recode("station", stations))
-    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in ("date", "station", "haul")])
+    return rows
+
+
+def in_standard_order(rows: DataFrame) -> DataFrame:
+    """A shared table by date, station and haul, for the file that it goes to."""
+    return arrange(rows, STANDARD_ORDER)
 
 
 def standard_lengths(
@@ -649,7 +658,7 @@ def standard_lengths(
     gears: dict | None = None,
     stations: dict | None = None,
 ) -> DataFrame:
-    """Lengths in the layout shared by all years, by date, station and haul.
+    """Lengths in the layout shared by all years; ``in_standard_order`` sorts them.
 
     ``dates`` holds one (station, date) row per station.  Where no marker tells pots
     apart, all have the size of the codes.  ``gears`` and ``stations`` map the

@@ -92,12 +92,12 @@ def survey_year(
         "equivalence": lambda: S.equivalence_labels(
             S.equivalence_spacing(rates, codes.hooks, codes.pots)
         ),
-        "clean_lengths": lambda: S.standard_lengths(
+        "clean_lengths": lambda: S.in_standard_order(S.standard_lengths(
             fish, dates, year, codes, gears=gear_names, stations=station_names
-        ),
-        "clean_catch": lambda: S.standard_catch(
+        )),
+        "clean_catch": lambda: S.in_standard_order(S.standard_catch(
             sized, depths, dates, year, codes, gears=gear_names, stations=station_names
-        ),
+        )),
         "ineffective_units": lambda: S.ineffective_units(tally, codes),
         "lengths_with_stats": lambda: S.length_rows_with_stats(
             target.filter("length is not null"), ["station", "gear"]
@@ -119,6 +119,9 @@ def survey_year(
         out["size_ks_lengths"] = lambda: ks_test(
             target, "pot_size", "length", "Small", "Large"
         )
+        out["lengths_with_size_stats"] = lambda: S.length_rows_with_stats(
+            target.filter("length is not null and pot_size is not null"), ["gear", "pot_size"]
+        )
     return out
 
 
@@ -146,10 +149,13 @@ def synthesis(
         ["gear", "stratum", "station"],
         ["gear", "station", "sex"],
     ]
-    out: Tables = {}
+    # all facets from the same two passes
+    medians = materialize(Y.medians_by_facets(fish, facets))
+    out: Tables = {"median_length": lambda: medians}
     for by in facets:
         name = "_".join(by)
-        out[f"median_length_{name}"] = partial(Y.medians_by, fish, by)
+        out[f"median_length_{name}"] = partial(
+            lambda by, name: medians.filter(F.col("facet") == name).select(*by, "median"), by, name)
         out[f"density_length_{name}"] = partial(Y.densities_by, fish, by)
     for by in (["gear"], ["station", "gear"], ["station", "gear", "year"]):
         out["sex_ratio_" + "_".join(by)] = partial(Y.sex_ratio, fish, by)
