@@ -9,6 +9,7 @@ grow with the batch or the partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from haulframe.sources.scratch import broadcast_limit, materialize_measured
 
 #: Bytes of text that a task works on at once (one longer text is worked on alone).
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch where memory is short, and the setting for it.
+BATCH_BYTES = 8 << 20
+BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _MASK = (1 << 64) - 1
 _MULT = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -62,6 +66,20 @@ def by_place(df: DataFrame, kept: list[str], *added: Column) -> DataFrame:
     return df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """While open, tables written get Arrow batches of at most ``size`` bytes into Python tasks.
+
+    Spark's own bound is 64 MB, of which a task and its Python worker hold several.
+    """
+    before = spark.conf.get(BATCH_BYTES_KEY)
+    spark.conf.set(BATCH_BYTES_KEY, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES_KEY, before)
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """Write a table and mark it for copying if its measured size allows."""
     written, size = materialize_measured(df)

@@ -51,6 +51,7 @@ from haulframe.llm.common import (
     row_key,
     seeded,
     slices,
+    small_batches,
     utf8,
 )
 from haulframe.sources.scratch import materialize
@@ -58,7 +59,7 @@ from haulframe.sources.scratch import materialize
 #: Bytes of a repeated string, and of the gram that is hashed at each place.
 LENGTH, GRAM = 400, 200
 #: Bytes of suffixes in one bucket, by which the number of buckets is chosen.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Fewer strings than this are sorted at once.
 FEW = 48
 #: Suffixes handed on at once.
@@ -458,9 +459,11 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text",
                    length: int = LENGTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """All columns but the text, with ``kept`` (bytes), n_bytes, n_removed and n_spans.
 
-    With ``digest`` the SHA-256 of the kept bytes, ``kept_sha256``, takes the place of ``kept``.
+    With ``digest`` the SHA-256 of the kept bytes, ``kept_sha256``, takes the place of ``kept``,
+    and the result is written.
     """
-    spans = bounded(repeated_spans(docs, id, text, length, gram))
+    with small_batches(docs.sparkSession):
+        spans = bounded(repeated_spans(docs, id, text, length, gram))
     result = T.StructField(*("kept_sha256", T.StringType()) if digest else
                            ("kept", T.BinaryType()))
     outputs = [result, *(T.StructField(n, T.LongType())
@@ -498,7 +501,11 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text",
                      *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))], names=names)
 
     sent = by_place(joined, [f.name for f in kept], F.col(f"`{text}`"), F.col("__spans"))
-    return sent.mapInArrow(run, T.StructType(kept + outputs))
+    result = sent.mapInArrow(run, T.StructType(kept + outputs))
+    if not digest:
+        return result
+    with small_batches(docs.sparkSession):
+        return materialize(result)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
