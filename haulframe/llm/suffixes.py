@@ -54,12 +54,12 @@ from haulframe.llm.common import (
     small_batches,
     utf8,
 )
-from haulframe.sources.scratch import materialize
+from haulframe.sources.scratch import materialize, materialize_measured
 
 #: Bytes of a repeated string, and of the gram that is hashed at each place.
 LENGTH, GRAM = 400, 200
 #: Bytes of suffixes in one bucket, by which the number of buckets is chosen.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: Fewer strings than this are sorted at once.
 FEW = 48
 #: Suffixes handed on at once.
@@ -325,6 +325,32 @@ def _bucket(length: int, gram: int):
     return run
 
 
+class Windows:
+    """Hashes of the windows of suffixes, whose bytes are hashed some at a time."""
+
+    def __init__(self, right: list[bytes], left: list[bytes], length: int):
+        self.length, self.parts = length, []
+        sizes = np.array([(len(a), len(b)) for a, b in zip(right, left)], np.int64).reshape(-1, 2)
+        for low in range(0, len(right), EDGES):
+            own = zip(right[low:low + EDGES], left[low:low + EDGES])
+            data = np.frombuffer(b"".join(b[::-1] + a for a, b in own), np.uint8)
+            size = sizes[low:low + EDGES]
+            # places of the anchors
+            place = np.cumsum(size.sum(axis=1)) - size[:, 0]
+            self.parts.append((low, place, SpanHash(data)))
+
+    def __call__(self, rows: np.ndarray, o: int) -> np.ndarray:
+        """Of these suffixes, in order, the window that starts o bytes before the anchor."""
+        out = np.empty(len(rows), np.uint64)
+        ends = np.searchsorted(rows, [low for low, _, _ in self.parts[1:]] + [1 << 62])
+        at = 0
+        for end, (low, place, hashes) in zip(ends.tolist(), self.parts):
+            start = place[rows[at:end] - low] - o
+            out[at:end] = hashes(start, start + self.length)
+            at = end
+        return out
+
+
 def _left_bucket(length: int, gram: int):
     """Windows that suffixes of different buckets share, among those alike to the left.
 
@@ -354,19 +380,15 @@ def _left_bucket(length: int, gram: int):
         most[order] = np.maximum(common, np.append(common[1:], 0))
         most = np.maximum(most, edge)
         size_r, size_l = (np.array([len(x) for x in side]) for side in (right, left))
-        data = np.frombuffer(b"".join(b[::-1] + a for a, b in zip(right, left)), np.uint8)
-        place = np.cumsum(size_r + size_l) - size_r  # of the anchors
         least, most = np.maximum(least, length - size_r), np.minimum(most, size_l)
-        hashes = SpanHash(data)
+        windows = Windows(right, left, length)
         low, high = np.full(n, -1), np.full(n, -1)
         for o in range(span + 1):
             own = np.flatnonzero((least <= o) & (most >= o))
             if not len(own):
                 continue
-            start = place[own] - o
             window, first, same, count = np.unique(
-                hashes(start, start + length), return_index=True, return_inverse=True,
-                return_counts=True)
+                windows(own, o), return_index=True, return_inverse=True, return_counts=True)
             hit = own[count[same] > 1]
             high[hit] = o
             low[hit[low[hit] < 0]] = o
@@ -388,8 +410,10 @@ def across_buckets(edges: DataFrame, length: int, gram: int) -> DataFrame:
     """(g, c, low, high) from suffixes whose gram lies in more than one bucket."""
     split = (edges.groupBy("g").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
              .where("a < b").select("g"))
-    spread = materialize(edges.join(bounded(split), "g").select("g", "c", "low", "right", "left"))
-    found = materialize(spread.repartitionByRange("left", "right").mapInArrow(
+    spread, size = materialize_measured(
+        edges.join(bounded(split), "g").select("g", "c", "low", "right", "left"))
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    found = materialize(spread.repartitionByRange(buckets, "left", "right").mapInArrow(
         _left_bucket(length, gram), "g long, c long, low int, high int, o int, window long"))
     windows = found.where("o is not null")
     shared = (windows.groupBy("g", "o", "window").agg(F.count("*").alias("n"))
