@@ -170,12 +170,25 @@ def parted_families(texts: DataFrame, words: int, similarity: float) -> DataFram
     early = known.withColumn("place", place).where(F.col("place") <= first(similarity)).where(
         "n > 1").select("family", "element", "node",
                         (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("short"))
-    early = materialize(early)
+    # members with the same early elements are tied to one of them, which stands for them
+    lists = early.groupBy("family", "node").agg(
+        F.sort_array(F.collect_list(F.struct("element", "short"))).alias("early"))
+    key = ["family", "h1", "h2"]
+    keyed = materialize(lists.withColumns(
+        {"h1": F.xxhash64("early"), "h2": F.xxhash64(F.lit(7), "early")}))
+    ones = keyed.groupBy(*key).agg(F.min("node").alias("one"))
+    keyed = materialize(keyed.join(bounded(ones), key))
+    same = keyed.where("node <> one").select(F.col("node").alias("a"), F.col("one").alias("b"))
+    early = keyed.where("node = one").select("family", "node", F.inline("early"))
     pivots = early.groupBy("family", "element").agg(
         F.min(F.when(F.col("short"), F.col("node"))).alias("pivot"), F.count("*").alias("n"))
     pivots = pivots.where("n > 1 and pivot is not null").drop("n")
     ties = early.join(bounded(pivots), ["family", "element"]).where("node <> pivot")
-    return components(ties.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    # a member tied to several pivots ties these: few pairs, as members share them
+    least = F.min("pivot").over(Window.partitionBy("node"))
+    ties = ties.select("node", "pivot", least.alias("least"))
+    return components(same.union(ties.select("node", "least")).union(
+        ties.select("pivot", "least")).toDF("a", "b").distinct())
 
 
 def placed_members(texts: DataFrame, similarity: float) -> DataFrame:
