@@ -50,9 +50,9 @@ BANDS, PER_BAND = 30, 5
 #: Members of a family that are compared in one piece.
 BLOCK = 256
 #: Bytes of text that a task hashes at once.
-HASHED_BYTES = 1 << 19
+HASHED_BYTES = 1 << 18
 #: Columns of the membership matrix at a time.
-COLUMNS = 16_384
+COLUMNS = 4_096
 #: Members that stand for classes are compared again while one in so many finds a link.
 FEWER = 8
 
@@ -157,10 +157,13 @@ def parted_families(texts: DataFrame, words: int, similarity: float) -> DataFram
     share is among the first n - ceil(2 s n / (1 + s)) + 1 of the smaller set and among the
     first m - ceil(s m) + 1 of the larger one (of m elements), s being the similarity.
     """
-    elements = materialize(element_table(texts, words))
-    shared = elements.groupBy("family", "element").agg(F.count("*").alias("n")).where("n > 1")
-    known = elements.join(bounded(shared), ["family", "element"], "left")
-    order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "element")
+    # an element of a family by one number: tables of such keys are copied in little memory.
+    # Elements that shared a number would be ordered and tied together, which loses nothing
+    at = F.xxhash64("family", "element").alias("at")
+    elements = materialize(element_table(texts, words).select("family", "node", "size", at))
+    shared = elements.groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
+    known = elements.join(bounded(shared), "at", "left")
+    order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "at")
 
     def first(share: float):
         # a little lower, should the product be off in its last place
@@ -168,11 +171,11 @@ def parted_families(texts: DataFrame, words: int, similarity: float) -> DataFram
 
     place = F.row_number().over(order)
     early = known.withColumn("place", place).where(F.col("place") <= first(similarity)).where(
-        "n > 1").select("family", "element", "node",
+        "n > 1").select("family", "at", "node",
                         (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("short"))
     # members with the same early elements are tied to one of them, which stands for them
     lists = early.groupBy("family", "node").agg(
-        F.sort_array(F.collect_list(F.struct("element", "short"))).alias("early"))
+        F.sort_array(F.collect_list(F.struct("at", "short"))).alias("early"))
     key = ["family", "h1", "h2"]
     keyed = materialize(lists.withColumns(
         {"h1": F.xxhash64("early"), "h2": F.xxhash64(F.lit(7), "early")}))
@@ -180,10 +183,10 @@ def parted_families(texts: DataFrame, words: int, similarity: float) -> DataFram
     keyed = materialize(keyed.join(bounded(ones), key))
     same = keyed.where("node <> one").select(F.col("node").alias("a"), F.col("one").alias("b"))
     early = keyed.where("node = one").select("family", "node", F.inline("early"))
-    pivots = early.groupBy("family", "element").agg(
+    pivots = early.groupBy("at").agg(
         F.min(F.when(F.col("short"), F.col("node"))).alias("pivot"), F.count("*").alias("n"))
     pivots = pivots.where("n > 1 and pivot is not null").drop("n")
-    ties = early.join(bounded(pivots), ["family", "element"]).where("node <> pivot")
+    ties = early.join(bounded(pivots), "at").where("node <> pivot")
     # a member tied to several pivots ties these: few pairs, as members share them
     least = F.min("pivot").over(Window.partitionBy("node"))
     ties = ties.select("node", "pivot", least.alias("least"))
