@@ -55,7 +55,6 @@ from haulframe.operators.window import (
     group_share,
     zscore,
 )
-from haulframe.sources.scratch import materialize
 
 QUERIES: dict = {}
 
