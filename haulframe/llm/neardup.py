@@ -110,8 +110,19 @@ def candidate_families(nodes: DataFrame) -> DataFrame:
     bands = nodes.select("node", F.explode("bands").alias("band"))
     pivots = (bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
               .where("n > 1").select("band", "pivot"))
-    ties = bands.join(pivots, "band").where("node <> pivot")
-    return components(ties.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    return components(few_ties(bands.join(pivots, "band").where("node <> pivot")))
+
+
+def few_ties(ties: DataFrame) -> DataFrame:
+    """(a, b) that connect what (node, pivot) connects, with nodes tied to several pivots.
+
+    A node is tied to the smallest of its pivots and these are tied to each other: few pairs,
+    as like nodes share their pivots.
+    """
+    least = F.min("pivot").over(Window.partitionBy("node"))
+    ties = ties.select("node", "pivot", least.alias("least"))
+    return ties.select("node", "least").union(ties.select("pivot", "least")).toDF(
+        "a", "b").distinct()
 
 
 def sized_members(families: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -187,11 +198,7 @@ def parted_families(texts: DataFrame, words: int, similarity: float) -> DataFram
         F.min(F.when(F.col("short"), F.col("node"))).alias("pivot"), F.count("*").alias("n"))
     pivots = pivots.where("n > 1 and pivot is not null").drop("n")
     ties = early.join(bounded(pivots), "at").where("node <> pivot")
-    # a member tied to several pivots ties these: few pairs, as members share them
-    least = F.min("pivot").over(Window.partitionBy("node"))
-    ties = ties.select("node", "pivot", least.alias("least"))
-    return components(same.union(ties.select("node", "least")).union(
-        ties.select("pivot", "least")).toDF("a", "b").distinct())
+    return components(same.union(few_ties(ties)))
 
 
 def placed_members(texts: DataFrame, similarity: float) -> DataFrame:
