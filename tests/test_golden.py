@@ -26,8 +26,11 @@ HOOK_CODE = "Baited Hook"
 def field_files() -> dict[str, dict[str, list[str]]]:
     """Files of each survey year: events, fish, codes of events and codes of fish."""
     named = os.environ.get("HAULFRAME_GOLDEN")
-    roots = [Path(named)] if named else [
-        p for p in sorted(HERE.parent.iterdir()) if p.is_dir() and p != HERE]
+    try:
+        roots = [Path(named)] if named else [
+            p for p in sorted(HERE.parent.iterdir()) if p.is_dir() and p != HERE]
+    except PermissionError:  # the folder may be entered but not listed
+        roots = []
     found: dict[str, dict[str, list[str]]] = {}
     for root in roots:
         for place in sorted(root.glob("*/*/*/*.csv")) + sorted(root.glob("*/*/*.csv")):

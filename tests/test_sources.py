@@ -256,3 +256,14 @@ def test_scratch_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "haulframe").iterdir())) == 2
     assert drop_scratch(spark)
     assert [p.name for p in (tmp_path / "haulframe").iterdir()] == ["another"]
+
+
+def test_field_files_beside_a_folder_that_may_not_be_listed(monkeypatch):
+    from tests import test_golden
+
+    def refused(_):
+        raise PermissionError
+
+    monkeypatch.delenv("HAULFRAME_GOLDEN", raising=False)
+    monkeypatch.setattr(test_golden.Path, "iterdir", refused)
+    assert test_golden.field_files() == {}
